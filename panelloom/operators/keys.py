@@ -58,6 +58,30 @@ def recode(
     return df.join(table, df[code] == table["_code"], how).drop("_code")
 
 
+# A code with at least this share of all rows is joined by broadcast.
+HOT_SHARE = 1 / 200
+
+
+def recode_rows(
+    df: DataFrame, code: str, crosswalk: DataFrame, entity: str = "entity", hot_share: float = HOT_SHARE
+) -> DataFrame:
+    """:func:`recode` for raw rows that cannot be aggregated first.
+
+    Codes holding much of the table are few by definition, at most
+    1 / ``hot_share``; their crosswalk rows are broadcast, and only the other
+    rows are shuffled by code.
+    """
+    counts = df.groupBy(F.col(code).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.agg(F.sum("_n")).scalar()
+    hot = counts.filter(F.col("_n") >= rows * hot_share).select("_code")
+    table = crosswalk.select(F.col("code").cast(df.schema[code].dataType).alias("_code"), F.col("entity").alias("_entity"))
+    lookup = F.broadcast(hot.join(table, "_code", "left").withColumn("_hot", F.lit(True)))
+    tagged = df.join(lookup, df[code] == lookup["_code"], "left").drop("_code")
+    done = tagged.filter(F.col("_hot") & F.col("_entity").isNotNull()).withColumnRenamed("_entity", entity).drop("_hot")
+    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot", "_entity")
+    return done.unionByName(recode(rest, code, crosswalk, entity))
+
+
 def recode_chain(df: DataFrame, code: str, first: DataFrame, second: DataFrame, entity: str = "entity") -> DataFrame:
     """Two-hop recode, e.g. FIPS to ISO2 to ISO3."""
     hop = first.select(F.col("code").alias("_c1"), F.col("entity").alias("_mid"))

@@ -15,7 +15,7 @@ import importlib
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.operators import aggregates as agg
@@ -38,13 +38,19 @@ class Query(NamedTuple):
 REGISTRY: dict[str, Query] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function under its own name, with the SQL that must agree with it."""
+def query(sql: str | None = None, doubles: str = "", digits: int = 6):
+    """Register a function under its own name, with the SQL that must agree with it.
+
+    Double columns are rounded on both sides; ``doubles`` names them for SQL.
+    """
+    if sql and doubles:
+        replace = ", ".join(f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in doubles.split())
+        sql = f"SELECT * REPLACE ({replace}) FROM ({sql})"
 
     def register(fn):
         if fn.__name__ in REGISTRY:
             raise ValueError(f"query {fn.__name__} is registered twice")
-        REGISTRY[fn.__name__] = Query(fn, sql)
+        REGISTRY[fn.__name__] = Query(lambda spark, sf: rounded(fn(spark, sf), digits), sql)
         return fn
 
     return register
@@ -118,16 +124,16 @@ CONFLICT_COLUMNS = [
 def conflict_agg(spark: SparkSession, sf: str) -> DataFrame:
     """Orders per nation and month; the customer join sees pre-aggregated rows."""
     measures = agg.conflict_measures("best", "high", "low", "civilian", "kind", prefix="")
-    return rounded(agg.by_entity(order_events(spark, sf), "o_custkey", measures, customer_entities(spark, sf)))
+    return agg.by_entity(order_events(spark, sf), "o_custkey", measures, customer_entities(spark, sf))
 
 
 CAGG = (
     EV
     + """,
-cagg AS (SELECT entity, period, count(*) AS event_count, round(sum(best), 6) AS fatalities_best,
-                round(sum(high), 6) AS fatalities_high, round(sum(civilian), 6) AS civilian_deaths,
-                round(max(best), 6) AS peak_event_fatalities,
-                round(avg(greatest(high - low, 0)), 6) AS fatality_uncertainty,
+cagg AS (SELECT entity, period, count(*) AS event_count, sum(best) AS fatalities_best,
+                sum(high) AS fatalities_high, sum(civilian) AS civilian_deaths,
+                max(best) AS peak_event_fatalities,
+                avg(greatest(high - low, 0)) AS fatality_uncertainty,
                 count(*) FILTER (kind = 1) AS state_based_events, count(*) FILTER (kind = 2) AS non_state_events,
                 count(*) FILTER (kind = 3) AS one_sided_events
          FROM ev GROUP BY entity, period)"""
@@ -157,6 +163,7 @@ panel AS (SELECT e.entity, m.period, """
   LEFT JOIN cagg c ON c.entity = e.entity AND c.period = m.period)"""
 )
 
+CONFLICT_DOUBLES = "fatalities_best fatalities_high civilian_deaths peak_event_fatalities fatality_uncertainty"
 LOGGED = [c for c in CONFLICT_COLUMNS if c not in ("fatality_uncertainty", "state_based_events", "non_state_events", "one_sided_events")]
 
 # --- a gappy series: urgent fulfilled orders -------------------------------
@@ -165,13 +172,13 @@ LOGGED = [c for c in CONFLICT_COLUMNS if c not in ("fatality_uncertainty", "stat
 def rate_series(spark: SparkSession, sf: str) -> DataFrame:
     """Mean price of urgent fulfilled orders per nation and month; months without any are absent."""
     urgent = order_events(spark, sf).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
-    return rounded(agg.by_entity(urgent, "o_custkey", [Measure("rate", "mean", F.col("best"))], customer_entities(spark, sf)))
+    return agg.by_entity(urgent, "o_custkey", [Measure("rate", "mean", F.col("best"))], customer_entities(spark, sf))
 
 
 RATE = (
     EV
     + """,
-rate AS (SELECT entity, period, round(avg(best), 6) AS rate FROM ev
+rate AS (SELECT entity, period, avg(best) AS rate FROM ev
          WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY entity, period)"""
 )
 
@@ -225,15 +232,15 @@ def returns_panel(spark: SparkSession, sf: str) -> DataFrame:
         Measure("mean_tone", "mean", F.col("tone")),
         Measure("peak_event_fatalities", "max", F.col("price")),
     ]
-    return rounded(agg.by_entity(returned, "l_suppkey", measures, supplier_entities(spark, sf)))
+    return agg.by_entity(returned, "l_suppkey", measures, supplier_entities(spark, sf))
 
 
 RETURNS = (
     SHIP
     + """,
-returns AS (SELECT n_name AS entity, period, round(sum(l_quantity), 6) AS returned_quantity,
-                   round(sum(price), 6) AS returned_value, round(avg(tone), 6) AS mean_tone,
-                   round(max(price), 6) AS peak_event_fatalities
+returns AS (SELECT n_name AS entity, period, sum(l_quantity) AS returned_quantity,
+                   sum(price) AS returned_value, avg(tone) AS mean_tone,
+                   max(price) AS peak_event_fatalities
             FROM ship JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
             WHERE l_returnflag = 'R' GROUP BY n_name, period)"""
 )
@@ -244,16 +251,16 @@ returns AS (SELECT n_name AS entity, period, round(sum(l_quantity), 6) AS return
 def indices(spark: SparkSession, sf: str) -> DataFrame:
     """Month-level means of open shipments."""
     open_items = shipments(spark, sf).filter(F.col("l_linestatus") == "O")
-    return rounded(agg.aggregate(open_items, ["period"], [
+    return agg.aggregate(open_items, ["period"], [
         Measure("index_mean", "mean", F.col("price")),
         Measure("index_vol", "std", F.col("price")),
-    ]))
+    ])
 
 
 INDICES = (
     SHIP
     + """,
-indices AS (SELECT period, round(avg(price), 6) AS index_mean, round(stddev_samp(price), 6) AS index_vol
+indices AS (SELECT period, avg(price) AS index_mean, stddev_samp(price) AS index_vol
             FROM ship WHERE l_linestatus = 'O' GROUP BY period)"""
 )
 
@@ -266,16 +273,16 @@ def purchases(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").cast("string").alias("entity"), F.to_date("ts").alias("period"),
         (F.col("value") / 7).alias("value"), "event_type",
     )
-    daily = rounded(agg.aggregate(
+    daily = agg.aggregate(
         events.filter(F.col("event_type") == "purchase"), ["entity", "period"], [Measure("value", "sum", F.col("value"))]
-    ))
+    )
     grid = joins.day_skeleton(events, "2024-01-01", "2024-01-30")
     full = grid.join(daily, ["entity", "period"], "left")
     return full.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
 
 
 PURCHASES = """
-daily AS (SELECT CAST(user_id AS VARCHAR) AS entity, CAST(ts AS DATE) AS day, round(sum(value / 7), 6) AS value
+daily AS (SELECT CAST(user_id AS VARCHAR) AS entity, CAST(ts AS DATE) AS day, sum(value / 7) AS value
           FROM events WHERE event_type = 'purchase' GROUP BY ALL),
 days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS d),
 purchases AS (SELECT u.entity, strftime(d, '%Y-%m-%d') AS period, value
@@ -295,17 +302,17 @@ def annual(spark: SparkSession, sf: str) -> DataFrame:
         Measure("growth", "mean", F.col("best")),
     ]
     per_year = agg.by_entity(events, "o_custkey", measures, customer_entities(spark, sf))
-    return rounded(per_year).withColumn("year", F.col("period").cast("int")).drop("period")
+    return per_year.withColumn("year", F.col("period").cast("int")).drop("period")
 
 
 ANNUAL = (
     EV
     + """,
 annual AS (SELECT entity, CAST(period[1:4] AS INTEGER) AS year,
-                  round(avg(CASE WHEN kind = 2 THEN 1.0 ELSE 0 END), 6) AS open_share,
-                  round(avg(CASE WHEN kind = 1 THEN 1.0 ELSE 0 END), 6) AS done_share,
-                  round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0 END), 6) AS urgent_share,
-                  round(avg(best), 6) AS growth FROM ev GROUP BY entity, period[1:4])"""
+                  avg(CASE WHEN kind = 2 THEN 1.0 ELSE 0 END) AS open_share,
+                  avg(CASE WHEN kind = 1 THEN 1.0 ELSE 0 END) AS done_share,
+                  avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0 END) AS urgent_share,
+                  avg(best) AS growth FROM ev GROUP BY entity, period[1:4])"""
 )
 
 # --- monthly categories ---------------------------------------------------------
@@ -323,7 +330,7 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
         "entity", "period", F.col("top.o_orderpriority").alias("government"),
         F.when(F.col("top.o_orderstatus") == "F", 1).when(F.col("top").isNotNull(), 0).alias("irregular"),
         F.col("top.o_orderdate").cast("date").alias("event_date"),
-        F.round(F.col("top.best") / 6, 6).alias("age"),
+        (F.col("top.best") / 6).alias("age"),
     )
 
 
@@ -336,7 +343,7 @@ tops AS (SELECT entity, period, max({'best': best, 'k': o_orderkey, 'p': o_order
                                      'd': o_orderdate}) AS t FROM ev GROUP BY entity, period),
 cat AS (SELECT e.entity, m.period, t.p AS government,
                CASE WHEN t IS NULL THEN NULL WHEN t.s = 'F' THEN 1 ELSE 0 END AS irregular,
-               CAST(t.d AS DATE) AS event_date, round(t.best / 6, 6) AS age
+               CAST(t.d AS DATE) AS event_date, t.best / 6 AS age
         FROM (SELECT DISTINCT entity FROM tops) e CROSS JOIN months m
         LEFT JOIN tops ON tops.entity = e.entity AND tops.period = m.period)"""
 )
@@ -348,7 +355,7 @@ def coup_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Urgent orders above a price: code 2 when fulfilled, 1 when pending, NULL otherwise."""
     rare = order_events(spark, sf).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("best") > 400))
     code = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "P", 1)
-    recoded = keys.recode(rare.withColumn("coup_code", code), "o_custkey", customer_entities(spark, sf))
+    recoded = keys.recode_rows(rare.withColumn("coup_code", code), "o_custkey", customer_entities(spark, sf))
     return recoded.select("entity", "period", "coup_code")
 
 
@@ -373,7 +380,7 @@ def daily_prices(spark: SparkSession, sf: str) -> DataFrame:
         shipments(spark, sf).withColumn("date", F.to_date("l_shipdate")), ["l_returnflag", "date"],
         [Measure("close", "mean", F.col("price"))],
     )
-    close = F.when(F.col("close") >= 25, F.round("close", 6))
+    close = F.when(F.col("close") >= 25, F.col("close"))
     return daily.select(F.col("l_returnflag").alias("series"), "date", close.alias("close"))
 
 
@@ -381,7 +388,7 @@ PRICES = (
     SHIP
     + """,
 prices AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS date,
-                  CASE WHEN avg(price) >= 25 THEN round(avg(price), 6) END AS close FROM ship GROUP BY ALL)"""
+                  CASE WHEN avg(price) >= 25 THEN avg(price) END AS close FROM ship GROUP BY ALL)"""
 )
 
 # --- forecasts: previous monthly totals as samples ----------------------------------------------
@@ -407,7 +414,3 @@ FC = PANEL + "," + forecast_cte()
 def sql_list(columns: list[str], template: str) -> str:
     """A select list from a template with ``{c}``."""
     return ", ".join(template.replace("{c}", c) for c in columns)
-
-
-def round_col(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)

@@ -13,7 +13,7 @@ from panelloom.session import fresh_path
 from panelloom.sources import sinks, tables, wide
 from workload import base
 from workload.base import (
-    ANNUAL, END, FC, PANEL, RATE, RETURNS, START, annual, conflict_panel, forecasts, query, rate_series,
+    ANNUAL, END, PANEL, RATE, RETURNS, START, annual, conflict_panel, forecasts, query, rate_series,
     returns_panel, rounded, table,
 )
 
@@ -49,7 +49,7 @@ def scan_glob_dedup(spark, sf):
     return rounded(df.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"), 2)
 
 
-@query(f"WITH {ANNUAL} SELECT entity AS iso3, year, growth AS gdp_growth FROM annual")
+@query(f"WITH {ANNUAL} SELECT entity AS iso3, year, growth AS gdp_growth FROM annual", doubles="gdp_growth")
 def normalise_columns(spark, sf):
     """Column names in another spelling come back as canonical ones."""
     raw = annual(spark, sf).select(
@@ -90,15 +90,17 @@ def _fx_wide(spark, sf):
     SELECT e.entity AS iso3, CAST(m.period[1:4] AS INTEGER) AS year, CAST(m.period[6:7] AS INTEGER) AS month,
            r.rate AS exchange_rate
     FROM (SELECT DISTINCT entity FROM rate) e CROSS JOIN months m
-    LEFT JOIN rate r ON r.entity = e.entity AND r.period = m.period"""
+    LEFT JOIN rate r ON r.entity = e.entity AND r.period = m.period""",
+    doubles="exchange_rate",
 )
 def wide_periods_to_long(spark, sf):
-    return rounded(wide.fx_wide_to_long(_fx_wide(spark, sf)))
+    return wide.fx_wide_to_long(_fx_wide(spark, sf))
 
 
 @query(
     f"""WITH {RATE} SELECT entity AS iso3, CAST(period[1:4] AS INTEGER) AS year,
-    CAST(period[6:7] AS INTEGER) AS month, rate AS exchange_rate FROM rate"""
+    CAST(period[6:7] AS INTEGER) AS month, rate AS exchange_rate FROM rate""",
+    doubles="exchange_rate",
 )
 def sdmx_to_long(spark, sf):
     raw = rate_series(spark, sf).select(
@@ -106,7 +108,7 @@ def sdmx_to_long(spark, sf):
         F.col("period").alias("TIME_PERIOD"),
         F.col("rate").cast("string").alias("OBS_VALUE"),
     )
-    return rounded(wide.fx_sdmx_to_long(raw))
+    return wide.fx_sdmx_to_long(raw)
 
 
 def _price_index(spark, sf):
@@ -124,7 +126,8 @@ idx AS (SELECT n_nationkey AS key, period, mean_tone AS cpi FROM returns JOIN na
     SELECT k.key AS m49, k.month, y.year, i.cpi AS food_cpi
     FROM (SELECT DISTINCT key, CAST(period[6:7] AS INTEGER) AS month FROM idx) k
     CROSS JOIN (SELECT CAST(unnest(generate_series(1995, 2001)) AS INTEGER) AS year) y
-    LEFT JOIN idx i ON i.key = k.key AND i.period = printf('%d-%02d', y.year, k.month)"""
+    LEFT JOIN idx i ON i.key = k.key AND i.period = printf('%d-%02d', y.year, k.month)""",
+    doubles="food_cpi",
 )
 def faostat_wide_to_long(spark, sf):
     """Bulk layout: a row per area and month code, years as columns, two items."""
@@ -137,12 +140,13 @@ def faostat_wide_to_long(spark, sf):
         "`Months Code`",
         *[F.col(f"`{y}`").cast("string").alias(f"Y{y}") for y in YEARS],
     )
-    return rounded(wide.fao_wide_to_long(raw))
+    return wide.fao_wide_to_long(raw)
 
 
 @query(
     f"""WITH {INDEX} SELECT key, CAST(period[1:4] AS INTEGER) AS year, CAST(period[6:7] AS INTEGER) AS month,
-    cpi AS food_cpi FROM idx"""
+    cpi AS food_cpi FROM idx""",
+    doubles="food_cpi",
 )
 def faostat_long_months(spark, sf):
     """Month names and month codes in one column."""
@@ -155,12 +159,13 @@ def faostat_long_months(spark, sf):
         F.when(F.col("key") < 12, names).otherwise(code).alias("Months"),
         F.col("cpi").cast("string").alias("Value"),
     )
-    return rounded(wide.fao_long_months(raw))
+    return wide.fao_long_months(raw)
 
 
 @query(
     f"""WITH {ANNUAL} SELECT 'N' || printf('%02d', n_nationkey) AS iso3, year, growth AS gdp_growth
-    FROM annual JOIN nation ON n_name = entity"""
+    FROM annual JOIN nation ON n_name = entity""",
+    doubles="gdp_growth",
 )
 def wb_wide_to_long(spark, sf):
     """Years as columns; aggregates with longer codes are left out."""
@@ -169,13 +174,14 @@ def wb_wide_to_long(spark, sf):
     code = F.concat(F.lit("N"), F.lpad(F.col("key").cast("string"), 2, "0"))
     codes = F.explode(F.array(code, F.concat(code, F.lit("X"))))
     raw = rows.select(codes.alias("Country Code"), *[F.col(f"`{y}`").cast("string").alias(str(y)) for y in YEARS])
-    return rounded(wide.years_wide_to_long(raw))
+    return wide.years_wide_to_long(raw)
 
 
 @query(
     f"""WITH {RATE}, firsts AS (SELECT period FROM rate WHERE entity = 'NATION_0')
     SELECT n_name AS entity, f.period, r.rate AS gpr_country FROM firsts f CROSS JOIN nation
-    LEFT JOIN rate r ON r.entity = n_name AND r.period = f.period"""
+    LEFT JOIN rate r ON r.entity = n_name AND r.period = f.period""",
+    doubles="gpr_country",
 )
 def gpr_wide_to_long(spark, sf):
     """Months with a value in the first entity column, entity columns to rows."""
@@ -185,7 +191,7 @@ def gpr_wide_to_long(spark, sf):
         F.to_date(F.concat("period", F.lit("-01"))).alias("month"),
         *[F.col(e).alias(f"GPRC_{e}") for e in entities],
     )
-    return rounded(wide.risk_by_entity(raw))
+    return wide.risk_by_entity(raw)
 
 
 def model_scores(spark, sf):
@@ -197,7 +203,7 @@ def model_scores(spark, sf):
     )
     first = F.to_date(F.lit("1995-01-01"))
     number = F.months_between(F.to_date(F.concat("period", F.lit("-01"))), first).cast("int") + tables.FIRST_MONTH_ID
-    return rounded(monthly).select(
+    return monthly.select(
         number.alias("Month ID"), F.col("period").alias("Date"), F.col("model").alias("Model"),
         F.col("crps").alias("CRPS"), F.col("ign").alias("ab-Log Score"), F.col("mis").alias("MIS"),
     )
@@ -244,12 +250,12 @@ MODELS = (
 PUBLISHED = (
     MODELS
     + """,
-published AS (SELECT period, model, round(avg(crps), 6) AS crps, round(avg(ign), 6) AS ign, round(avg(is_90), 6) AS mis
+published AS (SELECT period, model, avg(crps) AS crps, avg(ign) AS ign, avg(is_90) AS mis
   FROM scored GROUP BY period, model)"""
 )
 
 
-@query(f"WITH {PUBLISHED} SELECT * FROM published")
+@query(f"WITH {PUBLISHED} SELECT * FROM published", doubles="crps ign mis")
 def scan_scores(spark, sf):
     """Score file with month numbers, written and read back with periods."""
     path = fresh_path(spark, "scores")
@@ -257,7 +263,7 @@ def scan_scores(spark, sf):
     return tables.read_scores(spark, path, first_month=START, last_id=None)
 
 
-@query(f"WITH {PANEL} SELECT entity, period, event_count, fatalities_best FROM panel WHERE period >= '1998-01'")
+@query(f"WITH {PANEL} SELECT entity, period, event_count, fatalities_best FROM panel WHERE period >= '1998-01'", doubles="fatalities_best")
 def sink_stage(spark, sf):
     """A stage written once by year; the second call reads it and prunes years."""
     path = fresh_path(spark, "stage")
@@ -277,5 +283,3 @@ def sink_report_json(spark, sf):
     sinks.write_report_json(rounded(report), path)
     return spark.read.schema("feature STRING, missing_pct DOUBLE, above_limit BOOLEAN").json(path)
 
-
-_ = FC

@@ -221,9 +221,13 @@ def weighted_resample(
 
 
 def uniform_of(keys: Sequence[Column], *salt: Column) -> Column:
-    """A number in (0, 1) from a hash of the keys."""
-    h = F.shiftrightunsigned(F.xxhash64(*salt, *keys), 11)
-    return (h.cast("double") + 0.5) / F.lit(float(1 << 53))
+    """A number in (0, 1) from the MD5 digest of the keys.
+
+    A digest that every SQL engine has, so a draw can be repeated elsewhere.
+    """
+    text = F.concat_ws("|", *[c.cast("string") for c in (*salt, *keys)])
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(float(1 << 52))
 
 
 def _poisson(rate: Column, keys: Sequence[Column], seed: int) -> Column:

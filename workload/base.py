@@ -414,3 +414,15 @@ FC = PANEL + "," + forecast_cte()
 def sql_list(columns: list[str], template: str) -> str:
     """A select list from a template with ``{c}``."""
     return ", ".join(template.replace("{c}", c) for c in columns)
+
+
+def erf_sql(x: str) -> str:
+    """erf by its all-positive series, exact to double precision for |x| < 6."""
+    return f"""CASE WHEN {x} = 0 THEN 0.0 WHEN abs({x}) >= 6 THEN sign({x}) ELSE sign({x}) * 2 / sqrt(pi()) * exp(-pow({x}, 2)) *
+      list_sum(list_transform(range(0, 150), lambda n: exp((2 * n + 1) * ln(abs({x})) + 2 * n * ln(2.0) - lgamma(2 * n + 2) + lgamma(n + 1)))) END"""
+
+
+def chi2_tail_9_sql(x: str) -> str:
+    """Upper tail of chi-squared with nine degrees of freedom."""
+    return f"""(1 - ({erf_sql(f'sqrt({x} / 2)')}) + sqrt(2 * {x} / pi()) * exp(-{x} / 2) *
+      (1 + {x} / 3 + pow({x}, 2) / 15 + pow({x}, 3) / 105))"""

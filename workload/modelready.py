@@ -114,7 +114,7 @@ def preprocessed(spark, sf):
 
 @query(
     f"WITH {P_BASE} SELECT entity, period, "
-    + ", ".join(f"coalesce(greatest(-10, least(10, ({c} - m_{c}) / s_{c})), 0) AS {c}" for c in KEPT)
+    + ", ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE greatest(-10, least(10, ({c} - m_{c}) / s_{c})) END AS {c}" for c in KEPT)
     + ", fatalities_best FROM pl, ps",
     doubles=" ".join([*KEPT, ROLL_TARGET]),
 )
@@ -123,11 +123,17 @@ def preprocess_panel(spark, sf):
     return preprocessed(spark, sf).panel
 
 
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{c}', 'kept', {str(c == 'heavy').lower()}, {str(c in ALREADY).lower()})" for c in KEPT)
-    + ", ('twice', 'dropped_redundant', false, false)) AS t(feature, status, log1p_applied, was_already_log1p)"
-)
+def _registry_sql(c: str) -> str:
+    """One feature: gone if constant in training, dropped if redundant, else kept."""
+    already = str(c in ALREADY).lower()
+    candidate = "false" if c in ALREADY else f"coalesce(min({c}) >= 0 AND max({c}) > 100 AND skewness({c}) > 3, false)"
+    if c == "twice":
+        return "(SELECT 'twice' AS feature, 'dropped_redundant' AS status, false AS log1p_applied, false AS was_already_log1p FROM skewed HAVING count(*) > 0)"
+    return f"""(SELECT '{c}' AS feature, 'kept' AS status, {candidate} AS log1p_applied, {already} AS was_already_log1p FROM skewed
+      HAVING NOT coalesce(stddev_samp({c}) FILTER (period <= '{TRAIN_END}') < 1e-10, false))"""
+
+
+@query(f"WITH {SKEWED} " + " UNION ALL ".join(_registry_sql(c) for c in ALL))
 def preprocess_registry(spark, sf):
     """Registry of what preprocessing decided on the data."""
     done = preprocessed(spark, sf)
@@ -169,11 +175,18 @@ def strata_weights(spark, sf):
     return base.conflict_panel(spark, sf).select("entity", "period", weight.alias("weight"))
 
 
-@query(None)
+@query(
+    f"""WITH {PANEL}, w AS (SELECT entity, period, fatalities_best, CASE WHEN fatalities_best > 500 THEN 10.0 WHEN fatalities_best > 50 THEN 5.0
+      WHEN fatalities_best > 0 THEN 3.0 ELSE 1.0 END AS weight FROM panel),
+    r AS (SELECT *, weight * (SELECT count(*) / sum(weight) FROM w) AS rate,
+      (CAST('0x' || substr(md5('42|' || entity || '|' || period), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM w),
+    c AS (SELECT *, len(list_filter(range(0, 60), lambda k: u > list_sum(list_transform(range(0, k + 1),
+      lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1)))))) AS copies FROM r)
+    SELECT entity, period, fatalities_best, CAST(weight AS DOUBLE) AS weight, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS draw FROM c""",
+    doubles="fatalities_best",
+)
 def weighted_resample(spark, sf):
-    """Rows drawn with replacement in proportion to their stratum weight; seeded by Spark's hash."""
+    """Rows drawn with replacement in proportion to their stratum weight."""
     df = base.conflict_panel(spark, sf).select("entity", "period", "fatalities_best")
     weighted = df.withColumn("weight", preprocess.strata_weight(F.col("fatalities_best")))
     return preprocess.weighted_resample(weighted, "weight", ["entity", "period"])
-
-

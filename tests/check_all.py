@@ -1,4 +1,4 @@
-"""Command-line check: python tests/check_all.py <sf dir> [query names or module prefix]."""
+"""Command-line check: python tests/check_all.py <sf dir> [query names or @modules]."""
 
 import sys
 
@@ -13,15 +13,13 @@ sf = sys.argv[1]
 wanted = sys.argv[2:]
 mods = [w[1:] for w in wanted if w.startswith("@")]
 names = [w for w in wanted if not w.startswith("@")]
-if mods:
-    base.MODULES = tuple(mods)
 registry = base.load_all()
 spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
 spark.sparkContext.setLogLevel("ERROR")
 con = connect(sf)
 failed = []
 for name, q in registry.items():
-    if names and name not in names:
+    if (names or mods) and name not in names and q.module not in mods:
         continue
     try:
         problems, info = compare(spark, con, q, sf)

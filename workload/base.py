@@ -33,6 +33,7 @@ MODULES = (
 class Query(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    module: str
 
 
 REGISTRY: dict[str, Query] = {}
@@ -50,7 +51,7 @@ def query(sql: str | None = None, doubles: str = "", digits: int = 6):
     def register(fn):
         if fn.__name__ in REGISTRY:
             raise ValueError(f"query {fn.__name__} is registered twice")
-        REGISTRY[fn.__name__] = Query(lambda spark, sf: rounded(fn(spark, sf), digits), sql)
+        REGISTRY[fn.__name__] = Query(lambda spark, sf: rounded(fn(spark, sf), digits), sql, fn.__module__.split(".")[-1])
         return fn
 
     return register

@@ -20,8 +20,11 @@ def flag(condition: Column) -> Column:
 
 
 def period_of(date: Column) -> Column:
-    """'yyyy-MM' of a date, timestamp or parseable string; NULL if invalid."""
-    return F.date_format(date.try_cast("date"), "yyyy-MM")
+    """'yyyy-MM' of a date, timestamp or parseable string; NULL if invalid.
+
+    The head of the ISO text costs a fraction of a pattern formatter per row.
+    """
+    return F.substring(date.try_cast("date").cast("string"), 1, 7)
 
 
 def period_of_parts(year: Column, month: Column) -> Column:
@@ -30,7 +33,8 @@ def period_of_parts(year: Column, month: Column) -> Column:
 
 
 def period_of_yyyymmdd(number: Column) -> Column:
-    return F.date_format(F.try_to_date(number.cast("string"), "yyyyMMdd"), "yyyy-MM")
+    day = F.try_to_date(number.cast("string"), "yyyyMMdd")
+    return F.substring(day.cast("string"), 1, 7)
 
 
 def period_start(period: Column) -> Column:

@@ -256,14 +256,29 @@ def series_to_columns(monthly: DataFrame, names: Sequence[str]) -> DataFrame:
     return monthly.filter(F.col("series").isin(*names)).groupBy("period").agg(*columns)
 
 
-def coup_months(df: DataFrame, code: str = "coup_code", entity: str = "entity", period: str = "period") -> DataFrame:
-    """Event rows (1 failed, 2 successful) to monthly flags and count."""
+def coup_months(
+    df: DataFrame,
+    code: str = "coup_code",
+    source: str | None = None,
+    crosswalk: DataFrame | None = None,
+    entity: str = "entity",
+    period: str = "period",
+) -> DataFrame:
+    """Event rows (1 failed, 2 successful) to monthly flags and count.
+
+    Rows still keyed by a ``source`` code are recoded through the crosswalk
+    after a first aggregation.
+    """
     c = F.col(code)
-    grouped = df.groupBy(entity, period).agg(
-        F.max(scalar.flag(c == 2)).alias("pt_coup_successful"),
-        F.max(scalar.flag(c == 1)).alias("pt_coup_failed"),
-        F.count(c).alias("pt_coup_count"),
-    )
+    measures = [
+        Measure("pt_coup_successful", "max", scalar.flag(c == 2)),
+        Measure("pt_coup_failed", "max", scalar.flag(c == 1)),
+        Measure("pt_coup_count", "count", c),
+    ]
+    if crosswalk is None:
+        grouped = aggregate(df, [entity, period], measures)
+    else:
+        grouped = by_entity(df, source, measures, crosswalk, entity, period)
     either = (F.col("pt_coup_successful") == 1) | (F.col("pt_coup_failed") == 1)
     return grouped.withColumn("pt_coup_event", scalar.flag(either))
 

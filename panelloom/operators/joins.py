@@ -53,24 +53,48 @@ def zero_fill_except(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=[c for c in df.columns if c not in keep])
 
 
-def onto_skeleton(
-    aggregate: DataFrame,
+def complete_grid(
+    df: DataFrame,
     start: str,
     end: str,
-    fill: Sequence[str],
     activity: str | None = None,
     entity: str = "entity",
     period: str = "period",
 ) -> DataFrame:
-    """Complete grid of the aggregate's entities; listed columns are 0 where absent.
+    """The rows of a panel and, for its entities, a NULL row for every other month of [start, end].
 
-    ``activity`` names a 0/1 column that says whether the cell had a row.
+    Each row also emits the months up to the entity's next one, the first row
+    those before it.  That takes one shuffle by entity and one pass, where a
+    skeleton join would read the panel twice and shuffle both sides; windows by
+    entity reuse the partitioning.  ``activity`` names a 0/1 column that says
+    whether the month had a row.  Keys must be unique.
     """
+    w = windows.history(entity, period)
+    inside = df.filter(F.col(period).between(start, end))
+    first = F.when(F.lag(period).over(w).isNull(), F.lit(start)).otherwise(F.col(period))
+    following = F.add_months(scalar.period_start(F.lead(period).over(w)), -1)
+    last = F.coalesce(following, scalar.period_start(F.lit(end)))
+    spans = inside.withColumns({"_from": scalar.period_start(first), "_to": last})
+    months = F.explode(F.sequence("_from", "_to", F.expr("interval 1 month"))).alias("_month")
+    rows = spans.select("*", months).withColumn("_month", F.date_format("_month", "yyyy-MM"))
+    own = F.col("_month") == F.col(period)
+    values = [F.when(own, F.col(c)).alias(c) for c in df.columns if c not in (entity, period)]
     if activity:
-        aggregate = aggregate.withColumn(activity, F.lit(1))
-        fill = [*fill, activity]
-    grid = skeleton(aggregate, start, end, entity, period)
-    return zero_fill(grid.join(aggregate, [entity, period], "left"), fill)
+        values.append(own.cast("int").alias(activity))
+    return rows.select(entity, F.col("_month").alias(period), *values)
+
+
+def onto_skeleton(
+    aggregate: DataFrame,
+    start: str,
+    end: str,
+    fill: Sequence[str],
+    activity: str | None = None,
+    entity: str = "entity",
+    period: str = "period",
+) -> DataFrame:
+    """Complete grid of the aggregate's entities; listed columns are 0 where absent."""
+    return zero_fill(complete_grid(aggregate, start, end, activity, entity, period), fill)
 
 
 def left_chain(base: DataFrame, sources: Sequence[DataFrame], keys: Sequence[str] = ("entity", "period")) -> DataFrame:
@@ -100,8 +124,27 @@ def outer_merge(
     return zero_fill(merged, fill) if fill_prefixes and fill else merged
 
 
-def merge_panels(panels: Sequence[DataFrame], keys: Sequence[str] = ("entity", "period")) -> DataFrame:
-    return reduce(lambda a, b: outer_merge(a, b, keys), panels)
+def merge_panels(
+    panels: Sequence[DataFrame], entity: str = "entity", period: str = "period", partitions: int | None = None
+) -> DataFrame:
+    """Full outer merge of any number of panels with unique keys.
+
+    The panels are stacked and folded by key: one shuffle by entity for all of
+    them, where a chain of outer joins shuffles the growing result again for
+    every panel.  Windows by entity reuse the partitioning.  A column in several
+    panels keeps its first version, also where that is NULL.
+    """
+    taken: set[str] = {entity, period}
+    parts = []
+    for panel in panels:
+        own = [c for c in panel.columns if c not in taken]
+        taken.update(own)
+        parts.append(panel.select(entity, period, *own))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    spread = stacked.repartition(partitions, entity) if partitions else stacked.repartition(entity)
+    values = [c for c in stacked.columns if c not in (entity, period)]
+    # At most one panel knows a column at a key, so max picks that value.
+    return spread.groupBy(entity, period).agg(*[F.max(c).alias(c) for c in values])
 
 
 def spread_globals(

@@ -14,9 +14,28 @@ KEYS = ("entity", "period")
 METADATA_SUFFIXES = ("_missing", "_available", "_flag")
 
 
-def with_period(df: DataFrame, date: str, period: str = "period") -> DataFrame:
-    """Add the 'yyyy-MM' period of a date column; rows with an invalid date go."""
-    return df.withColumn(period, scalar.period_of(F.col(date))).filter(F.col(period).isNotNull())
+def with_period(
+    df: DataFrame, date: str, period: str = "period", start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Add the 'yyyy-MM' period of a date column; rows with an invalid date go.
+
+    A [start, end] range on a typed date column is a filter on the column
+    itself, so it reaches the scan and skips row groups.
+    """
+    typed = isinstance(df.schema[date].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    kind = df.schema[date].dataType.typeName() if typed else None
+    if typed and start:
+        df = df.filter(F.col(date) >= F.lit(start + "-01").cast(kind))
+    if typed and end:
+        year, month = (int(part) for part in end.split("-"))
+        after = f"{year + month // 12:04d}-{month % 12 + 1:02d}-01"
+        df = df.filter(F.col(date) < F.lit(after).cast(kind))
+    df = df.withColumn(period, scalar.period_of(F.col(date))).filter(F.col(period).isNotNull())
+    if not typed and start:
+        df = df.filter(F.col(period) >= start)
+    if not typed and end:
+        df = df.filter(F.col(period) <= end)
+    return df
 
 
 def with_period_from_parts(df: DataFrame, year: str, month: str, period: str = "period") -> DataFrame:

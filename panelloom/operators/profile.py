@@ -66,8 +66,7 @@ def presence(
 ) -> DataFrame:
     """(entity, period, present) over the full month range, 1 where a value is known."""
     counted = df.groupBy(entity, period).agg(F.count(value).alias("_n"))
-    grid = joins.skeleton(counted, start, end, entity, period)
-    full = grid.join(counted, [entity, period], "left")
+    full = joins.complete_grid(counted, start, end, entity=entity, period=period)
     return full.select(entity, period, scalar.flag(F.col("_n") > 0).alias("present"))
 
 

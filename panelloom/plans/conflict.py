@@ -32,7 +32,7 @@ def conflict_events(events: DataFrame, names: DataFrame, start: str = PANEL_STAR
     ``events``: country, date_start, best, high, low, deaths_civilians,
     type_of_violence.  ``names`` maps country names to entities.
     """
-    dated = keys.in_range(keys.with_period(events, "date_start"), start, end)
+    dated = keys.with_period(events, "date_start", start=start, end=end)
     measures = agg.conflict_measures("best", "high", "low", "deaths_civilians", "type_of_violence")
     monthly = agg.by_entity(dated, "country", measures, names)
     fill = [m.name for m in measures]
@@ -45,7 +45,7 @@ def protest_events(events: DataFrame, names: DataFrame, start: str = PANEL_START
     ``events``: country, event_date, event_type, fatalities (text) and, where
     available, sub_event_type and disorder_type.
     """
-    dated = keys.in_range(keys.with_period(events, "event_date"), start, end)
+    dated = keys.with_period(events, "event_date", start=start, end=end)
     dated = keys.coerce_numeric(dated, ["fatalities"], fill=0.0)
     measures = agg.protest_measures(dated)
     monthly = agg.by_entity(dated, "country", measures, names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from panelloom.operators import joins, keys
@@ -27,10 +29,18 @@ def build(
     tone: DataFrame | None = None,
     global_columns=GLOBAL_COLUMNS,
     tone_columns=TONE_COLUMNS,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Outer merge, region, month-level columns for everyone, tone backfill, year and month."""
+    """Outer merge, region, month-level columns for everyone, tone backfill, year and month.
+
+    The month-level values are taken from the merged panel and joined back to
+    it, so it is read twice.  ``store`` writes a frame and returns it as read
+    from storage; with it the merge runs once.
+    """
     panels = [conflict, structural, keys.drop_listed(volatility, PARTIAL_COLUMNS)]
     merged = joins.merge_panels(panels)
+    if store is not None:
+        merged = store(merged)
     if regions is not None:
         merged = keys.assign_region(merged, regions)
     merged = joins.spread_globals(merged, global_columns)

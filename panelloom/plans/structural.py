@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import scalar
 from panelloom.operators import aggregates as agg
-from panelloom.operators import features, joins, keys, sets, windows
+from panelloom.operators import features, joins, keys, windows
 from panelloom.sources import tables
 
 PANEL_START, PANEL_END = "1985-01", "2025-12"
@@ -206,10 +206,9 @@ def coups(df: DataFrame, crosswalk: DataFrame, start: str = PANEL_START, end: st
     """Coup records (ccode, year, month, coup) to monthly flags and counts."""
     named = tables.normalise_columns(df, tables.COUP_SYNONYMS, required=["gwcode", "coup_code"])
     rows = keys.coerce_numeric(named, ["gwcode", "coup_code"]).filter(F.col("gwcode").isNotNull())
-    rows = keys.recode(rows.withColumn("gwcode", F.col("gwcode").cast("int")), "gwcode", crosswalk)
-    rows = keys.with_period_from_parts(rows, "year", "month")
+    rows = keys.with_period_from_parts(rows.withColumn("gwcode", F.col("gwcode").cast("int")), "year", "month")
     rows = rows.filter(F.substring("period", 1, 4).cast("int").between(_year(start), _year(end)))
-    return agg.coup_months(rows)
+    return agg.coup_months(rows, source="gwcode", crosswalk=crosswalk)
 
 
 def assemble(
@@ -220,19 +219,16 @@ def assemble(
     lag: int = 1,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Skeleton of all entities, sources joined in turn, coup history, stale flag, lag, availability.
+    """All sources on the complete grid, coup history, stale flag, lag, availability.
 
-    The joined panel is partitioned by entity once, so that every window after
-    it, including the one by entity and year, reuses that partitioning.
+    The sources are merged by entity in one shuffle; the grid and every window
+    after it, including the one by entity and year, reuse that partitioning.
+    Entities without a row in [start, end] are left out.
     """
     everything = [*sources.values(), *([coup_months] if coup_months is not None else [])]
-    entities = sets.distinct_union(everything, ["entity"])
-    panel = joins.left_chain(joins.skeleton(entities, start, end), list(sources.values()))
+    panel = joins.complete_grid(joins.merge_panels(everything, partitions=partitions), start, end)
     if coup_months is not None:
-        panel = panel.join(coup_months, ["entity", "period"], "left")
         panel = panel.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in COUP_COLUMNS})
-    panel = panel.repartition(partitions, "entity") if partitions else panel.repartition("entity")
-    if coup_months is not None:
         panel = windows.cumulative_events(panel, "pt_coup_event", "pt_cumulative_coups")
         panel = windows.periods_since(panel, F.col("pt_coup_event") == 1, "pt_months_since_coup")
     panel = stale_governance(panel)

@@ -15,6 +15,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Panels partitioned by entity join on (entity, period) without a new shuffle.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -118,3 +118,11 @@ def test_daily_to_monthly_keeps_empty_months_and_pads(spark):
 def test_row_mean_skips_missing(spark):
     df = spark.createDataFrame([(1.0, None, 3.0), (None, None, None)], "a DOUBLE, b DOUBLE, c DOUBLE")
     assert rows(df.select(scalar.row_mean([F.col(c) for c in "abc"]).alias("m")), "m") == [(2.0,), (None,)]
+
+
+def test_complete_grid_equals_a_skeleton_join(spark):
+    df = panel(spark, [("a", "2020-03", 1.0), ("a", "2020-05", 2.0), ("b", "2019-12", 9.0), ("b", "2020-01", 3.0), ("c", "2020-06", None)], "v")
+    out = joins.complete_grid(df, "2020-01", "2020-06", activity="seen")
+    grid = joins.skeleton(df, "2020-01", "2020-06").join(df.withColumn("seen", F.lit(1)), ["entity", "period"], "left").fillna(0, ["seen"])
+    assert rows(out, "entity", "period", "v", "seen") == rows(grid, "entity", "period", "v", "seen")
+    assert out.count() == 18

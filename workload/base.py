@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from panelloom.operators import aggregates as agg
 from panelloom.operators import joins, keys, scoring
 from panelloom.operators.aggregates import Measure
+from panelloom.session import fresh_path
 
 START, END = "1995-01", "2001-08"
 SHIP_END = "2001-11"
@@ -77,6 +78,17 @@ def rounded(df: DataFrame, digits: int = 6, **overrides: int) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def stored(spark: SparkSession, df: DataFrame, stem: str) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    For results that several passes read: the plan above runs once, and lost
+    executors cost a scan of the stage instead of a rebuild.
+    """
+    path = fresh_path(spark, stem)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def longs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
@@ -186,8 +198,7 @@ rate AS (SELECT entity, period, avg(best) AS rate FROM ev
 
 def rate_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The same on the complete grid, so that gaps are NULL cells."""
-    series = rate_series(spark, sf)
-    return joins.skeleton(series, START, END).join(series, ["entity", "period"], "left")
+    return joins.complete_grid(rate_series(spark, sf), START, END)
 
 
 RATE_GRID = (
@@ -326,8 +337,7 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
     )
     joined = keys.recode(per_code, "o_custkey", customer_entities(spark, sf))
     top = joined.groupBy("entity", "period").agg(F.max("top").alias("top"))
-    grid = joins.skeleton(top, START, END).join(top, ["entity", "period"], "left")
-    return grid.select(
+    return joins.complete_grid(top, START, END).select(
         "entity", "period", F.col("top.o_orderpriority").alias("government"),
         F.when(F.col("top.o_orderstatus") == "F", 1).when(F.col("top").isNotNull(), 0).alias("irregular"),
         F.col("top.o_orderdate").cast("date").alias("event_date"),
@@ -353,11 +363,14 @@ cat AS (SELECT e.entity, m.period, t.p AS government,
 
 
 def coup_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Urgent orders above a price: code 2 when fulfilled, 1 when pending, NULL otherwise."""
+    """Urgent orders above a price, keyed by customer: code 2 when fulfilled, 1 when pending, else NULL."""
     rare = order_events(spark, sf).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("best") > 400))
     code = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "P", 1)
-    recoded = keys.recode_rows(rare.withColumn("coup_code", code), "o_custkey", customer_entities(spark, sf))
-    return recoded.select("entity", "period", "coup_code")
+    return rare.select("o_custkey", "period", code.alias("coup_code"))
+
+
+def coup_months(spark: SparkSession, sf: str) -> DataFrame:
+    return agg.coup_months(coup_rows(spark, sf), source="o_custkey", crosswalk=customer_entities(spark, sf))
 
 
 COUPS = (

@@ -10,15 +10,10 @@ from workload import base
 from workload.base import FC, forecasts, query
 from workload.scans import (
     CRPS_SQL, IGN_SQL, MEAN_SQL, MODELS, PIT_SQL, PUBLISHED, interval_sql, published, quantile_sql,
+    scored_models,
 )
 
 EXACT_SQL = CRPS_SQL.replace("(2 * (i - 1) - len(samples))", "(2 * (i - 1) - len(samples) + 1)")
-MODEL_SIZES = (6, 12, 24)
-
-
-def model_forecasts(spark, sf):
-    return scoring.union_models({f"history_{n}": forecasts(spark, sf, n) for n in MODEL_SIZES})
-
 
 @query(f"WITH {FC} SELECT entity, period, y, {CRPS_SQL} AS crps, {EXACT_SQL} AS crps_exact FROM fc", doubles="y crps crps_exact")
 def crps_sample(spark, sf):
@@ -106,7 +101,7 @@ ev1 AS (SELECT *, {RATES} FROM ev0), evaluated AS (SELECT *, {F1} FROM ev1)"""
 @query(f"WITH {EVALUATED} SELECT * EXCLUDE (hits), {base.chi2_tail_9_sql('chi2_stat')} AS chi2_pval FROM evaluated", doubles="crps ign mis_90 mis_50 mean_predicted mean_observed chi2_stat recall precision f1 chi2_pval")
 def full_evaluation(spark, sf):
     """Every metric for three models in one pass over the scored rows."""
-    scored = scoring.score_rows(model_forecasts(spark, sf))
+    scored = scored_models(spark, sf)
     return scoring.full_evaluation(scored, ["model"], base.SPIKE)
 
 
@@ -126,9 +121,9 @@ def usable_months(spark, sf):
 )
 def compare_models(spark, sf):
     """Own models next to benchmark rows; metrics a benchmark lacks are NULL."""
-    scored = scoring.score_rows(model_forecasts(spark, sf))
+    scored = base.stored(spark, scored_models(spark, sf), "scored")
     own = scoring.full_evaluation(scored, ["model"], base.SPIKE)
-    return scoring.compare_models(own, agg.benchmark_means(published(spark, sf)))
+    return scoring.compare_models(own, agg.benchmark_means(published(spark, sf, scored)))
 
 
 @query(
@@ -139,8 +134,9 @@ def compare_models(spark, sf):
     doubles="own history_6 history_24",
 )
 def per_month_comparison(spark, sf):
-    scored = scoring.score_rows(forecasts(spark, sf))
-    return scoring.per_month(scored, published(spark, sf), ["history_6", "history_24"])
+    scored = base.stored(spark, scored_models(spark, sf), "scored")
+    own = scored.filter(F.col("model") == "history_12")
+    return scoring.per_month(own, published(spark, sf, scored), ["history_6", "history_24"])
 
 
 @query(
@@ -153,7 +149,7 @@ def per_month_comparison(spark, sf):
 )
 def segment_diagnostics(spark, sf):
     """Scores by size of the outcome, with overall calibration figures."""
-    fc = forecasts(spark, sf)
+    fc = base.stored(spark, forecasts(spark, sf), "forecasts")
     segments = scoring.segment_scores(scoring.score_rows(fc), base.SPIKE)
     names = ["mean_pzero", "zero_rate", "mean_predicted", "mean_observed", "median_predicted", "median_observed"]
     overall = scoring.calibration_summary(fc).select(F.struct(*names).alias("s")).scalar()

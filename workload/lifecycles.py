@@ -14,10 +14,10 @@ from panelloom.session import fresh_path
 from panelloom.sources import sinks
 from workload import base
 from workload.base import (
-    ANNUAL, CATEGORIES, COUPS, END, RATE, RETURNS, START, annual, coup_rows, forecasts, months_cte,
+    ANNUAL, CATEGORIES, COUPS, END, RATE, RETURNS, START, annual, coup_months, forecasts, months_cte,
     order_events, query, rate_series, returns_panel, table,
 )
-from workload.scans import CRPS_SQL, PUBLISHED, published
+from workload.scans import CRPS_SQL, PUBLISHED, published, scored_models
 from workload.summaries import NEWS, news
 
 # --- conflict panel -----------------------------------------------------------
@@ -145,7 +145,7 @@ def structural_final(spark, sf):
         "gdp": structural.growth(gdp, start=START, end=END),
         "food": structural.food_prices(food, start=START),
     }
-    return structural.assemble(sources, agg.coup_months(coup_rows(spark, sf)), START, END)
+    return structural.assemble(sources, coup_months(spark, sf), START, END)
 
 
 _OVER = "(PARTITION BY entity ORDER BY period)"
@@ -303,7 +303,9 @@ def merged_final(spark, sf):
         [agg.Measure("rate", "mean", F.col("rate"))],
     )
     b = returns_panel(spark, sf).select("entity", "period", "returned_value", "mean_tone")
-    return merged.build(a, b, c, regions, tone, ["index_mean", "index_vol"], ["rate"])
+    return merged.build(
+        a, b, c, regions, tone, ["index_mean", "index_vol"], ["rate"], store=lambda df: base.stored(spark, df, "merged")
+    )
 
 
 MERGED_FINAL = f"""{base.PANEL}, {RETURNS}, {RATE.replace(base.EV + ',', '')},
@@ -377,8 +379,9 @@ def model_ready_lifecycle(spark, sf):
 )
 def forecast_lifecycle(spark, sf):
     """Evaluation in a window of months: own scores per month next to reference models."""
+    scored = base.stored(spark, scored_models(spark, sf), "scored")
     report = forecast.evaluate(
-        forecasts(spark, sf), published(spark, sf), start="1998-07", end="1999-06", references=["history_6", "history_24"],
+        base.stored(spark, forecasts(spark, sf), "forecasts"), published(spark, sf, scored), start="1998-07", end="1999-06", references=["history_6", "history_24"],
         threshold=base.SPIKE,
     )
     return report.per_month

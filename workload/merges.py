@@ -9,7 +9,7 @@ from panelloom.operators import joins, windows
 from workload import base
 from workload.base import (
     ANNUAL, CAGG, CONFLICT_COLUMNS, COUPS, END, INDICES, PANEL, RATE, RETURNS, START, annual, conflict_agg,
-    conflict_panel, coup_rows, indices, months_cte, query, rate_series, returns_panel, rounded, table,
+    conflict_panel, coup_months, indices, months_cte, query, rate_series, returns_panel, rounded, table,
 )
 
 SPARSE = "entity LIKE 'NATION_1%'"
@@ -74,6 +74,11 @@ def merged(spark, sf):
     return joins.merge_panels(list(merged_sources(spark, sf).values()))
 
 
+def stored_merge(spark, sf):
+    """The merged panel as a stored stage, for consumers that read it more than once."""
+    return base.stored(spark, merged(spark, sf), "merged")
+
+
 GLOBALS = (
     MERGED
     + """,
@@ -88,7 +93,7 @@ monthly AS (SELECT period, arg_min(index_mean, entity) FILTER (index_mean IS NOT
     doubles="rate index_mean index_vol",
 )
 def broadcast_globals(spark, sf):
-    full = joins.spread_globals(merged(spark, sf), ["index_mean", "index_vol", "not_there"])
+    full = joins.spread_globals(stored_merge(spark, sf), ["index_mean", "index_vol", "not_there"])
     return full.select("entity", "period", "event_count", "rate", "index_mean", "index_vol")
 
 
@@ -146,7 +151,7 @@ COUP_COLUMNS = ["pt_coup_event", "pt_coup_successful", "pt_coup_failed", "pt_cou
 
 
 def coup_panel(spark, sf):
-    monthly = agg.coup_months(coup_rows(spark, sf))
+    monthly = coup_months(spark, sf)
     grid = joins.skeleton(table(spark, sf, "nation").select(F.col("n_name").alias("entity")), START, END)
     return joins.integrate_events(
         grid, monthly, "pt_coup_event", COUP_COLUMNS, "pt_cumulative_coups", "pt_months_since_coup"
@@ -209,7 +214,7 @@ def key_overlap_report(spark, sf):
     UNION ALL SELECT 'union_keys', count(*) FROM (SELECT entity, period FROM cagg UNION SELECT entity, period FROM returns UNION SELECT entity, period FROM sparse)"""
 )
 def merge_validation(spark, sf):
-    parts = merged_sources(spark, sf)
+    parts = {n: base.stored(spark, p, f"source-{n}") for n, p in merged_sources(spark, sf).items()}
     return joins.merge_validation(joins.merge_panels(list(parts.values())), parts)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelloom.operators import preprocess, registry
 from workload import base
 from workload.base import PANEL, query
-from workload.merges import MERGED, merged
+from workload.merges import MERGED, stored_merge
 
 TRAIN_END = "1999-12"
 VAL_END = "2000-06"
@@ -17,7 +17,7 @@ ROLL_TARGET = "fatalities_best"
 
 def skewed(spark, sf):
     """Merged panel with one heavy-tailed, one constant and one redundant column."""
-    df = merged(spark, sf)
+    df = stored_merge(spark, sf)
     return df.select(
         "entity", "period", *FEATURES, ROLL_TARGET,
         F.exp(F.col(ROLL_TARGET) / 300).alias("heavy"),
@@ -42,8 +42,7 @@ ALL = ["event_count", "heavy", "index_mean", "mean_tone", "rate", "returned_valu
     doubles="min max skewness",
 )
 def log1p_candidates(spark, sf):
-    df = skewed(spark, sf).withColumn("heavy", F.least(F.col("heavy"), F.col("heavy")))
-    return preprocess.log1p_candidate_stats(df, [c for c in ALL if c != "still"])
+    return preprocess.log1p_candidate_stats(skewed(spark, sf), [c for c in ALL if c != "still"])
 
 
 Z_SQL = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in FEATURES)
@@ -53,7 +52,7 @@ z AS (SELECT entity, period, {Z_SQL} FROM merged, st)"""
 
 
 def zscored(spark, sf):
-    return preprocess.zscore_train(merged(spark, sf).select("entity", "period", *FEATURES), FEATURES, TRAIN_END)
+    return preprocess.zscore_train(stored_merge(spark, sf).select("entity", "period", *FEATURES), FEATURES, TRAIN_END)
 
 
 @query(f"WITH {ZSCORED} SELECT * FROM z", doubles=" ".join(FEATURES))

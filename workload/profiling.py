@@ -10,7 +10,7 @@ from workload.base import (
     END, INDICES, RATE, START, annual, indices, query, rate_series,
 
 )
-from workload.merges import MERGED, merged
+from workload.merges import MERGED, merged, stored_merge
 
 COLUMNS = ["event_count", "fatalities_best", "returned_value", "mean_tone", "rate", "index_mean"]
 
@@ -82,7 +82,7 @@ ZERO_PCT = "avg(CASE WHEN {c} = 0 THEN 100.0 WHEN {c} IS NOT NULL THEN 0 END)"
     doubles="missing_pct pct_zero mean std skewness max median p5 p95",
 )
 def profile_basic(spark, sf):
-    return profile.profile_basic(merged(spark, sf), COLUMNS)
+    return profile.profile_basic(stored_merge(spark, sf), COLUMNS)
 
 
 FULL = union(
@@ -95,12 +95,12 @@ FULL_DOUBLES = "mean std min max skewness kurtosis pct_zero median p01 p05 p25 p
 
 @query(f"WITH {MERGED} {FULL}", doubles=FULL_DOUBLES)
 def profile_full(spark, sf):
-    return profile.profile_full(merged(spark, sf), COLUMNS)
+    return profile.profile_full(stored_merge(spark, sf), COLUMNS)
 
 
 def classified_source(spark, sf):
     """Merged panel with a bounded, a mostly-zero, a heavy-tailed and a nearly constant column."""
-    df = merged(spark, sf)
+    df = stored_merge(spark, sf)
     best = F.col("fatalities_best")
     return df.select(
         "entity", "period", "event_count", "rate",
@@ -149,7 +149,7 @@ def profile_classify(spark, sf):
     doubles="threshold max",
 )
 def outliers_p995(spark, sf):
-    return profile.outliers(merged(spark, sf), COLUMNS)
+    return profile.outliers(stored_merge(spark, sf), COLUMNS)
 
 
 @query(
@@ -181,7 +181,7 @@ def spearman_matrix(spark, sf):
 
     Values are rounded first: equal means must tie whatever the order of their sums.
     """
-    return profile.spearman_pairs(base.rounded(merged(spark, sf)), COLUMNS, report=None)
+    return profile.spearman_pairs(base.rounded(stored_merge(spark, sf)), COLUMNS, report=None)
 
 
 @query(
@@ -244,7 +244,7 @@ def _hist(c: str, bins: int, value: str) -> str:
 )
 def histogram_table(spark, sf):
     """Counts in 50, 60 and 40 bins, raw and on the log scale."""
-    df = merged(spark, sf)
+    df = stored_merge(spark, sf)
     parts = [
         profile.histogram(df, HIST_COLUMNS, b, log).select(F.lit(b).alias("bins"), F.lit("log1p" if log else "raw").alias("scale"), "*")
         for b, log in ((50, False), (60, False), (40, True))
@@ -264,7 +264,7 @@ def histogram_table(spark, sf):
     doubles="q1 median q3 whisker_low whisker_high",
 )
 def box_summary(spark, sf):
-    return profile.box_summary(merged(spark, sf), COLUMNS)
+    return profile.box_summary(stored_merge(spark, sf), COLUMNS)
 
 
 REG_RULES = [("prefix", "fatal", "UCDP"), ("suffix", "_value", "ACLED"), ("name", "rate", "IMF IFS"), ("prefix", "rate", "never")]
@@ -362,6 +362,6 @@ QR_METRICS = {
     + ") SELECT * FROM report"
 )
 def quality_report(spark, sf):
-    return profile.quality_report(merged(spark, sf), COLUMNS, {"orders": "event_count", "fx": "rate"}, RANGES)
+    return profile.quality_report(stored_merge(spark, sf), COLUMNS, {"orders": "event_count", "fx": "rate"}, RANGES)
 
 

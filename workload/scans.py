@@ -13,7 +13,7 @@ from panelloom.session import fresh_path
 from panelloom.sources import sinks, tables, wide
 from workload import base
 from workload.base import (
-    ANNUAL, END, PANEL, RATE, RETURNS, START, annual, conflict_panel, forecasts, query, rate_series,
+    ANNUAL, END, PANEL, RATE, RETURNS, START, annual, conflict_panel, query, rate_series,
     returns_panel, rounded, table,
 )
 
@@ -194,10 +194,14 @@ def gpr_wide_to_long(spark, sf):
     return wide.risk_by_entity(raw)
 
 
-def model_scores(spark, sf):
-    """Monthly scores of three historical forecasts in the layout of the published file."""
-    models = {f"history_{n}": forecasts(spark, sf, n) for n in (6, 12, 24)}
-    scored = scoring.score_rows(scoring.union_models(models))
+def model_forecasts(spark, sf):
+    """Three historical forecasts: one panel, stored, read with three window lengths."""
+    panel = base.stored(spark, conflict_panel(spark, sf).select("entity", "period", "fatalities_best"), "panel")
+    return scoring.union_models({f"history_{n}": scoring.history_forecast(panel, "fatalities_best", n) for n in (6, 12, 24)})
+
+
+def model_scores(scored):
+    """Monthly mean scores in the layout of the published file."""
     monthly = scored.groupBy("model", "period").agg(
         F.avg("crps").alias("crps"), F.avg("ign").alias("ign"), F.avg("is_90").alias("mis")
     )
@@ -209,8 +213,14 @@ def model_scores(spark, sf):
     )
 
 
-def published(spark, sf):
-    return tables.month_ids_to_periods(model_scores(spark, sf), first_month=START, last_id=None)
+def scored_models(spark, sf):
+    return scoring.score_rows(model_forecasts(spark, sf))
+
+
+def published(spark, sf, scored=None):
+    """Published scores of the three models, from scored rows where they exist already."""
+    scored = scored_models(spark, sf) if scored is None else scored
+    return tables.month_ids_to_periods(model_scores(scored), first_month=START, last_id=None)
 
 
 CRPS_SQL = """(list_sum(list_transform(samples, lambda v: abs(v - y))) / len(samples)
@@ -259,7 +269,7 @@ published AS (SELECT period, model, avg(crps) AS crps, avg(ign) AS ign, avg(is_9
 def scan_scores(spark, sf):
     """Score file with month numbers, written and read back with periods."""
     path = fresh_path(spark, "scores")
-    model_scores(spark, sf).write.csv(path, header=True)
+    model_scores(scored_models(spark, sf)).write.csv(path, header=True)
     return tables.read_scores(spark, path, first_month=START, last_id=None)
 
 

@@ -9,7 +9,7 @@ from panelloom.operators import keys, registry, sets
 from panelloom.operators.aggregates import Measure
 from workload import base
 from workload.base import (
-    CAGG, COUPS, EV, PANEL, PRICES, RETURNS, conflict_agg, conflict_panel, coup_rows, customer_entities,
+    CAGG, COUPS, EV, PANEL, PRICES, RETURNS, conflict_agg, conflict_panel, coup_months, customer_entities,
     daily_prices, order_events, query, returns_panel, table,
 )
 from workload.scans import PUBLISHED, published
@@ -190,7 +190,7 @@ def series_wide(spark, sf):
 
 @query(f"WITH {COUPS} SELECT * FROM coups")
 def coup_month_agg(spark, sf):
-    return agg.coup_months(coup_rows(spark, sf))
+    return coup_months(spark, sf)
 
 
 @query(

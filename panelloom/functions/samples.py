@@ -65,27 +65,48 @@ def zero_share(draws: Column) -> Column:
     return F.aggregate(draws, F.lit(0.0), lambda acc, v: acc + (v == 0).cast("double")) / F.size(draws)
 
 
-def squared_deviation(draws: Column, centre: Column) -> Column:
-    return F.aggregate(draws, F.lit(0.0), lambda acc, v: acc + (v - centre) * (v - centre))
+def _moments(draws: Column) -> Column:
+    """STRUCT<n, mean, m2> in one pass (Welford)."""
+
+    def step(acc: Column, v: Column) -> Column:
+        n = acc["n"] + 1
+        mean = acc["mean"] + (v - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (v - acc["mean"]) * (v - mean)).alias("m2"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(draws, zero, step)
 
 
 def ignorance(draws: Column, y: Column) -> Column:
     """Negative log density of a Gaussian kernel estimate at the observed value.
 
     The bandwidth follows Silverman's rule.  A forecast without spread scores 0
-    when it hits the observation and a fixed penalty when it does not.
+    when it hits the observation and a fixed penalty when it does not.  Whatever
+    is constant over the draws rides in the accumulator: an expression inside
+    the lambda would be evaluated for every draw.
     """
-    n = F.size(draws).cast("double")
-    centre = mean(draws)
-    deviation = squared_deviation(draws, centre)
-    width = F.pow(n * 0.75, F.lit(-0.2)) * F.sqrt(deviation / (n - 1))
-    kernel = F.aggregate(
-        draws, F.lit(0.0), lambda acc, v: acc + F.exp(-0.5 * F.pow((y - v) / width, F.lit(2.0)))
-    )
-    density = kernel / (n * width * math.sqrt(2 * math.pi))
-    degenerate = F.when(F.abs(y - centre) < 1e-6, F.lit(0.0)).otherwise(F.lit(IGN_PENALTY))
-    flat = F.sqrt(deviation / n) < 1e-10
-    return F.when(flat, degenerate).otherwise(-F.log(F.greatest(density, F.lit(IGN_FLOOR))))
+    m = _moments(draws)
+    start = F.transform(
+        F.array(m),
+        lambda s: F.struct(
+            F.lit(0.0).alias("k"),
+            (F.pow(s["n"] * 0.75, F.lit(-0.2)) * F.sqrt(s["m2"] / (s["n"] - 1))).alias("w"),
+            s["n"].alias("n"), s["mean"].alias("mean"), s["m2"].alias("m2"), y.alias("y"),
+        ),
+    )[0]
+
+    def step(acc: Column, v: Column) -> Column:
+        z = (acc["y"] - v) / acc["w"]
+        kernel = acc["k"] + F.when(acc["m2"] > 0, F.exp(-0.5 * z * z)).otherwise(0.0)
+        return F.struct(kernel.alias("k"), *[acc[f].alias(f) for f in ("w", "n", "mean", "m2", "y")])
+
+    def finish(acc: Column) -> Column:
+        density = acc["k"] / (acc["n"] * acc["w"] * math.sqrt(2 * math.pi))
+        degenerate = F.when(F.abs(acc["y"] - acc["mean"]) < 1e-6, F.lit(0.0)).otherwise(F.lit(IGN_PENALTY))
+        flat = F.sqrt(acc["m2"] / acc["n"]) < 1e-10
+        return F.when(flat, degenerate).otherwise(-F.log(F.greatest(density, F.lit(IGN_FLOOR))))
+
+    return F.aggregate(draws, start, step, finish)
 
 
 def interval_score(y: Column, low: Column, high: Column, alpha: float) -> Column:

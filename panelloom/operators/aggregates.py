@@ -48,13 +48,17 @@ def by_entity(
     crosswalk: DataFrame,
     entity: str = "entity",
     period: str = "period",
+    small: bool | None = None,
 ) -> DataFrame:
     """Aggregate events whose entity is found through a code.
 
-    First by (code, period), then recode, then merge the partial results.  The
-    join sees one row per code and period, never raw events: a hot code costs
-    no more than any other, and nothing needs to be broadcast.
+    A crosswalk that is ``small`` (checked unless stated) is broadcast to the
+    events, which are then aggregated once.  Beyond that the events are
+    aggregated by (code, period) first, recoded, and merged: the join sees one
+    row per code and period, so a hot code costs no more than any other.
     """
+    if keys.is_small(crosswalk) if small is None else small:
+        return aggregate(keys.recode(df, code, F.broadcast(crosswalk), entity), [entity, period], measures)
     partial, final = [], []
     for m in measures:
         if m.how == "mean":
@@ -263,6 +267,7 @@ def coup_months(
     crosswalk: DataFrame | None = None,
     entity: str = "entity",
     period: str = "period",
+    small: bool | None = None,
 ) -> DataFrame:
     """Event rows (1 failed, 2 successful) to monthly flags and count.
 
@@ -278,7 +283,7 @@ def coup_months(
     if crosswalk is None:
         grouped = aggregate(df, [entity, period], measures)
     else:
-        grouped = by_entity(df, source, measures, crosswalk, entity, period)
+        grouped = by_entity(df, source, measures, crosswalk, entity, period, small)
     either = (F.col("pt_coup_successful") == 1) | (F.col("pt_coup_failed") == 1)
     return grouped.withColumn("pt_coup_event", scalar.flag(either))
 

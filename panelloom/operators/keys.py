@@ -30,10 +30,15 @@ def with_period(
         year, month = (int(part) for part in end.split("-"))
         after = f"{year + month // 12:04d}-{month % 12 + 1:02d}-01"
         df = df.filter(F.col(date) < F.lit(after).cast(kind))
+    if typed:
+        # A typed date is valid unless NULL; testing the column and not the
+        # period spares computing the period twice.
+        text = F.col(date).cast("date").cast("string")
+        return df.filter(F.col(date).isNotNull()).withColumn(period, F.substring(text, 1, 7))
     df = df.withColumn(period, scalar.period_of(F.col(date))).filter(F.col(period).isNotNull())
-    if not typed and start:
+    if start:
         df = df.filter(F.col(period) >= start)
-    if not typed and end:
+    if end:
         df = df.filter(F.col(period) <= end)
     return df
 
@@ -81,15 +86,31 @@ def recode(
 HOT_SHARE = 1 / 200
 
 
+# A crosswalk of at most this many rows (two short columns each) is broadcast.
+SMALL_ROWS = 100_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows; counts no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def recode_rows(
-    df: DataFrame, code: str, crosswalk: DataFrame, entity: str = "entity", hot_share: float = HOT_SHARE
+    df: DataFrame,
+    code: str,
+    crosswalk: DataFrame,
+    entity: str = "entity",
+    hot_share: float = HOT_SHARE,
+    small: bool | None = None,
 ) -> DataFrame:
     """:func:`recode` for raw rows that cannot be aggregated first.
 
-    Codes holding much of the table are few by definition, at most
-    1 / ``hot_share``; their crosswalk rows are broadcast, and only the other
-    rows are shuffled by code.
+    A crosswalk that is ``small`` (checked unless stated) is broadcast.  Beyond
+    that, codes holding much of the table, at most 1 / ``hot_share`` of them, get
+    their crosswalk rows by broadcast and only the other rows are shuffled.
     """
+    if is_small(crosswalk) if small is None else small:
+        return recode(df, code, F.broadcast(crosswalk), entity)
     counts = df.groupBy(F.col(code).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
     rows = counts.agg(F.sum("_n")).scalar()
     hot = counts.filter(F.col("_n") >= rows * hot_share).select("_code")

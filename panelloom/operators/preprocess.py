@@ -236,14 +236,20 @@ def _poisson(rate: Column, keys: Sequence[Column], seed: int) -> Column:
     The support is walked to rate + 12 * sqrt(rate) + 30; the mass beyond is
     far below double precision.
     """
-    u = uniform_of(keys, F.lit(seed))
-    top = (rate + 12 * F.sqrt(rate) + 30).cast("int")
+    # The accumulator carries the draw and the rate, so both are computed once.
     start = F.struct(
-        F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k")
+        F.exp(-rate).alias("p"),
+        F.exp(-rate).alias("c"),
+        F.lit(0).alias("k"),
+        rate.alias("r"),
+        uniform_of(keys, F.lit(seed)).alias("u"),
     )
     step = lambda acc, i: F.struct(
-        (acc["p"] * rate / i).alias("p"),
-        (acc["c"] + acc["p"] * rate / i).alias("c"),
-        (acc["k"] + (u > acc["c"]).cast("int")).alias("k"),
+        (acc["p"] * acc["r"] / i).alias("p"),
+        (acc["c"] + acc["p"] * acc["r"] / i).alias("c"),
+        (acc["k"] + (acc["u"] > acc["c"]).cast("int")).alias("k"),
+        acc["r"].alias("r"),
+        acc["u"].alias("u"),
     )
+    top = (rate + 12 * F.sqrt(rate) + 30).cast("int")
     return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["k"])

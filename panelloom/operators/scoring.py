@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelloom.functions import samples as draws
+from panelloom.functions.batch import score_batch
 from panelloom.functions.special import chi2_sf
 from panelloom.operators import quantiles
 from panelloom.operators.ordering import top_rows
@@ -147,21 +148,30 @@ def spike_metrics(
     return _spike_rates(row)
 
 
+SCORE_SCHEMA = T.StructType(
+    [
+        *[T.StructField(n, T.DoubleType()) for n in ("crps", "ign", "is_90", "is_50", "pit", "upper", "predicted")],
+        T.StructField("n_draws", T.IntegerType()),
+    ]
+)
+
+
+@F.pandas_udf(SCORE_SCHEMA)
+def _all_scores(samples: pd.Series, y: pd.Series) -> pd.DataFrame:
+    return score_batch(samples, y, ALERT_QUANTILE)
+
+
 def score_rows(df: DataFrame, samples: str = "samples", y: str = "y") -> DataFrame:
-    """All row-level scores of a forecast table in one projection; drops the samples."""
-    s, o, obs = F.col(samples), F.col("_sorted"), F.col(y)
-    q = lambda p: draws.quantile(o, p)
-    scores = {
-        "crps": draws.crps(s, o, obs),
-        "ign": draws.ignorance(s, obs),
-        "is_90": draws.interval_score(obs, q(0.05), q(0.95), 0.1),
-        "is_50": draws.interval_score(obs, q(0.25), q(0.75), 0.5),
-        "pit": draws.pit(s, obs),
-        "upper": q(ALERT_QUANTILE),
-        "predicted": draws.mean(s),
-        "n_draws": F.size(s),
-    }
-    return with_sorted(df, samples).withColumns(scores).drop("_sorted", samples)
+    """All row-level scores of a forecast table in one projection; drops the samples.
+
+    One Arrow batch function sorts each forecast once and derives every score
+    from it in numpy.  With a thousand draws per row that is several times as
+    fast as the higher-order functions behind the single scores above, which
+    sort and walk the array once per score.
+    """
+    kept = [c for c in df.columns if c != samples]
+    scored = df.select(*kept, _all_scores(F.col(samples), F.col(y)).alias("_s"))
+    return scored.select(*kept, *[F.col(f"_s.{f.name}").alias(f.name) for f in SCORE_SCHEMA.fields])
 
 
 def full_evaluation(

@@ -52,9 +52,10 @@ def test_recode_rows_splits_hot_codes(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 500 + 100).cast("int").alias("c"), "id")
     table = spark.createDataFrame([(7, "hot"), *[(i + 100, f"e{i % 9}") for i in range(0, 480)]], "code INT, entity STRING")
     plain = rows(keys.recode(df, "c", table), "id", "entity")
+    assert rows(keys.recode_rows(df, "c", table, small=False), "id", "entity") == plain
     assert rows(keys.recode_rows(df, "c", table), "id", "entity") == plain
     no_hot = table.filter("code <> 7")
-    assert rows(keys.recode_rows(df, "c", no_hot), "id", "entity") == rows(keys.recode(df, "c", no_hot), "id", "entity")
+    assert rows(keys.recode_rows(df, "c", no_hot, small=False), "id", "entity") == rows(keys.recode(df, "c", no_hot), "id", "entity")
 
 
 def test_by_entity_equals_row_level_aggregation(spark):
@@ -68,9 +69,14 @@ def test_by_entity_equals_row_level_aggregation(spark):
                 Measure("hi", "max", F.col("v")), Measure("m", "mean", F.col("v")), Measure("c", "count_if", F.col("v") > 5)]
     names = ["entity", "period", *[m.name for m in measures]]
     direct = agg.aggregate(keys.recode(df, "code", table), ["entity", "period"], measures)
-    staged = agg.by_entity(df, "code", measures, table)
-    for a, b in zip(rows(direct, *names), rows(staged, *names)):
-        assert a == pytest.approx(b)
+    for small in (True, False, None):
+        staged = agg.by_entity(df, "code", measures, table, small=small)
+        for a, b in zip(rows(direct, *names), rows(staged, *names)):
+            assert a == pytest.approx(b)
+
+
+def test_size_check(spark):
+    assert keys.is_small(spark.range(10), 10) and not keys.is_small(spark.range(11), 10)
 
 
 def panel(spark, data, *names):

@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelloom.operators import aggregates as agg
 from panelloom.operators import joins, keys, scoring
@@ -64,8 +65,15 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its schema is read from the file once, not by a job per query."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def rounded(df: DataFrame, digits: int = 6, **overrides: int) -> DataFrame:
@@ -93,6 +101,25 @@ def longs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
+_SMALL: dict[tuple[str, str], bool] = {}
+
+
+def small(spark: SparkSession, sf: str, name: str) -> bool:
+    """Whether a code table may be broadcast; its size is checked once per directory."""
+    if (sf, name) not in _SMALL:
+        _SMALL[sf, name] = keys.is_small(table(spark, sf, name))
+    return _SMALL[sf, name]
+
+
+def by_customer(spark: SparkSession, sf: str, events: DataFrame, measures: list[Measure]) -> DataFrame:
+    """Events keyed by customer, aggregated to nation and month."""
+    return agg.by_entity(events, "o_custkey", measures, customer_entities(spark, sf), small=small(spark, sf, "customer"))
+
+
+def by_supplier(spark: SparkSession, sf: str, events: DataFrame, measures: list[Measure]) -> DataFrame:
+    return agg.by_entity(events, "l_suppkey", measures, supplier_entities(spark, sf), small=small(spark, sf, "supplier"))
+
+
 # --- events: orders -------------------------------------------------------
 
 PRICE = 997.0
@@ -137,7 +164,7 @@ CONFLICT_COLUMNS = [
 def conflict_agg(spark: SparkSession, sf: str) -> DataFrame:
     """Orders per nation and month; the customer join sees pre-aggregated rows."""
     measures = agg.conflict_measures("best", "high", "low", "civilian", "kind", prefix="")
-    return agg.by_entity(order_events(spark, sf), "o_custkey", measures, customer_entities(spark, sf))
+    return by_customer(spark, sf, order_events(spark, sf), measures)
 
 
 CAGG = (
@@ -185,7 +212,7 @@ LOGGED = [c for c in CONFLICT_COLUMNS if c not in ("fatality_uncertainty", "stat
 def rate_series(spark: SparkSession, sf: str) -> DataFrame:
     """Mean price of urgent fulfilled orders per nation and month; months without any are absent."""
     urgent = order_events(spark, sf).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
-    return agg.by_entity(urgent, "o_custkey", [Measure("rate", "mean", F.col("best"))], customer_entities(spark, sf))
+    return by_customer(spark, sf, urgent, [Measure("rate", "mean", F.col("best"))])
 
 
 RATE = (
@@ -244,7 +271,7 @@ def returns_panel(spark: SparkSession, sf: str) -> DataFrame:
         Measure("mean_tone", "mean", F.col("tone")),
         Measure("peak_event_fatalities", "max", F.col("price")),
     ]
-    return agg.by_entity(returned, "l_suppkey", measures, supplier_entities(spark, sf))
+    return by_supplier(spark, sf, returned, measures)
 
 
 RETURNS = (
@@ -313,7 +340,7 @@ def annual(spark: SparkSession, sf: str) -> DataFrame:
         Measure("urgent_share", "mean", (F.col("o_orderpriority") == "1-URGENT").cast("double")),
         Measure("growth", "mean", F.col("best")),
     ]
-    per_year = agg.by_entity(events, "o_custkey", measures, customer_entities(spark, sf))
+    per_year = by_customer(spark, sf, events, measures)
     return per_year.withColumn("year", F.col("period").cast("int")).drop("period")
 
 
@@ -370,7 +397,9 @@ def coup_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coup_months(spark: SparkSession, sf: str) -> DataFrame:
-    return agg.coup_months(coup_rows(spark, sf), source="o_custkey", crosswalk=customer_entities(spark, sf))
+    return agg.coup_months(
+        coup_rows(spark, sf), source="o_custkey", crosswalk=customer_entities(spark, sf), small=small(spark, sf, "customer")
+    )
 
 
 COUPS = (

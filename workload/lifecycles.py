@@ -246,7 +246,7 @@ def volatility_final(spark, sf):
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_nationkey").cast("string").alias("entity"))
 
 
-    coded = keys.recode_rows(n, "_supplier", supplier, "ActionGeo_CountryCode")
+    coded = keys.recode_rows(n, "_supplier", supplier, "ActionGeo_CountryCode", small=base.small(spark, sf, "supplier"))
     tone = volatility.tone_months(coded, coded, 1998)
     nation = table(spark, sf, "nation").select(F.col("n_name").alias("entity"), F.col("n_nationkey").cast("string").alias("code"))
     names = F.create_map(F.lit("A"), F.lit("vix"), F.lit("N"), F.lit("gold"), F.lit("R"), F.lit("brent_oil"))

@@ -60,7 +60,7 @@ def code_recode(spark, sf):
     customer = table(spark, sf, "customer").filter(F.col("c_mktsegment") != "MACHINERY").select(F.col("c_custkey").alias("code"))
     known = customer_entities(spark, sf).join(customer, "code", "left_semi")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return keys.recode_rows(orders, "o_custkey", known)
+    return keys.recode_rows(orders, "o_custkey", known, small=base.small(spark, sf, "customer"))
 
 
 @query(

@@ -9,7 +9,7 @@ from panelloom.operators import keys, registry, sets
 from panelloom.operators.aggregates import Measure
 from workload import base
 from workload.base import (
-    CAGG, COUPS, EV, PANEL, PRICES, RETURNS, conflict_agg, conflict_panel, coup_months, customer_entities,
+    CAGG, COUPS, EV, PANEL, PRICES, RETURNS, conflict_agg, conflict_panel, coup_months,
     daily_prices, order_events, query, returns_panel, table,
 )
 from workload.scans import PUBLISHED, published
@@ -37,7 +37,7 @@ def category_counts(spark, sf):
         Measure("acled_peak_fatalities", "max", F.col("best")),
         *agg.label_measures("o_orderpriority", LABELS),
     ]
-    return agg.by_entity(order_events(spark, sf), "o_custkey", measures, customer_entities(spark, sf))
+    return base.by_customer(spark, sf, order_events(spark, sf), measures)
 
 
 @query(
@@ -46,7 +46,7 @@ def category_counts(spark, sf):
 )
 def subcategory_counts(spark, sf):
     measures = agg.label_measures("o_orderstatus", {"airstrike_count": "F", "armed_clash_count": "P"})
-    return agg.by_entity(order_events(spark, sf), "o_custkey", measures, customer_entities(spark, sf))
+    return base.by_customer(spark, sf, order_events(spark, sf), measures)
 
 
 @query(
@@ -59,7 +59,7 @@ def substring_counts(spark, sf):
     text = F.when(~F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority"))
     events = order_events(spark, sf).withColumn("txt", text)
     measures = agg.text_measures("txt", {"political_violence_count": "Urgent", "demonstration_count": "I"})
-    return agg.by_entity(events, "o_custkey", measures, customer_entities(spark, sf))
+    return base.by_customer(spark, sf, events, measures)
 
 
 def news(spark, sf):

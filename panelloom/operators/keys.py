@@ -76,7 +76,7 @@ def recode(
     so that a code with very many rows is one row per period here.
     """
     table = crosswalk.select(
-        F.col("code").cast(df.schema[code].dataType).alias("_code"), F.col("entity").alias(entity)
+        F.col("code").try_cast(df.schema[code].dataType).alias("_code"), F.col("entity").alias(entity)
     )
     how = "left" if keep_unmapped else "inner"
     return df.join(table, df[code] == table["_code"], how).drop("_code")
@@ -114,7 +114,7 @@ def recode_rows(
     counts = df.groupBy(F.col(code).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
     rows = counts.agg(F.sum("_n")).scalar()
     hot = counts.filter(F.col("_n") >= rows * hot_share).select("_code")
-    table = crosswalk.select(F.col("code").cast(df.schema[code].dataType).alias("_code"), F.col("entity").alias("_entity"))
+    table = crosswalk.select(F.col("code").try_cast(df.schema[code].dataType).alias("_code"), F.col("entity").alias("_entity"))
     lookup = F.broadcast(hot.join(table, "_code", "left").withColumn("_hot", F.lit(True)))
     tagged = df.join(lookup, df[code] == lookup["_code"], "left").drop("_code")
     done = tagged.filter(F.col("_hot") & F.col("_entity").isNotNull()).withColumnRenamed("_entity", entity).drop("_hot")
@@ -132,7 +132,7 @@ def recode_chain(df: DataFrame, code: str, first: DataFrame, second: DataFrame,
 def unmapped_codes(df: DataFrame, code: str, crosswalk: DataFrame) -> DataFrame:
     """(code, n_rows) of codes without an entity; counted first, so the anti join is small."""
     counts = df.groupBy(F.col(code).alias("code")).agg(F.count(F.lit(1)).alias("n_rows"))
-    known = crosswalk.select(F.col("code").cast(df.schema[code].dataType).alias("code"))
+    known = crosswalk.select(F.col("code").try_cast(df.schema[code].dataType).alias("code"))
     return counts.join(known, "code", "left_anti")
 
 

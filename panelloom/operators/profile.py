@@ -184,9 +184,12 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _corr(a: Column, b: Column) -> Column:
-    """Pearson correlation; NULL (not NaN) where a side has no spread."""
-    r = F.corr(a, b)
-    return F.when(~F.isnan(r), r)
+    """Pearson correlation over rows with both values; NULL where a side has no spread.
+
+    The built-in ``corr`` divides by zero there, which is an error in ANSI mode.
+    """
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
 
 
 def spearman_pairs(

@@ -107,3 +107,9 @@ def test_drop_constant_and_scaling(spark):
     scaled = preprocess.zscore_train(df, ["x"], "2020-06").filter("period <= '2020-06'")
     row = scaled.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).first()
     assert row["m"] == pytest.approx(0) and row["s"] == pytest.approx(1)
+
+
+def test_correlation_with_a_constant_is_null(spark):
+    df = spark.range(30).select(F.col("id").cast("double").alias("a"), F.lit(2.0).alias("c"), (F.col("id") * 3.0).alias("b"))
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.pearson_pairs(df, ["a", "b", "c"]).collect()}
+    assert got[("a", "b")] == pytest.approx(1.0) and got[("a", "c")] is None and got[("b", "c")] is None

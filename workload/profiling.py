@@ -20,6 +20,11 @@ def union(template: str, columns=COLUMNS, source: str = "merged") -> str:
     return " UNION ALL ".join(f"({template.replace('{c}', c)} FROM {source})" for c in columns)
 
 
+def corr_sql(a: str, b: str) -> str:
+    """Correlation, NULL where a side has no spread."""
+    return f"CASE WHEN NOT isnan(corr({a}, {b})) THEN corr({a}, {b}) END"
+
+
 NULL_PCT = "avg(CASE WHEN {c} IS NULL THEN 100.0 ELSE 0 END)"
 
 
@@ -172,7 +177,7 @@ SNAPPED = "snapped AS (SELECT entity, period, " + ", ".join(f"round({c}, 6) AS {
 
 @query(
     f"WITH {MERGED}, {SNAPPED}, ranked AS (SELECT entity, period, {RANKED} FROM snapped) SELECT *, abs(r) > 0.9 AS redundant FROM ("
-    + " UNION ALL ".join(f"(SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM ranked)" for a, b in PAIRS)
+    + " UNION ALL ".join(f"(SELECT '{a}' AS feature_a, '{b}' AS feature_b, {corr_sql(a, b)} AS r FROM ranked)" for a, b in PAIRS)
     + ") WHERE r IS NOT NULL AND NOT isnan(r)",
     doubles="r",
 )
@@ -186,7 +191,7 @@ def spearman_matrix(spark, sf):
 
 @query(
     f"WITH {MERGED} SELECT * FROM ("
-    + " UNION ALL ".join(f"(SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM merged)" for a, b in PAIRS)
+    + " UNION ALL ".join(f"(SELECT '{a}' AS feature_a, '{b}' AS feature_b, {corr_sql(a, b)} AS r FROM merged)" for a, b in PAIRS)
     + ")",
     doubles="r",
 )
@@ -292,7 +297,7 @@ REG_C_PAIRS = [(a, b) for i, a in enumerate(CLASS_COLUMNS) for b in CLASS_COLUMN
     f"WITH {CLASS_PROFILE}, miss AS ("
     + union(f"SELECT '{{c}}' AS feature, {NULL_PCT} AS missing_pct", CLASS_COLUMNS, "cs")
     + "), pairs AS ("
-    + " UNION ALL ".join(f"(SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM cs)" for a, b in REG_C_PAIRS)
+    + " UNION ALL ".join(f"(SELECT '{a}' AS a, '{b}' AS b, {corr_sql(a, b)} AS r FROM cs)" for a, b in REG_C_PAIRS)
     + """), strong AS (SELECT a AS feature, b AS other, r FROM pairs WHERE abs(r) > 0.9 UNION ALL SELECT b, a, r FROM pairs WHERE abs(r) > 0.9),
     partners AS (SELECT feature, string_agg(other || printf('(%.2f)', r), '; ' ORDER BY other) AS correlated_with, min(other) AS first FROM strong GROUP BY feature)
     SELECT p.feature AS feature_name, CASE WHEN p.feature = 'rate' THEN 'Yahoo Finance' ELSE 'GDELT' END AS source,

@@ -5,14 +5,16 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join
+from . import decontamination, embedding_dedup, jaccard_join
 
 QUERIES = {
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
+    "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
 }
 
 ORACLES = {
     "op5_benchmark_decontamination": decontamination.OP5_SQL,
+    "op8_embedding_near_dedup": embedding_dedup.OP8_SQL,
     "op9_ngram_jaccard_join": jaccard_join.OP9_SQL,
 }

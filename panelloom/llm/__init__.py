@@ -5,9 +5,11 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, jaccard_join
+from . import decontamination, embedding_dedup, jaccard_join, quality, toxicity
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
+    "op4_toxicity_weak_supervision": toxicity.op4_toxicity_weak_supervision,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,

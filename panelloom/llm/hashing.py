@@ -81,11 +81,9 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         lo = hi
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z as a-z) in order, and the words per text."""
-    n, docs = len(raw), len(offsets) - 1
-    if n == 0:
-        return np.zeros(0, U), np.zeros(docs, np.int64)
+def _bounds(raw: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of every word."""
+    n = len(raw)
     inside = WORD_BYTES[kind][raw]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -94,13 +92,40 @@ def words(raw: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray,
     edges = edges[(edges > 0) & (edges < n)]
     starts[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
-    first, last = np.flatnonzero(starts), np.flatnonzero(ends)
-    up, down = _powers(n)
-    sums = np.cumsum(BYTE_VALUES[raw] * up, dtype=U)
-    before = np.where(first > 0, sums[first - 1], U(0))
-    hashes = mix((sums[last] - before) * down[first] + (last - first + 1).astype(U) * U(BASE))
-    per_text = np.diff(np.searchsorted(first, offsets))
-    return hashes, per_text
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+class Bytes:
+    """Prefix sums over the bytes of many texts, from which any range has its hash in constant time."""
+
+    def __init__(self, raw: np.ndarray):
+        up, self.down = _powers(len(raw))
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTE_VALUES[raw] * up, dtype=U)])
+
+    def hashes(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return mix((self.sums[first + length] - self.sums[first]) * self.down[first] + length.astype(U) * U(BASE))
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (A-Z as a-z) in order, and the words per text."""
+    return words_and_beginnings(raw, offsets, kind, ())[:2]
+
+
+def words_and_beginnings(
+    raw: np.ndarray, offsets: np.ndarray, kind: str, lengths: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """As ``words``, and for each length the hashes of that many first bytes of every longer word, with the word's number."""
+    if len(raw) == 0:
+        empty = np.zeros(0, U), np.zeros(0, np.int64)
+        return empty[0], np.zeros(len(offsets) - 1, np.int64), [empty for _ in lengths]
+    first, last = _bounds(raw, offsets, kind)
+    size = last - first + 1
+    sums = Bytes(raw)
+    stems = []
+    for length in lengths:
+        longer = np.flatnonzero(size > length)
+        stems.append((mix(sums.hashes(first[longer], np.full(len(longer), length)) + U(1)), longer))
+    return sums.hashes(first, size), np.diff(np.searchsorted(first, offsets)), stems
 
 
 def shingles(hashes: np.ndarray, per_text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,12 +5,13 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_text, jaccard_join, license_scan, quality, toxicity
+from . import decontamination, embedding_dedup, html_text, jaccard_join, license_scan, line_dedup, quality, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_toxicity_weak_supervision": toxicity.op4_toxicity_weak_supervision,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_license_scans": license_scan.op7_license_scans,
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLES = {
     "op5_benchmark_decontamination": decontamination.OP5_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_license_scans": license_scan.OP7_SQL,
     "op8_embedding_near_dedup": embedding_dedup.OP8_SQL,
     "op9_ngram_jaccard_join": jaccard_join.OP9_SQL,

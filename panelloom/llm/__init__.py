@@ -5,10 +5,12 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_text, jaccard_join, license_scan, line_dedup, quality, toxicity
+from . import decontamination, embedding_dedup, html_text, jaccard_join, license_scan, line_dedup, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_mixing_sources": mixing.op1_mixing_sources,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_sharding": sharding.op3_sharding,
     "op4_toxicity_weak_supervision": toxicity.op4_toxicity_weak_supervision,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_line_dedup": line_dedup.op6_line_dedup,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_mixing_sources": mixing.OP1_SQL,
     "op5_benchmark_decontamination": decontamination.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_license_scans": license_scan.OP7_SQL,

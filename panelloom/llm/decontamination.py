@@ -145,6 +145,12 @@ def leaks(
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_item")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents that hold no benchmark item, all columns."""
+    found = leaks(docs, benchmark, id_col).select(id_col).distinct()
+    return docs.join(found, id_col, "left_anti").select(docs.columns)
+
+
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """One row per (document, item) leak."""
     found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

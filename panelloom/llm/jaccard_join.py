@@ -3,9 +3,9 @@
 A document's set is its distinct word shingles.  Two sets x, y with
 Jaccard >= p/100 have sizes within that ratio, so they lie in the same or in
 adjacent *bands* (band b holds sizes around (100/p)**b), and their symmetric
-difference is at most (|x|+|y|) * (100-p)/(100+p).  Cut the space of shingle hashes into one
-slice more than that number: the two sets agree entirely on at least one
-slice.  A *tile* is (band, slice, content of the slice): documents of the band
+difference is at most (|x|+|y|) * (100-p)/(100+p).  Cut the space of shingle hashes into more
+slices than that number: the two sets agree entirely on at least one
+slice (on one that is not empty: see ``slice_counts``).  A *tile* is (band, slice, content of the slice): documents of the band
 and visitors from the band below that agree there.  Every linked pair meets in a
 tile, and a tile holds little else, because a slice of ten or so scattered
 shingles only agrees when nearly the whole texts do; a common passage alone
@@ -54,15 +54,25 @@ def band_edges(percent: int, up_to: int = 1 << 40) -> np.ndarray:
     return np.floor(ratio ** np.arange(1, n + 1)).astype(np.int64)
 
 
-def slice_counts(edges: np.ndarray, percent: int) -> np.ndarray:
-    """Slices of each band: one more than two linked sets of it can differ in."""
-    return 2 * edges * (100 - percent) // (100 + percent) + 1
+def slice_counts(edges: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of each band, and how many of them a set may have empty without using those as tiles.
+
+    Two linked sets differ in at most ``most`` slices, so with ``most + 1 + spare`` slices they
+    agree on ``spare + 1`` or more.  A set with at most ``spare`` empty slices
+    agrees with every partner on one that is not empty.  ``spare`` is a few standard deviations above
+    the expected number, so hardly any set needs its empty slices, which many sets share.
+    """
+    most = 2 * edges * (100 - percent) // (100 + percent)
+    smallest = np.maximum(edges * percent // 100 * percent // 100, 1)  # of the visitors from the band below
+    expected = (most + 1) * np.exp(-smallest / (most + 1.0))
+    spare = np.where(most > 0, np.ceil(expected + 4 * np.sqrt(expected)), 0).astype(np.int64)
+    return most + 1 + spare, spare
 
 
 def set_rows(size: int, percent: int, kind: str):
     """Arrow function: id, text -> id, set size, digest, tile keys."""
     edges = band_edges(percent)
-    parts = slice_counts(edges, percent)
+    parts, spare = slice_counts(edges, percent)
 
     def keys_of(sets, counts, band, owner):
         n_parts = np.where(counts > 0, parts[band], 0)
@@ -72,7 +82,12 @@ def set_rows(size: int, percent: int, kind: str):
         content = H.sums_by_segment(H.mix(sets ^ U(0xA5A5A5A5A5A5A5A5)), per_piece)
         place = np.arange(len(content)) - np.repeat(first, n_parts)
         label = np.repeat(band, n_parts).astype(U) * U(1 << 40) + place.astype(U)
-        return H.mix(content + H.mix(label * U(H.BASE))), n_parts
+        keys = H.mix(content + H.mix(label * U(H.BASE)))
+        text = np.repeat(np.arange(len(n_parts)), n_parts)
+        empty = per_piece == 0
+        many = np.bincount(text[empty], minlength=len(n_parts)) > spare[band]
+        kept = ~empty | many[text]
+        return keys[kept], np.bincount(text[kept], minlength=len(n_parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,3 +341,18 @@ links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN frequent USING (
 reach(doc_id, node) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON r.node = l.u)
 SELECT s.doc_id, len(s.s) AS n_shingles, min(r.node) AS component_id
 FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near copies: of each component the one with the smallest id, all columns.
+
+    Rows without an id stay; of rows with one id a single one stays.
+    """
+    found = jaccard_components(docs, id_col, text_col, size, percent, "alnum")
+    copies = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(copies, id_col, "left_anti")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    several = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(several.select(docs.columns))

@@ -136,6 +136,24 @@ def quality_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     )
 
 
+def accepted_rows(model: Model | None, text_col: str):
+    """Arrow function: the rows whose score is at least 0.5, all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = score_rows(model)
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text_col))], names=["text"])
+            (scored,) = scorer(iter([texts]))
+            yield batch.filter(pa.array(scored.column(0).to_numpy() >= 0.5))
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents the classifier does not reject, all columns."""
+    return docs.mapInArrow(accepted_rows(quality_model(docs, labels, id_col, text_col), text_col), docs.schema)
+
+
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_scores(docs, quality_model(docs, read(spark, sf_dir, "labels")))

@@ -42,9 +42,11 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("expat", "expat", ["expat license"]),
     ("bsd-4-clause", "bsd", ["bsd 4 clause license?", "original bsd license", "four clause bsd license?"]),
     ("bsd-3-clause", "bsd", ["bsd 3 clause license?", "new bsd license", "revised bsd license", "modified bsd license", "three clause bsd license?"]),
-    ("bsd-2-clause", "bsd", ["bsd 2 clause license?", "simplified bsd license", "freebsd|bsd license", "two clause bsd license?"]),
+    ("bsd-2-clause", "bsd", ["bsd 2 clause license?", "simplified bsd license", "bsd license", "two clause bsd license?"]),
+    ("bsd-2-clause", "freebsd", ["freebsd license"]),
     ("0bsd", "bsd", ["zero clause bsd license?", "0 clause bsd license?"]),
-    ("isc", "isc", ["isc license", "internet systems consortium license"]),
+    ("isc", "isc", ["isc license"]),
+    ("isc", "consortium", ["internet systems consortium license"]),
     ("zlib", "zlib", ["zlib libpng license", "zlib license"]),
     ("libpng", "libpng", ["libpng license"]),
     ("mpl-2.0", "mozilla", ["mozilla public license version? 2 0?", "mozilla public license v2"]),
@@ -69,12 +71,13 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("elastic-2.0", "elastic", ["elastic license version? v? 2 0?", "elastic license"]),
     ("unlicense", "unlicense", ["the unlicense", "unlicense license"]),
     ("wtfpl", "want", ["do what the fuck you want to public license version? 2?"]),
-    ("cc0-1.0", "cc0", ["cc0 1 0 universal", "cc0 1 0", "creative commons zero v?1? 0?", "cc0 public domain dedication", "cc0"]),
-    ("cc-by-nc-nd", "nc", ["cc by nc nd [1-4]? [05]?"]),
-    ("cc-by-nc-sa", "nc", ["cc by nc sa [1-4]? [05]?"]),
-    ("cc-by-nc", "nc", ["cc by nc [1-4]? [05]?"]),
-    ("cc-by-nd", "nd", ["cc by nd [1-4]? [05]?"]),
-    ("cc-by-sa", "sa", ["cc by sa [1-4]? [05]?"]),
+    ("cc0-1.0", "cc0", ["cc0 1 0 universal", "cc0 1 0", "cc0 public domain dedication", "cc0"]),
+    ("cc0-1.0", "zero", ["creative commons zero v?1? 0?"]),
+    ("cc-by-nc-nd", "cc", ["cc by nc nd [1-4]? [05]?"]),
+    ("cc-by-nc-sa", "cc", ["cc by nc sa [1-4]? [05]?"]),
+    ("cc-by-nc", "cc", ["cc by nc [1-4]? [05]?"]),
+    ("cc-by-nd", "cc", ["cc by nd [1-4]? [05]?"]),
+    ("cc-by-sa", "cc", ["cc by sa [1-4]? [05]?"]),
     ("cc-by-4.0", "cc", ["cc by 4 0"]),
     ("cc-by-3.0", "cc", ["cc by 3 0"]),
     ("cc-by-2.5", "cc", ["cc by 2 5"]),
@@ -86,10 +89,11 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("cc-by-sa", "sharealike", ["creative commons attribution sharealike [1-4]? [05]? international|unported? license?"]),
     ("cc-by", "attribution", ["creative commons attribution [1-4]? [05]? international|unported? license?"]),
     ("odbl", "database", ["open data commons open database license", "open database license"]),
-    ("odc-by", "commons", ["open data commons attribution license"]),
+    ("odc-by", "attribution", ["open data commons attribution license"]),
     ("pddl", "dedication", ["public domain dedication and license"]),
     ("ogl-uk-3.0", "government", ["open government licen[cs]e version? v? 3 0?", "open government licen[cs]e"]),
-    ("python-2.0", "python", ["python software foundation license version? 2?", "psf license agreement?"]),
+    ("python-2.0", "python", ["python software foundation license version? 2?"]),
+    ("python-2.0", "psf", ["psf license agreement?"]),
     ("php-3.01", "php", ["php license version? 3 01", "php license"]),
     ("ruby", "ruby", ["ruby license", "terms of ruby"]),
     ("postgresql", "postgresql", ["postgresql licen[cs]e"]),
@@ -99,9 +103,9 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("ms-rl", "microsoft", ["microsoft reciprocal license"]),
     ("apsl-2.0", "apple", ["apple public source license version? 2 0?"]),
     ("afl-3.0", "academic", ["academic free license version? v? 3 0", "academic free license"]),
-    ("osl-3.0", "open", ["open software license version? v? 3 0", "open software license"]),
+    ("osl-3.0", "software", ["open software license version? v? 3 0", "open software license"]),
     ("ncsa", "ncsa", ["university of illinois ncsa open source license", "ncsa open source license"]),
-    ("upl-1.0", "universal", ["universal permissive license version? v? 1? 0?"]),
+    ("upl-1.0", "permissive", ["universal permissive license version? v? 1? 0?"]),
     ("vim", "vim", ["vim license"]),
     ("w3c", "w3c", ["w3c software notice and license", "w3c software license"]),
     ("unicode", "unicode", ["unicode license agreement", "unicode inc license agreement"]),
@@ -123,14 +127,14 @@ SHORT: list[tuple[str, str, str]] = [
     ("agpl-3.0", "agpl", "agpl v?3 0?"), ("mpl-2.0", "mpl", "mpl 2 0"), ("epl-2.0", "epl", "epl 2 0"), ("apache-2.0", "apache", "apache 2 0"),
     ("bsd-3-clause", "bsd", "bsd 3 clause"), ("bsd-2-clause", "bsd", "bsd 2 clause"), ("0bsd", "0bsd", "0bsd"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib"),
     ("mit", "mit", "mit"), ("unlicense", "unlicense", "unlicense"), ("bsl-1.0", "bsl", "bsl 1 0"), ("cc0-1.0", "cc0", "cc0 1 0"),
-    ("ofl-1.1", "ofl", "ofl 1 1"), ("artistic-2.0", "artistic", "artistic 2 0"), ("wtfpl", "wtfpl", "wtfpl"), ("ms-pl", "ms", "ms pl"),
+    ("ofl-1.1", "ofl", "ofl 1 1"), ("artistic-2.0", "artistic", "artistic 2 0"), ("wtfpl", "wtfpl", "wtfpl"), ("ms-pl", "pl", "ms pl"),
     ("odbl", "odbl", "odbl 1? 0?"), ("eupl-1.2", "eupl", "eupl 1 2"), ("python-2.0", "psf", "psf 2 0"),
 ]
 
 # Phrases of license texts themselves; label, keyword, words.  Fixed values.
 TEXTS: list[tuple[str, str, str]] = [
-    ("mit", "sublicense", "permission is hereby granted free of charge to any person obtaining a copy ... software"),
-    ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied"),
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy ... software"),
+    ("mit", "warranty", "the software is provided as is without warranty of any kind express or implied"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software"),
     ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software"),
@@ -148,7 +152,7 @@ TEXTS: list[tuple[str, str, str]] = [
     ("wtfpl", "fuck", "you just do what the fuck you want to"),
     ("bsl-1.0", "boost", "distributed under the boost software license"),
     ("cc-by-sa", "share", "share alike if you remix transform or build upon the material"),
-    ("cc-by", "attribution", "you must give appropriate credit provide a link to the license"),
+    ("cc-by", "credit", "you must give appropriate credit provide a link to the license"),
 ]
 
 VERBS = "licensed|released|distributed|available|published|covered"

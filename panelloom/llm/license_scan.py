@@ -36,11 +36,9 @@ def spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(inner), F.lit(" "))
 
 
-def gate(rules: list[Rule]) -> str:
-    """One expression that finds any keyword or base phrase, in raw text; matches inside words do no harm."""
-    words = sorted({r.keyword for r in rules})
-    phrases = [phrase.split(" ") for phrase in BASE]
-    return "(?i)(?:" + "|".join([*words, *(GAP.join(p) for p in phrases)]) + ")"
+def telling(rules: list[Rule]) -> Column:
+    """All keywords, and the first word of every base phrase."""
+    return F.array(*[F.lit(w) for w in sorted({r.keyword for r in rules} | {phrase.split(" ")[0] for phrase in BASE})])
 
 
 def word_number(text: Column, place: Column) -> Column:
@@ -55,7 +53,7 @@ def rule_table(rules: list[Rule]) -> Column:
             F.struct(
                 F.lit(r.label).alias("label"),
                 F.lit(r.priority).alias("priority"),
-                F.lit(f" {r.keyword} ").alias("keyword"),
+                F.lit(r.keyword).alias("keyword"),
                 F.lit(pattern(r.words)).alias("pattern"),
                 F.lit(r.weight).alias("weight"),
             )
@@ -77,9 +75,9 @@ def places(text: Column, found: Column) -> Column:
     return state["starts"]
 
 
-def matches(text: Column, rules: list[Rule]) -> Column:
-    """All matches of the rules whose keyword occurs: label, priority, weight, first and last place."""
-    live = F.filter(rule_table(rules), lambda r: F.contains(text, r["keyword"]))
+def matches(text: Column, present: Column, rules: list[Rule]) -> Column:
+    """All matches of the rules whose keyword is present: label, priority, weight, first and last place."""
+    live = F.filter(rule_table(rules), lambda r: F.array_contains(present, r["keyword"]))
 
     def of(r):
         found = F.regexp_extract_all(text, r["pattern"], F.lit(0))
@@ -132,17 +130,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     the weight of the surest of them, or 0.75 for a base phrase alone.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.regexp_count(raw, F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(raw.rlike(gate(rules)), spaced(raw)).alias("text"),
-    )
+    # The words once, for their number and the gate; other letters than A-Z do not matter to either.
+    words = docs.select(F.col(id_col).alias("id"), raw.alias("raw"), F.regexp_extract_all(F.lower(raw), F.lit(WORD), F.lit(0)).alias("words"))
+    rows = words.select(
+        "id", "raw", F.size("words").cast("long").alias("n_words"), F.array_intersect(telling(rules), "words").alias("present")
+    ).select("id", "n_words", "present", F.when(F.size("present") > 0, spaced(F.col("raw"))).alias("text"))
     text = F.col("text")
     number, first, last, labels = base_counts(text)
     rows = rows.select(
         "id", "n_words", "text",
         number.alias("n_base"), first.alias("first_word"), last.alias("last_word"), labels.alias("base"),
-        matches(text, rules).alias("found"),
+        F.when(text.isNotNull(), matches(text, F.col("present"), rules)).alias("found"),
     ).select("*", surviving(F.col("found")).alias("kept"))
     empty = F.array().cast("array<string>")
     base = F.array_sort(F.array_distinct(F.coalesce("base", empty)))

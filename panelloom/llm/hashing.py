@@ -139,7 +139,7 @@ def shingles(hashes: np.ndarray, per_text: np.ndarray, size: int) -> tuple[np.nd
     if n == 0:
         return np.zeros(0, U), runs
     rolled = hashes.copy()
-    for j in range(1, size):
+    for j in range(1, min(size, n)):
         rolled[: n - j] = rolled[: n - j] * U(0xD6E8FEB86659FD93) + hashes[j:]
     keep = np.ones(n, dtype=bool)
     owner = np.repeat(np.arange(len(per_text)), per_text)

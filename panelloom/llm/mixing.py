@@ -131,7 +131,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
     Rows that are equal in id, source and text share their drawings evenly, rounded.
     """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit("")), F.when(F.col(id_col).isNull(), F.col(text_col)))
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, source_col, text_col)])
     keyed = docs.withColumn("mixing key", key)
     drawn = schedule(keyed, "mixing key", source_col, text_col).groupBy("mixing key").agg(F.count("*").alias("drawings"))
     rows = keyed.groupBy("mixing key").agg(F.count("*").alias("rows"))

@@ -35,9 +35,10 @@ from .samples import fold, labelled_sample, logistic, sigmoid
 from .stages import read
 
 U = np.uint64
-PER_CLASS = 4000
+PER_CLASS = 2000
+LEAST = 3  # toxic texts that hold a feature
 STEMS = (4, 5, 6, 7)  # bytes of the word beginnings that are features
-SELECTED = 1500  # features of the classifier, at most
+SELECTED = 800  # features of the classifier, at most
 GAIN = 4.0  # standard errors by which such a feature must differ between the classes
 PENALTY = 0.3
 DRAWN = 6  # voters made of stems from labelled text
@@ -101,24 +102,29 @@ def hand_written() -> Voters:
     return Voters(names, np.concatenate(words), np.concatenate(bits))
 
 
-def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    data = [t.encode() for t in texts]
-    return np.frombuffer(b"".join(data), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-
-
-def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (feature, text) of a list of texts."""
-    hashes, owner = [], []
-    for lo, hi, raw, offsets in H.slices(pa.array(texts, pa.large_string())):
-        h, o, _ = features(raw, offsets)
-        order = np.lexsort((h, o))
-        h, o = h[order], o[order]
-        fresh = np.ones(len(h), dtype=bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-        hashes.append(h[fresh])
-        owner.append(o[fresh] + lo)
-    if not hashes:
-        return np.zeros(0, U), np.zeros(0, np.int64)
+def presence(texts: list[str], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (feature, text) of a list of texts, of features that at least LEAST toxic ones hold.
+
+    A first pass counts toxic texts per bucket of features, so that the second keeps few others.
+    """
+
+    def distinct():
+        for lo, _, raw, offsets in H.slices(pa.array(texts, pa.large_string())):
+            h, o, _ = features(raw, offsets)
+            order = np.lexsort((h, o))
+            h, o = h[order], o[order]
+            fresh = np.ones(len(h), dtype=bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+            yield h[fresh], o[fresh] + lo
+
+    counts = np.zeros(1 << 22, dtype=np.int32)
+    for h, o in distinct():
+        np.add.at(counts, (h[label[o] == 1] >> U(42)).astype(np.int64), 1)
+    hashes, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for h, o in distinct():
+        keep = counts[(h >> U(42)).astype(np.int64)] >= LEAST
+        hashes.append(h[keep])
+        owner.append(o[keep])
     return np.concatenate(hashes), np.concatenate(owner)
 
 
@@ -129,7 +135,7 @@ def with_drawn_stems(voters: Voters, hashes: np.ndarray, owner: np.ndarray, labe
     clean = np.bincount(inverse, weights=1 - label[owner], minlength=len(values))
     n1, n0 = max(label.sum(), 1), max((1 - label).sum(), 1)
     lift = ((toxic + 0.1) / n1) / ((clean + 0.5) / n0)
-    chosen = values[(toxic >= np.maximum(4, SUPPORT * n1)) & (lift >= LIFT)]
+    chosen = values[(toxic >= np.maximum(LEAST + 1, SUPPORT * n1)) & (lift >= LIFT)]
     group = (H.mix(chosen ^ U(0x5BD1E995)) % U(DRAWN)).astype(np.int64)
     return Voters(
         voters.names + [f"drawn_{i}" for i in range(DRAWN)],
@@ -254,14 +260,14 @@ def fit_classifier(hashes: np.ndarray, owner: np.ndarray, target: np.ndarray, we
     n1, n0 = max(target.sum(), 1e-9), max((1 - target).sum(), 1e-9)
     rate1, rate0 = toxic / n1, clean / n0
     gain = (rate1 - rate0) / np.sqrt((rate1 + 0.5 / n1) / n1 + (rate0 + 0.5 / n0) / n0)
-    frequent = np.flatnonzero((toxic >= np.maximum(3, SUPPORT * n1 / 2)) & (gain >= GAIN))
+    frequent = np.flatnonzero((toxic >= np.maximum(LEAST, SUPPORT * n1 / 2)) & (gain >= GAIN))
     chosen = np.sort(frequent[np.argsort(-gain[frequent], kind="stable")[:SELECTED]])
     column = np.full(len(values), -1)
     column[chosen] = np.arange(len(chosen))
     at = column[inverse]
-    x = np.zeros((n, len(chosen)), dtype=np.float32)
+    x = np.zeros((n, len(chosen)))
     x[owner[at >= 0], at[at >= 0]] = 1
-    beta = logistic(x.astype(np.float64), target, weight, PENALTY, steps=12)
+    beta = logistic(x, target, weight, PENALTY, steps=12)
     return Classifier(values[chosen], beta[:-1], float(beta[-1]))
 
 
@@ -289,7 +295,7 @@ def toxicity_scores(
     sample = labelled_sample(docs, labels, label_col, id_col, text_col, usable, per_class)
     texts = [t for t, _, _ in sample]
     label = np.array([y for _, y, _ in sample], dtype=float)
-    hashes, owner = presence(texts)
+    hashes, owner = presence(texts, label)
     voters = compact(with_drawn_stems(hand_written(), hashes, owner, label))
 
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(

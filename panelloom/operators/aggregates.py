@@ -65,7 +65,9 @@ def by_entity(
             partial += [F.sum(m.value).alias(f"{m.name}__s"), F.count(m.value).alias(f"{m.name}__n")]
             final.append(F.try_divide(F.sum(f"{m.name}__s"), F.sum(f"{m.name}__n")).alias(m.name))
         elif m.how == "std":
-            raise ValueError(f"{m.name}: a standard deviation does not merge from partial rows")
+            n, mean, centred = (f"{m.name}__{x}" for x in "nmc")
+            partial += [F.count(m.value).alias(n), F.avg(m.value).alias(mean), (F.var_pop(m.value) * F.count(m.value)).alias(centred)]
+            final.append(_merged_std(F.col(n), F.col(mean), F.col(centred)).alias(m.name))
         else:
             partial.append(_DIRECT[m.how](m.value).alias(m.name))
             merge = {"min": F.min, "max": F.max}.get(m.how, F.sum)
@@ -74,6 +76,14 @@ def by_entity(
     return keys.recode(per_code, code, crosswalk, entity).groupBy(entity, period).agg(*final)
 
 
+def _merged_std(n: Column, mean: Column, centred: Column) -> Column:
+    """Sample deviation from the count, mean and centred sum of squares of the parts."""
+    total = F.sum(n)
+    between = F.sum(n * mean * mean) - F.try_divide(F.sum(n * mean) * F.sum(n * mean), total)
+    inside = F.coalesce(F.sum(centred), F.lit(0.0)) + F.greatest(between, F.lit(0.0))
+    return F.when(total > 1, F.sqrt(inside / (total - 1)))
+
+
 def conflict_measures(
     best: str, high: str, low: str, civilian: str, kind: str, prefix: str = "ucdp_", kinds=(1, 2, 3)
 ) -> list[Measure]:

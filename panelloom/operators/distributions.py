@@ -3,17 +3,20 @@
 Two families: a zero-inflated mixture of log-normals (``pi_zero``, arrays
 ``mix_weights``, ``mus``, ``sigmas``) and a hurdle Student t on log1p counts
 (``conflict_logit``, ``mu``, ``sigma``, ``nu``).  Densities that Spark SQL can
-express stay there; erf, log-gamma and the incomplete beta function run in Arrow
-batches.
+express stay there, the samplers included; erf, log-gamma and the incomplete beta
+function run in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,23 +58,26 @@ def zilnm_logprob(df: DataFrame, y: str = "y", name: str = "logprob") -> DataFra
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_cdf(z: pd.Series) -> pd.Series:
-    return pd.Series(special.normal_cdf(z.to_numpy(dtype=float)), index=z.index)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _normal_cdfs(scores: pa.Array) -> pa.Array:
+    flat = scores.flatten()
+    values = special.normal_cdf(flat.to_numpy(zero_copy_only=False))
+    lengths = pc.fill_null(pc.list_value_length(scores), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, mask=np.isnan(values)))
 
 
-def zilnm_cdf(df: DataFrame, y: str = "y", name: str = "cdf", components: int = 3) -> DataFrame:
-    """Distribution function at y, clipped to [0, 1].
+def zilnm_cdf(df: DataFrame, y: str = "y", name: str = "cdf") -> DataFrame:
+    """Distribution function at y, clipped to [0, 1]; any number of mixture parts.
 
-    Only the standard scores of the ``components`` mixture parts cross to Python.
+    Only the standard scores cross to Python, as one list per row.
     """
     log_y = F.log(F.greatest(F.col(y), F.lit(MIN_POSITIVE)))
-    mixture: Column = F.lit(0.0)
-    for i in range(components):
-        z = (log_y - F.col("mus")[i]) / F.col("sigmas")[i]
-        mixture = mixture + F.col("mix_weights")[i] * _normal_cdf(z)
+    scores = F.zip_with("mus", "sigmas", lambda mu, sigma: (log_y - mu) / sigma)
+    parts = F.zip_with("mix_weights", _normal_cdfs(scores), lambda w, p: w * p)
+    mixture = F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
     value = F.col("pi_zero") + (1 - F.col("pi_zero")) * mixture
-    return df.withColumn(name, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+    return df.withColumn(name, F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))))
 
 
 def _log_sigmoid(x: Column) -> Column:
@@ -111,53 +117,64 @@ def hurdle_t_cdf(df: DataFrame, y: str = "y", name: str = "cdf") -> DataFrame:
     return df.withColumn(name, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
-def _seeds(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    return df.withColumn("_seed", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
+def _uniforms(keys: Sequence[str], seed: int, salt: str, draw: Column) -> tuple[Column, Column]:
+    """Two numbers in (0, 1) from one digest of seed, salt, draw number and keys, which any engine can repeat."""
+    digest = F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.lit(salt), draw.cast("string"), *[F.col(k).cast("string") for k in keys]))
 
+    def number(at: int) -> Column:
+        return (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
-def _draw(df: DataFrame, keys: Sequence[str], params: Sequence[str], n: int, seed: int, one) -> DataFrame:
-    """Draw n samples per row with a generator seeded by the row's key.
+    return number(1), number(14)
 
-    A retried or moved task draws the same numbers.  Rows need no grouping, so
-    the job is one map over the partitions.
-    """
-    seeded = _seeds(df.select(*keys, *params), keys, seed)
-    fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType([*sorted(fields, key=lambda f: keys.index(f.name)), T.StructField("samples", T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[list(keys)].copy()
-            out["samples"] = [
-                one(np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF), n, *values)
-                for s, *values in zip(batch["_seed"], *[batch[p] for p in params])
-            ]
-            yield out
+def _samples(df: DataFrame, keys: Sequence[str], params: Sequence[str], n: int, value) -> DataFrame:
+    """(keys..., samples): n draws per row by an expression of the draw number; NULL where a parameter is NULL.
 
-    return seeded.mapInPandas(run, schema)
+    A retried or moved task draws the same numbers, and rows need no grouping.
+    """
+    known = [F.col(p).isNotNull() for p in params]
+    whole = reduce(lambda a, b: a & b, known)
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(n)), value)
+    return df.select(*keys, *[p for p in params if p not in keys]).select(*keys, F.when(whole, drawn).alias("samples"))
 
 
-def _zilnm_one(rng, n, pi_zero, weights, mus, sigmas):
-    weights = np.asarray(weights, dtype=float)
-    part = rng.choice(len(weights), size=n, p=weights / weights.sum())
-    value = np.exp(np.asarray(mus)[part] + np.asarray(sigmas)[part] * rng.standard_normal(n))
-    return np.round(np.where(rng.random(n) >= pi_zero, value, 0.0)).clip(min=0.0)
+def zilnm_sample(df: DataFrame, keys: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys..., samples): rounded draws from the zero-inflated log-normal mixture (normal scores by Box and Muller)."""
+    total = F.aggregate("mix_weights", F.lit(0.0), lambda acc, w: acc + w)
+
+    def value(i: Column) -> Column:
+        gate, choice = _uniforms(keys, seed, "part", i)
+        radius, angle = _uniforms(keys, seed, "normal", i)
+        # The part whose stretch of the cumulative weights holds the choice.
+        walked = F.aggregate(
+            "mix_weights",
+            F.struct(F.lit(0.0).alias("upto"), F.lit(0).alias("part")),
+            lambda acc, w: F.struct((acc["upto"] + w).alias("upto"), (acc["part"] + (choice * total >= acc["upto"] + w).cast("int")).alias("part")),
+        )
+        part = F.least(walked["part"], F.size("mix_weights") - 1)
+        score = F.sqrt(-2 * F.log(radius)) * F.cos(2 * math.pi * angle)
+        level = F.exp(F.get("mus", part) + F.get("sigmas", part) * score)
+        return F.when(gate >= F.col("pi_zero"), F.greatest(F.bround(level), F.lit(0.0))).otherwise(0.0)
 
+    return _samples(df, keys, ["pi_zero", "mix_weights", "mus", "sigmas"], n, value)
 
-def zilnm_sample(df: DataFrame, keys: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys..., samples): rounded draws from the zero-inflated log-normal mixture."""
-    return _draw(df, keys, ["pi_zero", "mix_weights", "mus", "sigmas"], n, seed, _zilnm_one)
 
+def hurdle_t_sample(df: DataFrame, keys: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys..., samples): rounded draws from the hurdle Student t, log values capped.
 
-def _hurdle_one(rng, n, logit, mu, sigma, nu):
-    log_y = mu + sigma * rng.standard_t(nu, size=n)
-    value = np.expm1(np.minimum(log_y, MAX_LOG)).clip(min=0.0)
-    return np.round(np.where(rng.random(n) < 1 / (1 + math.exp(-logit)), value, 0.0))
+    The t score is Bailey's polar form, for any degrees of freedom.
+    """
 
+    def value(i: Column) -> Column:
+        gate, _ = _uniforms(keys, seed, "gate", i)
+        radius, angle = _uniforms(keys, seed, "student", i)
+        nu = F.col("nu")
+        score = F.sqrt(nu * (F.pow(radius, -2 / nu) - 1)) * F.cos(2 * math.pi * angle)
+        log_y = F.least(F.col("mu") + F.col("sigma") * score, F.lit(MAX_LOG))
+        open_gate = gate < 1 / (1 + F.exp(-F.col("conflict_logit")))
+        return F.when(open_gate, F.bround(F.greatest(F.expm1(log_y), F.lit(0.0)))).otherwise(0.0)
 
-def hurdle_t_sample(df: DataFrame, keys: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys..., samples): rounded draws from the hurdle Student t, log values capped."""
-    return _draw(df, keys, ["conflict_logit", "mu", "sigma", "nu"], n, seed, _hurdle_one)
+    return _samples(df, keys, ["conflict_logit", "mu", "sigma", "nu"], n, value)
 
 
 def _spike_weight(y: str, threshold: float, factor: float) -> Column:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from panelloom.functions import scalar
 
 
-MAX_LABELS = 1_000
-
-
 def log1p_clip(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """log1p(max(x, 0)) on the listed columns that exist."""
     return df.withColumns({c: scalar.log1p_clipped(F.col(c)) for c in columns if c in df.columns})
@@ -46,17 +43,19 @@ def one_hot_open(df: DataFrame, column: str, prefix: str, labels: Sequence[str]
     """One 0/1 column per label that occurs.
 
     The labels fix the output schema, so without ``labels`` the distinct ones
-    come to the driver; a column with more than ``MAX_LABELS`` is no category
-    and is refused.
+    come to the driver.  ``one_hot_long`` needs none of them there.
     """
     if labels is None:
-        found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_LABELS + 1).collect()
-        if len(found) > MAX_LABELS:
-            raise ValueError(f"{column} has more than {MAX_LABELS} labels")
+        found = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
         labels = sorted(r[0] for r in found)
     return df.withColumns({f"{prefix}_{v}": scalar.flag(F.col(column) == v) for v in labels})
 
 
+def one_hot_long(df: DataFrame, column: str, keys: Sequence[str] = ("entity", "period")) -> DataFrame:
+    """(keys..., label, flag): a row for each label that is set; for categories too wide for columns."""
+    return df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("label"), F.lit(1).alias("flag"))
+
+
 def availability(df: DataFrame, markers: Mapping[str, str]) -> DataFrame:
     """flag -> 1 where the source's marker column is known, 0 if it is missing or absent."""
     flags = {}

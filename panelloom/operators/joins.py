@@ -125,10 +125,17 @@ def outer_merge(
 
 
 def merge_panels(
-    panels: Sequence[DataFrame], entity: str = "entity", period: str = "period", partitions: int | None = None
+    panels: Sequence[DataFrame],
+    entity: str = "entity",
+    period: str = "period",
+    partitions: int | None = None,
+    unique: bool = True,
 ) -> DataFrame:
     """Full outer merge of any number of panels with unique keys.
 
+    A panel with two rows at one key is an error; with ``unique`` false they are
+    folded, column by column, to the largest value, for reports on faulty panels.
+
     The panels are stacked and folded by key: one shuffle by entity for all of
     them, where a chain of outer joins shuffles the growing result again for
     every panel.  Windows by entity reuse the partitioning.  A column in several
@@ -136,15 +143,23 @@ def merge_panels(
     """
     taken: set[str] = {entity, period}
     parts = []
-    for panel in panels:
+    for number, panel in enumerate(panels):
         own = [c for c in panel.columns if c not in taken]
         taken.update(own)
-        parts.append(panel.select(entity, period, *own))
+        parts.append(panel.select(entity, period, *own, F.lit(number).alias("_panel")))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     spread = stacked.repartition(partitions, entity) if partitions else stacked.repartition(entity)
-    values = [c for c in stacked.columns if c not in (entity, period)]
+    values = [c for c in stacked.columns if c not in (entity, period, "_panel")]
+    counts = {f"_rows_{i}": F.count_if(F.col("_panel") == i) for i in range(len(parts))}
     # At most one panel knows a column at a key, so max picks that value.
-    return spread.groupBy(entity, period).agg(*[F.max(c).alias(c) for c in values])
+    folded = spread.groupBy(entity, period).agg(
+        *[F.max(c).alias(c) for c in values], *[v.alias(k) for k, v in counts.items()]
+    )
+    if not unique:
+        return folded.drop(*counts)
+    several = reduce(lambda a, b: a | b, [F.col(k) > 1 for k in counts])
+    fault = F.raise_error(F.concat_ws(" ", F.lit("a panel has several rows for"), F.col(entity), F.col(period)))
+    return folded.withColumn(period, F.when(several, fault.cast(folded.schema[period].dataType)).otherwise(F.col(period))).drop(*counts)
 
 
 def spread_globals(

@@ -7,10 +7,13 @@ row-local projection with those numbers as literals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelloom.functions import moments, scalar
@@ -170,18 +173,17 @@ def redundancy_prune(
     results.
     """
     strength = {r["feature"]: r["abs_r"] or 0.0 for r in profile.target_correlation(df, columns, target).collect()}
+    place = {c: i for i, c in enumerate(columns)}
     strong = profile.pearson_pairs(df, columns).filter(F.abs("r") > threshold).collect()
-    r_of = {(row["feature_a"], row["feature_b"]): row["r"] for row in strong}
+    edges = sorted(strong, key=lambda e: (place[e.feature_a], place[e.feature_b]))
     gone: dict[str, tuple[str, float]] = {}
-    for i, a in enumerate(columns):
-        if a in gone:
-            continue
-        # A column that loses here still meets the rest of its partners.
-        for b in columns[i + 1 :]:
-            if b in gone or (a, b) not in r_of:
-                continue
-            loser, winner = (b, a) if strength[a] >= strength[b] else (a, b)
-            gone.setdefault(loser, (winner, r_of[(a, b)]))
+    # All strong pairs of one column are settled together: it takes no part if it
+    # was dropped before, but keeps its place until they are through.
+    for column, own in groupby(edges, key=lambda e: e.feature_a):
+        if column not in gone:
+            for pair in [e for e in own if e.feature_b not in gone]:
+                ends = sorted((pair.feature_a, pair.feature_b), key=lambda c: (-strength[c], place[c]))
+                gone.setdefault(ends[1], (ends[0], pair.r))
     return [c for c in columns if c not in gone], [(c, w, r) for c, (w, r) in sorted(gone.items())]
 
 
@@ -205,19 +207,38 @@ def strata_weight(y: Column, strata: Sequence[tuple[float, float]] = STRATA) ->
 def weighted_resample(
     df: DataFrame, weight: str, keys: Sequence[str], n: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Rows drawn with replacement, with probability proportional to a weight.
+    """Exactly n rows (by default as many as there are) drawn with replacement, in proportion to a weight.
 
-    Each row is repeated Poisson(n * w / sum(w)) times, the large-n form of
-    multinomial drawing: no global order, no shuffle of rows, and the size is n
-    in expectation (the number of rows by default).  Counts come from a hash of
-    the key, so they do not depend on partitioning.
+    Systematic resampling: the rows stand in a keyed random order, the cumulative
+    weight is cut at n equally spaced points from a random start, and a row is
+    repeated as often as points fall on it: its expected number of times, rounded up or
+    down.  Cumulative sums are taken within about sqrt(rows) buckets of the key's
+    digest and over the buckets, so no row order is global.
     """
-    total = df.agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    total = df.agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).first()  # one row
     size = total["n"] if n is None else n
-    rate = F.col(weight) * F.lit(float(size) / float(total["w"] or 1.0))
-    copies = _poisson(rate, [F.col(k) for k in keys], seed)
-    drawn = df.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    return drawn.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in keys]))
+    digits = max(1, math.ceil(math.log(max(total["n"], 1), 16) / 2))
+    placed = df.withColumns({"_order": digest, "_bucket": F.substring(digest, 1, digits)})
+    inner = W.partitionBy("_bucket").orderBy("_order", *keys).rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("_inside", F.coalesce(F.sum(weight).over(inner), F.lit(0.0)))
+    # About sqrt(rows) buckets: one window task.
+    outer = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("_bucket").agg(F.sum(weight).alias("_held")).select(
+        "_bucket", F.coalesce(F.sum("_held").over(outer), F.lit(0.0)).alias("_start")
+    )
+    step = float(size) / float(total["w"] or 1.0)
+    begin = (F.col("_start") + F.col("_inside")) * F.lit(step)
+    end = (F.col("_start") + F.col("_inside") + F.col(weight)) * F.lit(step)
+    start = uniform_of([F.lit("start")], F.lit(seed))
+    # The last point may round up to the total itself, which belongs to the last row.
+    first = F.least(F.ceil(begin - start), F.lit(size))
+    last = F.when(F.col("_start") + F.col("_inside") + F.col(weight) >= F.lit(float(total["w"] or 0.0)), F.lit(size)).otherwise(
+        F.least(F.ceil(end - start), F.lit(size))
+    )
+    drawn = placed.join(starts, "_bucket").withColumn("_copies", (last - first).cast("int")).filter(F.col("_copies") > 0)
+    out = drawn.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*df.columns, "draw")
 
 
 def uniform_of(keys: Sequence[Column], *salt: Column) -> Column:
@@ -228,28 +249,3 @@ def uniform_of(keys: Sequence[Column], *salt: Column) -> Column:
     text = F.concat_ws("|", *[c.cast("string") for c in (*salt, *keys)])
     bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(float(1 << 52))
-
-
-def _poisson(rate: Column, keys: Sequence[Column], seed: int) -> Column:
-    """Poisson count by inversion: the number of cumulative probabilities below u.
-
-    The support is walked to rate + 12 * sqrt(rate) + 30; the mass beyond is
-    far below double precision.
-    """
-    # The accumulator carries the draw and the rate, so both are computed once.
-    start = F.struct(
-        F.exp(-rate).alias("p"),
-        F.exp(-rate).alias("c"),
-        F.lit(0).alias("k"),
-        rate.alias("r"),
-        uniform_of(keys, F.lit(seed)).alias("u"),
-    )
-    step = lambda acc, i: F.struct(
-        (acc["p"] * acc["r"] / i).alias("p"),
-        (acc["c"] + acc["p"] * acc["r"] / i).alias("c"),
-        (acc["k"] + (acc["u"] > acc["c"]).cast("int")).alias("k"),
-        acc["r"].alias("r"),
-        acc["u"].alias("u"),
-    )
-    top = (rate + 12 * F.sqrt(rate) + 30).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["k"])

@@ -6,9 +6,11 @@ rows afterwards.  Exact quantiles use ``operators.quantiles``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Iterator, Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,16 +173,54 @@ def zero_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature_a, feature_b, r) for each pair a < b over rows where both are known.
+    """(feature_a, feature_b, r) for each pair a < b over rows where both are known; NULL without spread.
 
-    One aggregation with a mergeable correlation per pair.
+    Every task folds its Arrow batches into matrices of sums over the common rows,
+    centred by the column means, and emits one row per pair; these are added up.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    structs = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), _corr(F.col(a), F.col(b)).alias("r"))
-        for a, b in pairs
-    ]
-    return df.agg(F.array(*structs).alias("_all")).select(F.inline("_all"))
+    names = list(columns)
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    means = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()  # one row
+    centre = np.array([0.0 if m is None else m for m in means])
+    folded = values.mapInArrow(_pair_sums(centre), "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+    total = folded.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def spread(square: str, first: str) -> Column:
+        # What is left of a constant is rounding noise.
+        left = F.col(square) - F.try_divide(F.col(first) * F.col(first), F.col("n"))
+        return F.when(left > 1e-13 * F.col(square), left)
+
+    covariance = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
+    r = F.try_divide(covariance, F.sqrt(spread("xx", "x") * spread("yy", "y")))
+    label = F.array(*[F.lit(c) for c in names]) if names else F.array().cast("array<string>")
+    pair = [F.element_at(label, F.col(c) + 1).alias(f"feature_{c}") for c in "ab"]
+    # greatest and least skip NULL.
+    return total.select(*pair, F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"))
+
+
+def _pair_sums(centre: np.ndarray):
+    k = len(centre)
+    a, b = np.triu_indices(k, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x, xx, xy = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            known = ~np.isnan(cells)
+            cells, known = np.where(known, cells, 0.0), known.astype(float)
+            n += known.T @ known
+            x += cells.T @ known
+            xx += (cells * cells).T @ known
+            xy += cells.T @ cells
+        sums = (n[a, b], x[a, b], x[b, a], xx[a, b], xx[b, a], xy[a, b])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(pa.array(s) for s in sums)],
+            names=["a", "b", "n", "x", "y", "xx", "yy", "xy"],
+        )
+
+    return run
 
 
 def _corr(a: Column, b: Column) -> Column:

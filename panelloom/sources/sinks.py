@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def stage_exists(spark: SparkSession, path: str) -> bool:
-    """True if a finished stage lies at ``path`` (it has its success marker or files)."""
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except Exception as error:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
+    """True if a finished stage lies at ``path``, that is, one with its success marker."""
+    fs, place = _file_system(spark, path)
+    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS"))
+
+
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Remove a stage; its owner calls this when nothing reads it any more."""
+    fs, place = _file_system(spark, path)
+    fs.delete(place, True)
 
 
-def run_stage(spark: SparkSession, path: str, build, period: str | None = "period") -> DataFrame:
-    """Build and write a stage unless its output is there already, then read it.
+def run_stage(
+    spark: SparkSession, path: str, build, period: str | None = "period", start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Build and write a stage unless its finished output is there, then read it.
 
-    Output is partitioned by year so later period filters prune whole folders.
-    ``build`` is only called when the stage has to run.
+    Output goes to a fresh path beside the stage and is renamed when it is
+    complete, so what a killed job left behind is never read; it is replaced.
+    Stages are partitioned by year.  ``start`` and ``end`` limit the periods
+    read and prune the folders of other years.  ``build`` is only called
+    when the stage has to run.
     """
     if not stage_exists(spark, path):
-        df = build()
+        df, fresh = build(), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
         if period and period in df.columns:
             # Rebalancing gives each year few large files and splits a year that is
             # too big for one writer task.
             df = df.withColumn("stage_year", F.substring(period, 1, 4)).hint("rebalance", "stage_year")
-            df.write.mode("ignore").partitionBy("stage_year").parquet(path)
+            df.write.partitionBy("stage_year").parquet(fresh)
         else:
-            df.write.mode("ignore").parquet(path)
+            df.write.parquet(fresh)
+        fs, place = _file_system(spark, path)
+        fs.delete(place, True)
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), place):
+            raise OSError(f"{fresh} could not be renamed to {path}")
     df = spark.read.parquet(path)
+    if start is not None:
+        df = df.filter((F.col("stage_year") >= int(start[:4])) & (F.col(period) >= start))
+    if end is not None:
+        df = df.filter((F.col("stage_year") <= int(end[:4])) & (F.col(period) <= end))
     return df.drop("stage_year")
 
 

@@ -110,7 +110,7 @@ def mixture(spark, y):
 
 
 def test_zilnm(spark):
-    df = distributions.zilnm_cdf(distributions.zilnm_logprob(mixture(spark, [0.0, 1.0, 600.0])), components=2)
+    df = distributions.zilnm_cdf(distributions.zilnm_logprob(mixture(spark, [0.0, 1.0, 600.0])))
     rows = df.orderBy("k").collect()
     phi = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
     for r, y in zip(rows, [0.0, 1.0, 600.0]):
@@ -163,3 +163,30 @@ def test_losses(spark):
     assert distributions.asymmetric_nll(df).first()["loss"] == pytest.approx(expected)
     none = distributions.hurdle_loss(df.filter(F.col("y") == 0)).first()
     assert none["nll"] == 0.0 and none["loss"] == pytest.approx(none["bce"])
+
+
+def test_mixtures_of_any_number_of_parts(spark):
+    rows = [("a", 3.0, 0.2, [1.0], [1.0], [0.5]), ("b", 3.0, 0.2, [0.25] * 4, [1.0] * 4, [0.5] * 4), ("c", 3.0, None, [1.0], [1.0], [0.5])]
+    df = spark.createDataFrame(rows, "k STRING, y DOUBLE, pi_zero DOUBLE, mix_weights ARRAY<DOUBLE>, mus ARRAY<DOUBLE>, sigmas ARRAY<DOUBLE>")
+    cdf = {r["k"]: r["cdf"] for r in distributions.zilnm_cdf(df).collect()}
+    expected = 0.2 + 0.8 * 0.5 * math.erfc(-(math.log(3) - 1) / 0.5 / math.sqrt(2))
+    assert cdf["a"] == pytest.approx(expected, abs=1e-12) == cdf["b"] and cdf["c"] is None
+    drawn = {r["k"]: r["samples"] for r in distributions.zilnm_sample(df, ["k"], 50).collect()}
+    assert len(drawn["a"]) == len(drawn["b"]) == 50 and drawn["c"] is None
+
+
+def test_extreme_gates_draw_without_overflow(spark):
+    rows = [("off", -800.0, 1.0, 1.0, 2.5), ("on", 800.0, 1.0, 1.0, 2.5), ("none", None, 1.0, 1.0, 2.5)]
+    df = spark.createDataFrame(rows, "k STRING, conflict_logit DOUBLE, mu DOUBLE, sigma DOUBLE, nu DOUBLE")
+    drawn = {r["k"]: r["samples"] for r in distributions.hurdle_t_sample(df, ["k"], 200).collect()}
+    assert set(drawn["off"]) == {0.0} and max(drawn["on"]) > 0 and drawn["none"] is None
+
+
+def test_special_functions_against_math():
+    from panelloom.functions import special
+
+    x = np.linspace(0.02, 60, 3001)
+    assert np.allclose(special.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-13)
+    x = np.linspace(-8, 8, 3201)
+    assert np.allclose(special.erf(x), [math.erf(v) for v in x], rtol=0, atol=1e-14)
+    assert np.allclose(special.erfc(x[x >= 0]), [math.erfc(v) for v in x[x >= 0]], rtol=1e-10, atol=0)

@@ -24,5 +24,5 @@ def test_matches_sql(spark, con, name):
     assert not problems, problems
 
 
-def test_every_query_has_an_oracle_but_the_samplers():
-    assert {n for n, q in REGISTRY.items() if q.sql is None} == {"zilnm_sample", "hurdle_t_sample"}
+def test_every_query_has_an_oracle():
+    assert not {n for n, q in REGISTRY.items() if q.sql is None}

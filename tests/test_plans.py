@@ -134,3 +134,42 @@ def test_shared_folder_follows_the_session(spark):
 def test_normalise_columns_reports_what_is_missing(spark):
     with pytest.raises(ValueError, match="gdp_growth"):
         tables.normalise_columns(spark.range(1).select(F.lit("x").alias("iso3")), tables.GDP_SYNONYMS, ["iso3", "gdp_growth"])
+
+
+def test_a_torn_stage_is_built_again(spark):
+    import os
+
+    def build():
+        return spark.createDataFrame([("a", f"20{y}-01", 1.0) for y in range(10, 17)], "entity STRING, period STRING, v DOUBLE")
+
+    for torn in ("stage_year=2010", "_temporary/0"):
+        path = fresh_path(spark, "torn")
+        folder = f"{path.removeprefix('file:')}/{torn}"
+        os.makedirs(folder)
+        if "year" in torn:
+            build().limit(1).write.mode("overwrite").parquet(f"file:{folder}")
+            os.remove(f"{folder}/_SUCCESS")
+        assert sinks.run_stage(spark, path, build).count() == 7
+    sinks.drop_stage(spark, path)
+    assert not sinks.stage_exists(spark, path)
+
+
+def test_a_stage_prunes_years(spark):
+    path = fresh_path(spark, "pruned")
+    df = sinks.run_stage(
+        spark, path, lambda: spark.createDataFrame([("a", "2019-05", 1.0), ("a", "2020-03", 2.0), ("a", "2020-09", 3.0)], "entity STRING, period STRING, v DOUBLE"),
+        start="2020-02", end="2020-08",
+    )
+    assert [r["v"] for r in df.collect()] == [2.0]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(stage_year" in plan
+
+
+def test_duplicate_keys_in_a_panel_are_an_error(spark):
+    from panelloom.operators import joins
+
+    one = spark.createDataFrame([("a", "2020-01", 1.0, 9.0), ("a", "2020-01", 2.0, 3.0)], "entity STRING, period STRING, p DOUBLE, q DOUBLE")
+    two = spark.createDataFrame([("a", "2020-01", 5.0)], "entity STRING, period STRING, r DOUBLE")
+    with pytest.raises(Exception, match="several rows"):
+        joins.merge_panels([one, two]).collect()
+    assert joins.merge_panels([one.limit(1), two]).collect()[0]["r"] == 5.0

@@ -215,7 +215,7 @@ def key_overlap_report(spark, sf):
 )
 def merge_validation(spark, sf):
     parts = {n: base.stored(spark, p, f"source-{n}") for n, p in merged_sources(spark, sf).items()}
-    return joins.merge_validation(joins.merge_panels(list(parts.values())), parts)
+    return joins.merge_validation(joins.merge_panels(list(parts.values()), unique=False), parts)
 
 
 @query(

@@ -177,11 +177,11 @@ def strata_weights(spark, sf):
 @query(
     f"""WITH {PANEL}, w AS (SELECT entity, period, fatalities_best, CASE WHEN fatalities_best > 500 THEN 10.0 WHEN fatalities_best > 50 THEN 5.0
       WHEN fatalities_best > 0 THEN 3.0 ELSE 1.0 END AS weight FROM panel),
-    r AS (SELECT *, weight * (SELECT count(*) / sum(weight) FROM w) AS rate,
-      (CAST('0x' || substr(md5('42|' || entity || '|' || period), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM w),
-    c AS (SELECT *, len(list_filter(range(0, 60), lambda k: u > list_sum(list_transform(range(0, k + 1),
-      lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1)))))) AS copies FROM r)
-    SELECT entity, period, fatalities_best, CAST(weight AS DOUBLE) AS weight, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS draw FROM c""",
+    t AS (SELECT sum(weight) AS total, count(*) AS n, (CAST('0x' || substr(md5('42|start'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM w),
+    c AS (SELECT *, sum(weight) OVER (ORDER BY md5('42|' || entity || '|' || period), entity, period) AS upto FROM w),
+    d AS (SELECT entity, period, fatalities_best, weight,
+      CASE WHEN upto >= total THEN n ELSE ceil(upto * (n / total) - u) END - ceil((upto - weight) * (n / total) - u) AS copies FROM c, t)
+    SELECT entity, period, fatalities_best, CAST(weight AS DOUBLE) AS weight, CAST(unnest(range(1, copies::BIGINT + 1)) AS INTEGER) AS draw FROM d""",
     doubles="fatalities_best",
 )
 def weighted_resample(spark, sf):

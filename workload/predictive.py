@@ -54,10 +54,30 @@ def zilnm_cdf(spark, sf):
     return distributions.zilnm_cdf(mixture(spark, sf)).select(*KEYS, "cdf")
 
 
-@query(None)
+DRAWS = 100
+
+
+def _uniform_sql(salt: str, at: int) -> str:
+    digest = f"md5('42|{salt}|' || i || '|' || entity || '|' || period)"
+    return f"((CAST('0x' || substr({digest}, {at}, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+def _digest_sql(draws: str) -> str:
+    return f"""SELECT entity, period, count(*)::INTEGER AS n, (count(*) FILTER (v = 0))::INTEGER AS n_zero, max(v) AS "max", sum(v) / count(*) AS mean
+      FROM ({draws}) GROUP BY entity, period"""
+
+
+@query(
+    f"""WITH {MIX}, d AS (SELECT *, unnest(range(1, {DRAWS + 1})) AS i FROM mix),
+    u AS (SELECT *, {_uniform_sql('part', 1)} AS gate, {_uniform_sql('part', 14)} * (w[1] + w[2] + w[3]) AS choice,
+      sqrt(-2 * ln({_uniform_sql('normal', 1)})) * cos(2 * pi() * {_uniform_sql('normal', 14)}) AS score FROM d),
+    k AS (SELECT *, CASE WHEN choice < w[1] THEN 1 WHEN choice < w[1] + w[2] THEN 2 ELSE 3 END AS part FROM u)
+    {_digest_sql("SELECT entity, period, CASE WHEN gate >= pi_zero THEN round_even(exp(mus[part] + sigmas[part] * score), 0) ELSE 0.0 END AS v FROM k")}""",
+    doubles="max mean",
+)
 def zilnm_sample(spark, sf):
-    """1,000 draws per month, summarised per row; numpy's generator has no SQL twin."""
-    drawn = distributions.zilnm_sample(mixture(spark, sf), KEYS, 1000)
+    """Draws per month, summarised per row."""
+    drawn = distributions.zilnm_sample(mixture(spark, sf), KEYS, DRAWS)
     return _digest(drawn)
 
 
@@ -103,10 +123,15 @@ def hurdle_t_cdf(spark, sf):
     return distributions.hurdle_t_cdf(hurdle(spark, sf)).select(*KEYS, "cdf")
 
 
-@query(None)
+@query(
+    f"""WITH {HURDLE}, d AS (SELECT *, unnest(range(1, {DRAWS + 1})) AS i FROM h0),
+    s AS (SELECT *, sqrt(nu * (pow({_uniform_sql('student', 1)}, -2 / nu) - 1)) * cos(2 * pi() * {_uniform_sql('student', 14)}) AS score FROM d)
+    {_digest_sql(f"SELECT entity, period, CASE WHEN {_uniform_sql('gate', 1)} < 1 / (1 + exp(-g)) THEN round_even(greatest(exp(least(mu + sigma * score, 15.0)) - 1, 0), 0) ELSE 0.0 END AS v FROM s")}""",
+    doubles="max mean",
+)
 def hurdle_t_sample(spark, sf):
-    """1,000 draws per month, summarised per row; numpy's generator has no SQL twin."""
-    return _digest(distributions.hurdle_t_sample(hurdle(spark, sf), KEYS, 1000))
+    """Draws per month, summarised per row."""
+    return _digest(distributions.hurdle_t_sample(hurdle(spark, sf), KEYS, DRAWS))
 
 
 @query(

@@ -278,8 +278,8 @@ def sink_stage(spark, sf):
     """A stage written once by year; the second call reads it and prunes years."""
     path = fresh_path(spark, "stage")
     for _ in range(2):
-        df = sinks.run_stage(spark, path, lambda: conflict_panel(spark, sf))
-    return df.filter(F.col("period") >= "1998-01").select("entity", "period", "event_count", "fatalities_best")
+        df = sinks.run_stage(spark, path, lambda: conflict_panel(spark, sf), start="1998-01")
+    return df.select("entity", "period", "event_count", "fatalities_best")
 
 
 @query(

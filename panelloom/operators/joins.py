@@ -179,8 +179,8 @@ def spread_globals(
 
 
 def attach_monthly(df: DataFrame, series: DataFrame, period: str = "period") -> DataFrame:
-    """Join a series with one row per month to every entity (calendar-bounded broadcast)."""
-    return df.join(F.broadcast(series), period, "left")
+    """Join a series to every entity; its months must be unique, so the broadcast is bounded by the calendar."""
+    return df.join(F.broadcast(unique_rows(series, [period])), period, "left")
 
 
 def join_through_crosswalk(

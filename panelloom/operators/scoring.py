@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,8 +157,8 @@ SCORE_SCHEMA = T.StructType(
 )
 
 
-@F.pandas_udf(SCORE_SCHEMA)
-def _all_scores(samples: pd.Series, y: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(SCORE_SCHEMA)
+def _all_scores(samples: pa.Array, y: pa.Array) -> pa.Array:
     return score_batch(samples, y, ALERT_QUANTILE)
 
 

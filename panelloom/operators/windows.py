@@ -47,10 +47,13 @@ def lag_series(df: DataFrame, columns: Sequence[str], n: int = 1, period: str =
     """Shift a month-level series by n rows.
 
     The table has one row per month, so the single window partition is bounded
-    by the calendar.
+    by the calendar; a second row for a month, as in a panel, is an error.
     """
     w = W.partitionBy(F.lit(0)).orderBy(period)
-    return df.withColumns({c: F.lag(c, n).over(w) for c in columns})
+    again = F.lag(period).over(w) == F.col(period)
+    fault = F.raise_error(F.concat_ws(" ", F.lit("not a month-level series:"), F.col(period).cast("string")))
+    checked = F.when(again, fault.cast(df.schema[period].dataType)).otherwise(F.col(period))
+    return df.withColumns({**{c: F.lag(c, n).over(w) for c in columns}, period: checked})
 
 
 def log_diff(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a temporary folder of its own; anywhere else a
+    without that setting gets a folder below its warehouse; anywhere else a
     machine-local folder would be lost with its executor, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,11 +41,22 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="panelloom-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this application owns."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, stem: str) -> str:
-    """A path below the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+    """A path in the application's folder that no earlier call has used."""
+    return f"{run_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all stages of this application; call it when no result reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -139,18 +139,36 @@ def preprocess_registry(spark, sf):
     return registry.preprocess_registry(done.panel, done.features, done.redundant, done.log1p, ALREADY)
 
 
-PRUNE = ["event_count", "heavy", "rate", "returned_value", "twice"]
+PRUNE = ["event_count", "heavy", "rate", "returned_value", "twice", "target_like"]
+PRUNE_LIMIT = 0.3
 
 
+def _prune_source(spark, sf):
+    return skewed(spark, sf).withColumn("target_like", F.col(ROLL_TARGET) + F.col("event_count") * 3)
+
+
+# Strong pairs in column order, then the walk over them one by one.
 @query(
-    f"""WITH {SKEWED} SELECT 'twice' AS feature, 'returned_value' AS partner, corr(returned_value, twice) AS r FROM skewed
-    UNION ALL SELECT NULL, NULL, NULL WHERE false""",
+    f"""WITH RECURSIVE {SKEWED}, src AS (SELECT *, {ROLL_TARGET} + event_count * 3 AS target_like FROM skewed),
+    strength(name, place, s) AS ({" UNION ALL ".join(f"SELECT '{c}', {i}, coalesce(abs(corr({c}, {ROLL_TARGET})), 0) FROM src" for i, c in enumerate(PRUNE))}),
+    pairs(a, b, r) AS ({" UNION ALL ".join(f"SELECT '{a}', '{b}', corr({a}, {b}) FROM src" for i, a in enumerate(PRUNE) for b in PRUNE[i + 1:])}),
+    edges AS (SELECT row_number() OVER (ORDER BY x.place, y.place) AS k, a, b, r, x.s >= y.s AS keeps FROM pairs
+      JOIN strength x ON a = x.name JOIN strength y ON b = y.name WHERE abs(r) > {PRUNE_LIMIT}),
+    walk(k, turn, idle, gone, loser, winner, r) AS (
+      SELECT 0::BIGINT, '', false, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE UNION ALL
+      SELECT k, turn, idle, CASE WHEN hit THEN list_append(gone, lost) ELSE gone END,
+             CASE WHEN hit THEN lost END, CASE WHEN hit THEN won END, CASE WHEN hit THEN r END
+      FROM (SELECT *, NOT idle AND NOT list_contains(gone, b) AND NOT list_contains(gone, lost) AS hit FROM (
+        SELECT e.k, e.a AS turn, CASE WHEN e.a = w.turn THEN w.idle ELSE list_contains(w.gone, e.a) END AS idle, w.gone, e.b, e.r,
+               CASE WHEN keeps THEN e.b ELSE e.a END AS lost, CASE WHEN keeps THEN e.a ELSE e.b END AS won
+        FROM walk w JOIN edges e ON e.k = w.k + 1)))
+    SELECT loser AS feature, winner AS partner, r FROM walk WHERE loser IS NOT NULL""",
     doubles="r",
 )
 def redundancy_prune(spark, sf):
-    """Of the pair with |r| > 0.99 the first stays, as both are equally close to the target."""
-    df = skewed(spark, sf)
-    _, dropped = preprocess.redundancy_prune(df, PRUNE, ROLL_TARGET, 0.99)
+    """Of two columns with a strong correlation the one closer to the target stays."""
+    df = _prune_source(spark, sf)
+    _, dropped = preprocess.redundancy_prune(df, PRUNE, ROLL_TARGET, PRUNE_LIMIT)
     return df.sparkSession.createDataFrame(dropped, "feature STRING, partner STRING, r DOUBLE")
 
 

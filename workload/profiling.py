@@ -318,31 +318,46 @@ def feature_registry_c(spark, sf):
     )
 
 
-QUALITY = f"""{base.ANNUAL}, am AS (SELECT entity, printf('%d-%02d', year, m) AS period, open_share, done_share * 2 AS doubled FROM annual
+# Faults are planted: copies of rows, a thirteenth month, and two months stored in the wrong order.
+QUALITY = f"""{base.ANNUAL}, am AS (SELECT entity, year * 12 + m AS position, printf('%d-%02d', year, CASE WHEN m = 12 AND year % 5 = 0 THEN 13
+      WHEN m = 3 AND year % 2 = 0 THEN 4 WHEN m = 4 AND year % 2 = 0 THEN 3 ELSE m END) AS period, open_share, done_share * 2 AS doubled FROM annual
     CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS m)),
     q AS (SELECT * FROM am UNION ALL SELECT * FROM am WHERE doubled > 0.8)"""
 
 
-def _quality_source(spark, sf):
-    monthly = joins.annual_to_monthly(annual(spark, sf)).select("entity", "period", "open_share", (F.col("done_share") * 2).alias("doubled"))
-    return monthly.unionByName(monthly.filter(F.col("doubled") > 0.8))
+def _quality_rows(spark, sf):
+    monthly = joins.annual_to_monthly(annual(spark, sf))
+    year, month = F.substring("period", 1, 4).cast("int"), F.substring("period", 6, 2).cast("int")
+    swapped = year % 2 == 0
+    stored = (
+        F.when((month == 12) & (year % 5 == 0), 13)
+        .when((month == 3) & swapped, 4)
+        .when((month == 4) & swapped, 3)
+        .otherwise(month)
+    )
+    return monthly.select(
+        "entity", (year * 12 + month).alias("position"), F.format_string("%d-%02d", year, stored).alias("period"),
+        "open_share", (F.col("done_share") * 2).alias("doubled"),
+    )
 
 
 @query(
     f"""WITH {QUALITY}, k AS (SELECT count(*) AS n FROM q GROUP BY entity, period),
-    s AS (SELECT open_share - lag(open_share, 12) OVER (PARTITION BY entity ORDER BY period) AS d FROM am)
+    s AS (SELECT open_share - lag(open_share, 12) OVER (PARTITION BY entity ORDER BY period) AS d,
+                 lag(period) OVER (PARTITION BY entity ORDER BY position) > period AS back FROM am)
     SELECT 'duplicate_keys' AS "check", CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS violations FROM k
-    UNION ALL SELECT 'period_format', CAST(0 AS BIGINT) UNION ALL SELECT 'range_open_share', count(*) FILTER (open_share NOT BETWEEN -0.01 AND 1.01) FROM q
+    UNION ALL SELECT 'period_format', count(*) FILTER (NOT regexp_full_match(period, '[0-9]{{4}}-(0[1-9]|1[0-2])')) FROM q
+    UNION ALL SELECT 'range_open_share', count(*) FILTER (open_share NOT BETWEEN -0.01 AND 1.01) FROM q
     UNION ALL SELECT 'range_doubled', count(*) FILTER (doubled NOT BETWEEN -0.01 AND 1.01) FROM q
     UNION ALL SELECT 'large_shift_open_share', count(*) FILTER (abs(d) > 0.15) FROM s
-    UNION ALL SELECT 'period_order', CAST(0 AS BIGINT)"""
+    UNION ALL SELECT 'period_order', count(*) FILTER (back) FROM s"""
 )
 def quality_checks(spark, sf):
-    source = _quality_source(spark, sf)
+    single = _quality_rows(spark, sf)
+    source = single.unionByName(single.filter(F.col("doubled") > 0.8))
     checks = profile.quality_checks(source, ["open_share", "doubled"])
-    single = source.dropDuplicates(["entity", "period"])
     shifts = profile.quality_checks(single, [], shift="open_share").filter(F.col("check").startswith("large_shift"))
-    return checks.unionByName(shifts).unionByName(profile.order_violations(single, "period"))
+    return checks.unionByName(shifts).unionByName(profile.order_violations(single, "position"))
 
 
 RANGES = ["fatalities_best", "rate"]

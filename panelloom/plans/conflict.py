@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelloom.operators import aggregates as agg
 from panelloom.operators import features, joins, keys, windows
@@ -24,58 +25,71 @@ MODEL_CHANGES = (
     "acled_event_count", "acled_political_violence_count",
 )
 NEVER_FILLED = "gdelt_goldstein_mean"
+ACTIVITY = "ucdp_has_conflict"
 
 
-def conflict_events(events: DataFrame, names: DataFrame, start: str = PANEL_START, end: str = PANEL_END) -> DataFrame:
-    """Georeferenced conflict events to a complete grid of counts and fatalities.
+def conflict_months(
+    events: DataFrame, names: DataFrame, start: str = PANEL_START, end: str = PANEL_END, small: bool | None = None
+) -> DataFrame:
+    """Georeferenced conflict events to counts and fatalities of the months with events.
 
     ``events``: country, date_start, best, high, low, deaths_civilians,
-    type_of_violence.  ``names`` maps country names to entities.
+    type_of_violence.  ``names`` maps country names to entities; ``small`` as in ``by_entity``.
     """
     dated = keys.with_period(events, "date_start", start=start, end=end)
     measures = agg.conflict_measures("best", "high", "low", "deaths_civilians", "type_of_violence")
-    monthly = agg.by_entity(dated, "country", measures, names)
-    fill = [m.name for m in measures]
-    return joins.onto_skeleton(monthly, start, end, fill, activity="ucdp_has_conflict")
+    return agg.by_entity(dated, "country", measures, names, small=small)
 
 
-def protest_events(events: DataFrame, names: DataFrame, start: str = PANEL_START, end: str = PANEL_END) -> DataFrame:
-    """Protest and violence events to a complete grid of counts by category.
+def conflict_events(events: DataFrame, names: DataFrame, start: str = PANEL_START, end: str = PANEL_END) -> DataFrame:
+    """The same on the complete grid, zero-filled, with a 0/1 activity flag."""
+    monthly = conflict_months(events, names, start, end)
+    fill = [c for c in monthly.columns if c not in ("entity", "period")]
+    return joins.onto_skeleton(monthly, start, end, fill, activity=ACTIVITY)
+
+
+def protest_months(
+    events: DataFrame, names: DataFrame, start: str = PANEL_START, end: str = PANEL_END, small: bool | None = None
+) -> DataFrame:
+    """Protest and violence events to counts by category of the months with events.
 
     ``events``: country, event_date, event_type, fatalities (text) and, where
     available, sub_event_type and disorder_type.
     """
     dated = keys.with_period(events, "event_date", start=start, end=end)
     dated = keys.coerce_numeric(dated, ["fatalities"], fill=0.0)
-    measures = agg.protest_measures(dated)
-    monthly = agg.by_entity(dated, "country", measures, names)
-    return joins.onto_skeleton(monthly, start, end, [m.name for m in measures])
+    return agg.by_entity(dated, "country", agg.protest_measures(dated), names, small=small)
 
 
-def news_events(
-    events: DataFrame, first: DataFrame, second: DataFrame, start: str = PANEL_START, end: str = PANEL_END, **options
-) -> DataFrame:
-    """News events to a complete grid; codes reach entities in two hops and may merge."""
+def news_months(events: DataFrame, first: DataFrame, second: DataFrame, **options) -> DataFrame:
+    """News events to counts and mean score of the months with events; codes reach entities in two hops and may merge."""
     per_code = agg.news_conflict(events, **options)
     counts = ["gdelt_conflict_event_count", "gdelt_protest_event_count"]
-    merged = agg.regroup(keys.recode_chain(per_code, "code", first, second), counts, [NEVER_FILLED])
-    return joins.onto_skeleton(merged, start, end, counts)
+    return agg.regroup(keys.recode_chain(per_code, "code", first, second), counts, [NEVER_FILLED])
 
 
 def merge_sources(
     conflict: DataFrame,
-    protest: DataFrame | None,
-    news: DataFrame | None,
+    protest: DataFrame | None = None,
+    news: DataFrame | None = None,
     start: str = PANEL_START,
     end: str = PANEL_END,
 ) -> DataFrame:
-    """Full outer merge; counts of an entity a source does not know are 0, the score stays NULL."""
-    panel = conflict
-    if protest is not None:
-        panel = joins.outer_merge(panel, protest, fill_prefixes=["acled_"])
-    if news is not None:
-        panel = joins.outer_merge(panel, news, fill_prefixes=["gdelt_"], fill_except=[NEVER_FILLED])
-    return keys.in_range(panel, start, end)
+    """The sources' months on the complete grid of all their entities.
+
+    Counts of an entity a source does not know are 0, its score and the conflict columns
+    stay NULL.  The sources are stacked, folded and gridded behind a single shuffle by
+    entity, whose partitioning later windows reuse.
+    """
+    marked = conflict if ACTIVITY in conflict.columns else conflict.withColumn(ACTIVITY, F.lit(1))
+    sources = [marked, *[s for s in (protest, news) if s is not None]]
+    grid = joins.complete_grid(joins.merge_panels(sources), start, end)
+    known = F.max(ACTIVITY).over(windows.W.partitionBy("entity")).isNotNull()
+    grid = grid.withColumn("_known", known)
+    own = [c for c in marked.columns if c not in ("entity", "period")]
+    rest = [c for c in grid.columns if c not in ("entity", "period", "_known", NEVER_FILLED, *own)]
+    filled = {c: F.when(F.col("_known"), F.coalesce(F.col(c), F.lit(0))) for c in own}
+    return grid.withColumns(filled | {c: F.coalesce(F.col(c), F.lit(0)) for c in rest}).drop("_known")
 
 
 def finish(panel: DataFrame, lag: int = 1, target: str = TARGET) -> DataFrame:
@@ -95,12 +109,12 @@ def model_features(final: DataFrame) -> DataFrame:
 
 def build(
     conflict: DataFrame,
-    protest: DataFrame | None,
-    news: DataFrame | None,
+    protest: DataFrame | None = None,
+    news: DataFrame | None = None,
     start: str = PANEL_START,
     end: str = PANEL_END,
 ) -> DataFrame:
-    """Source grids to the final conflict panel."""
+    """Monthly aggregates of the sources (or the conflict grid) to the final conflict panel."""
     return finish(merge_sources(conflict, protest, news, start, end))
 
 

@@ -173,3 +173,12 @@ def test_duplicate_keys_in_a_panel_are_an_error(spark):
     with pytest.raises(Exception, match="several rows"):
         joins.merge_panels([one, two]).collect()
     assert joins.merge_panels([one.limit(1), two]).collect()[0]["r"] == 5.0
+
+
+def test_conflict_panel_shuffles_once_beyond_the_sources(spark):
+    from workload import load_all
+
+    sf = "/root/testdata/sf0.001"
+    run = load_all()["conflict_lifecycle"].run
+    plan = run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6 and "SortMergeJoin" not in plan and "FullOuter" not in plan

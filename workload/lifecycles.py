@@ -55,9 +55,9 @@ def conflict_final(spark, sf):
     second = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("entity"))
     names = _names(spark, sf)
     return conflict.build(
-        conflict.conflict_events(ged, names, START, END),
-        conflict.protest_events(acled, names, START, END),
-        conflict.news_events(news(spark, sf), first, second, START, END, first_day=19950101, last_day=20010831),
+        conflict.conflict_months(ged, names, START, END, small=base.small(spark, sf, "customer")),
+        conflict.protest_months(acled, names, START, END, small=base.small(spark, sf, "customer")),
+        conflict.news_months(news(spark, sf), first, second, first_day=19950101, last_day=20010831),
         START,
         END,
     )

@@ -64,10 +64,7 @@ merged AS (SELECT * FROM cagg FULL JOIN (SELECT * EXCLUDE (peak_event_fatalities
 )
 def panel_outer_merge(spark, sf):
     """Full outer merge; the shared column keeps the left version, one prefix is zero-filled."""
-    parts = merged_sources(spark, sf)
-    ab = joins.outer_merge(parts["a"], parts["b"], fill_prefixes=["returned_"])
-    abc = joins.outer_merge(ab, parts["c"])
-    return abc.fillna(0, ["returned_quantity", "returned_value"])
+    return joins.zero_fill(merged(spark, sf), ["returned_quantity", "returned_value"])
 
 
 def merged(spark, sf):

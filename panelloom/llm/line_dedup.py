@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stages.put(
         repeated_lines(rows, min_words, stages).groupBy(*DOC).agg(F.array_sort(F.collect_list("seq")).alias("gone")), "gone"
     )
-    joined = rows.alias("d").join(gone.alias("g"), same_doc("d", "g"), "left").select("d.doc", "d.text", "g.gone")
+    # The texts are shuffled once, at every size: what is to be deleted grows with them.
+    joined = rows.alias("d").join(gone.hint("merge").alias("g"), same_doc("d", "g"), "left").select("d.doc", "d.text", "g.gone")
     lines = F.split("text", "\n", -1)
     solid = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda s: ~s["line"].rlike(BLANK))
     counted = joined.select("doc", "text", "gone", F.size(solid).cast("long").alias("n_lines"),

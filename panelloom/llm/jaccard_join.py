@@ -350,7 +350,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = jaccard_components(docs, id_col, text_col, size, percent, "alnum")
     copies = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(copies, id_col, "left_anti")
+    kept = docs.join(copies.hint("merge"), id_col, "left_anti")
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if repeated.isEmpty():
         return kept.select(docs.columns)

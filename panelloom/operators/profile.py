@@ -155,7 +155,7 @@ def classify(profile: DataFrame) -> DataFrame:
 
 def outliers(df: DataFrame, columns: Sequence[str], p: float = 0.995) -> DataFrame:
     """(feature, threshold, n_outliers, max) above the p quantile."""
-    counts = quantiles.value_counts(df, columns).persist()
+    counts = quantiles.value_counts(df, columns)
     cumulative = quantiles.cumulative_counts(counts)
     cut = quantiles._quantiles_of(cumulative, {"threshold": p})
     # One row per feature: broadcast is bounded by the schema.
@@ -318,7 +318,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50, log: bool =
 
 def box_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, and the number beyond."""
-    counts = quantiles.value_counts(df, columns).persist()
+    counts = quantiles.value_counts(df, columns)
     cuts = quantiles._quantiles_of(
         quantiles.cumulative_counts(counts), {"q1": 0.25, "median": 0.5, "q3": 0.75}
     )

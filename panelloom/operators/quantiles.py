@@ -3,11 +3,11 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 buffer, and an unpartitioned ``rank`` sorts everything in one task.  Here the
 columns become (feature, value, n) counts first, combined on the map side, so a
-value that fills a third of all rows is a single row.  The distinct values are
-then cut into buckets by splitters; only bucket totals, whose number is fixed,
-are accumulated in order, and each bucket is ordered by its own task.
+value that fills a third of all rows is a single row.  The counts are a stored
+stage, as they are read several times.  Distinct values are then dealt to buckets by
+range, each ordered by its own task; only bucket totals are accumulated in order.
 
-A column set with few distinct values takes the direct route.
+A column set with few distinct values takes the direct route, with the same results.
 """
 
 from __future__ import annotations
@@ -18,57 +18,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelloom.session import stored
+
 # Above this many distinct values per feature the direct route is not used.
 DIRECT_LIMIT = 1_000_000
 VALUES_PER_BUCKET = 250_000
-MAX_BUCKETS = 4_096
 # A value holding at least this share of a feature's rows is joined by broadcast.
 HOT_SHARE = 1 / 200
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, n) of the non-null values of numeric columns."""
+    """(feature, value, n) of the non-null values of numeric columns, stored."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
     # -0.0 and 0.0 are one value; grouping normalises them, the min keeps a plain 0.
-    return long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _splitters(counts: DataFrame, direct_limit: int, per_bucket: int) -> list[tuple[str, list[float]]] | None:
-    """Bucket bounds per feature, or None when every feature is small.
-
-    One row per feature reaches the driver.  Fixing the bounds as literals
-    makes every later evaluation, including a retried task, cut the same way.
-    """
-    sizes = {r["feature"]: r["d"] for r in counts.groupBy("feature").agg(F.count(F.lit(1)).alias("d")).collect()}
-    if not sizes or max(sizes.values()) <= direct_limit:
-        return None
-    buckets = min(MAX_BUCKETS, max(2, max(sizes.values()) // per_bucket + 1))
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    accuracy = F.lit(max(10_000, 4 * buckets))
-    rows = counts.groupBy("feature").agg(F.percentile_approx("value", probs, accuracy).alias("cuts")).collect()
-    return [(r["feature"], sorted(set(r["cuts"]))) for r in rows]
+    counts = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return stored(df.sparkSession, counts, "counts")
 
 
 def cumulative_counts(
     counts: DataFrame, direct_limit: int = DIRECT_LIMIT, per_bucket: int = VALUES_PER_BUCKET
 ) -> DataFrame:
     """(feature, value, n, below, total): rows of the feature below each value, and in all."""
-    cuts = _splitters(counts, direct_limit, per_bucket)
+    # One row per feature.
+    sizes = [r["d"] for r in counts.groupBy("feature").agg(F.count(F.lit(1)).alias("d")).collect()]
     within = (
         W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    if cuts is None:
+    if max(sizes, default=0) <= direct_limit:
         counts = counts.withColumn("bucket", F.lit(0))
         total = F.sum("n").over(W.partitionBy("feature", "bucket"))
         return counts.select(
             "feature", "value", "n", (F.sum("n").over(within) - F.col("n")).alias("below"), total.alias("total")
         )
-    spark = counts.sparkSession
-    bounds = spark.createDataFrame(cuts, "feature STRING, cuts ARRAY<DOUBLE>")
-    # At most MAX_BUCKETS numbers per feature.
-    bucketed = counts.join(F.broadcast(bounds), "feature").withColumn(
-        "bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    ).drop("cuts")
+    ranged = counts.repartitionByRange(max(2, sum(sizes) // per_bucket + 1), "feature", "value")
+    # Stored, so that every later pass and retry sees the same buckets.
+    bucketed = stored(counts.sparkSession, ranged.withColumn("bucket", F.spark_partition_id()), "buckets")
     totals = bucketed.groupBy("feature", "bucket").agg(F.sum("n").alias("m"))
     ordered = W.partitionBy("feature").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = totals.select(
@@ -77,8 +61,7 @@ def cumulative_counts(
         (F.sum("m").over(ordered) - F.col("m")).alias("offset"),
         F.sum("m").over(W.partitionBy("feature")).alias("total"),
     )
-    # One row per bucket, MAX_BUCKETS per feature at most.
-    return bucketed.join(F.broadcast(offsets), ["feature", "bucket"]).select(
+    return bucketed.join(offsets, ["feature", "bucket"]).select(
         "feature",
         "value",
         "n",
@@ -95,7 +78,7 @@ def quantiles(
     per_bucket: int = VALUES_PER_BUCKET,
 ) -> DataFrame:
     """(feature, <name>...): exact, linearly interpolated quantiles of each column."""
-    counts = value_counts(df, columns).persist()
+    counts = value_counts(df, columns)
     return _quantiles_of(cumulative_counts(counts, direct_limit, per_bucket), probabilities)
 
 
@@ -135,7 +118,7 @@ def average_ranks(
     definition (at most 1 / ``hot_share`` per feature) and are joined by
     broadcast; the rest shuffles on (feature, value) without a hot key.
     """
-    counts = value_counts(df, columns).persist()
+    counts = value_counts(df, columns)
     ranks = cumulative_counts(counts, direct_limit, per_bucket).select(
         "feature",
         "value",

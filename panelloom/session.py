@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on.  Everything about sizing (memory, executors,
 # shuffle partitions on a cluster) is left to the deployment.
@@ -56,6 +56,17 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
     return f"{run_folder(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, df: DataFrame, stem: str) -> DataFrame:
+    """The frame written to the application's folder and read back.
+
+    For results that several passes read: the plan above runs once, and lost
+    executors cost a scan of the stage instead of a rebuild.
+    """
+    path = fresh_path(spark, stem)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Remove all stages of this application; call it when no result reads them any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))

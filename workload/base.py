@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from panelloom.operators import aggregates as agg
 from panelloom.operators import joins, keys, scoring
 from panelloom.operators.aggregates import Measure
-from panelloom.session import fresh_path
+from panelloom.session import stored  # noqa: F401
 
 START, END = "1995-01", "2001-08"
 SHIP_END = "2001-11"
@@ -86,17 +86,6 @@ def rounded(df: DataFrame, digits: int = 6, **overrides: int) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def stored(spark: SparkSession, df: DataFrame, stem: str) -> DataFrame:
-    """The frame written to the shared folder and read back.
-
-    For results that several passes read: the plan above runs once, and lost
-    executors cost a scan of the stage instead of a rebuild.
-    """
-    path = fresh_path(spark, stem)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def longs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 

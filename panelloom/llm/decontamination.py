@@ -31,11 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .bitmaps import bitmap, within, without
 from .stages import Stages, read
 
-U = np.uint64
-BITS = 24  # 2 MB each, whatever the size of the benchmark
-
 
 def item_rows(size: int, percent: int, kind: str):
     """Arrow function: id, text -> id, set size, hash, whether it is one of the minima."""
@@ -62,32 +60,9 @@ def item_rows(size: int, percent: int, kind: str):
     return run
 
 
-def slot(hash_col):
-    """Top bits of a hash, counted from 1 as the bitmap functions do."""
-    return F.shiftrightunsigned(hash_col, 64 - BITS) + 1
-
-
-def bitmap(items: DataFrame) -> np.ndarray:
-    """Packed bits of the slots in use; at most 2**BITS bits, built in pieces of 32,768."""
-    pieces = (
-        items.select(slot(F.col("hash")).alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    )
-    packed = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    for bucket, bits in pieces.collect():  # at most 2**BITS / 32768 rows of 4 KB
-        at = (bucket - 1) * 4096
-        packed[at : at + 4096] = np.frombuffer(bits, dtype=np.uint8)
-    return packed
-
-
 def hit_rows(size: int, kind: str, minima, shingles):
     """Arrow function: id, text -> id, hash of the item shingles in texts that hold a minimum."""
 
-    def within(packed, hashes):
-        place = hashes >> U(64 - BITS)
-        return (packed[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8)) & 1 == 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, all_of = minima.value, shingles.value
         for batch in batches:
@@ -148,7 +123,7 @@ def leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that hold no benchmark item, all columns."""
     found = leaks(docs, benchmark, id_col).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti").select(docs.columns)
+    return without(docs, id_col, found)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

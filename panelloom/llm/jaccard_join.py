@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .bitmaps import split, without
 from .graph import components
 from .stages import Stages, read
 
@@ -273,20 +274,23 @@ def jaccard_components(
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
-    sets = stages.put(
-        rows.mapInArrow(set_rows(size, percent, kind), f"id {id_type}, n bigint, d1 bigint, d2 bigint, keys array<bigint>"), "sets"
+    keyed = stages.put(
+        rows.mapInArrow(set_rows(size, percent, kind), f"id {id_type}, n bigint, d1 bigint, d2 bigint, keys array<bigint>"), "keys"
     )
+    sets = stages.put(keyed.drop("keys"), "sets")
     digests = stages.put(sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "digests")
 
     # Tiles of two or more representatives.
-    reps = sets.where("n > 0").join(digests.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    copies = sets.where("n > 0").select("id", "d1", "d2", "n").join(digests, ["d1", "d2", "n"]).where("id <> rep").select("id").distinct()
+    reps = without(keyed.where("n > 0 AND id IS NOT NULL").select("id", "keys"), "id", copies)
     tiles = reps.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
     members = stages.put(tiles.mapInArrow(tile_members, f"key bigint, id {id_type}, head {id_type}"), "members")
 
     # Whole sets of the documents in such tiles.
-    playing = members.select("id").distinct()
+    stages.drop("keys")
+    playing, _ = split(rows, "id", members.select("id"))
     arrays = stages.put(
-        rows.join(playing, "id", "left_semi").mapInArrow(
+        playing.mapInArrow(
             array_rows(size, kind), f"id {id_type}, n bigint, bitmap binary, hashes array<bigint>"
         ),
         "arrays",
@@ -303,8 +307,8 @@ def jaccard_components(
     labels = components(links, stages, "first")
     placed = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    apart = placed.join(split.select("key"), "key", "left_semi").join(arrays.select("id", "n", "bitmap"), "id")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    apart = placed.join(mixed.select("key"), "key", "left_semi").join(arrays.select("id", "n", "bitmap"), "id")
     pairs = (
         apart.select("key", "id", "component", "n", "bitmap")
         .repartition("key")
@@ -350,7 +354,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = jaccard_components(docs, id_col, text_col, size, percent, "alnum")
     copies = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(copies.hint("merge"), id_col, "left_anti")
+    kept = without(docs, id_col, copies)
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if repeated.isEmpty():
         return kept.select(docs.columns)

@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from panelloom.session import fresh_path
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows are whole texts, so Arrow batches hold few of them; a Python worker and its executor keep several."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 class Stages:
     """Parquet copies of intermediate results.
 
@@ -17,6 +25,7 @@ class Stages:
 
     def __init__(self, spark: SparkSession, stem: str):
         self.spark = spark
+        small_batches(spark)
         self.root = fresh_path(spark, stem)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -31,4 +40,5 @@ class Stages:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -7,7 +7,7 @@ open around it.  The ratio of text to tags per line is smoothed with a Gaussian
 over neighbouring lines; two-means clustering of the smoothed ratios sets the
 threshold between content and the rest.  The content region is the
 article (or main) element that holds most of the text above the threshold; a page without
-one falls back on the innermost other regions that hold most of it.
+one falls back on the smallest region that holds all of it, with the h1 around that region.
 Every line of the chosen regions is kept, short ones too, except what lies in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments, which are told by their element, role, class or id.
@@ -72,13 +72,14 @@ class Lines(HTMLParser):
         self.tags = 0
         self.linked = 0
         self.anchors = 0
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, region
+        self.titles = 0
+        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, characters in links, region, in an h1
 
     def end_line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.linked, self.region))
+                self.lines.append((text, self.tags, self.linked, self.region, self.titles > 0))
                 self.tags = 0
             self.parts, self.linked = [], 0
 
@@ -87,6 +88,7 @@ class Lines(HTMLParser):
         for name, region, off in reversed(self.stack[at:]):
             self.off -= off
             self.anchors -= name == "a"
+            self.titles -= name == "h1"
             self.region = region
         del self.stack[at:]
 
@@ -115,6 +117,7 @@ class Lines(HTMLParser):
         self.stack.append((tag, self.region, int(off)))
         self.off += off
         self.anchors += tag == "a"
+        self.titles += tag == "h1"
         if tag in REGIONS:
             self.parents.append(self.region)
             self.elements.append(tag)
@@ -162,35 +165,57 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content(page: Lines) -> str:
-    if not page.lines:
-        return ""
-    n = np.array([len(text) for text, _, _, _ in page.lines], dtype=float)
-    tags = np.array([max(t, 1) for _, t, _, _ in page.lines], dtype=float)
-    links = np.array([k for _, _, k, _ in page.lines], dtype=float)
+def strong(lines: list[tuple[str, int, int, int, bool]], alone: bool = False) -> np.ndarray:
+    """Characters of each line above the threshold, 0 of the others.
+
+    ``alone``: also of a line that would be above it without its neighbours and with no more tags than content
+    lines usually have; the only paragraph of a section has weak neighbours and the tags of the section.
+    """
+    n = np.array([len(line[0]) for line in lines], dtype=float)
+    tags = np.array([max(line[1], 1) for line in lines], dtype=float)
+    links = np.array([line[2] for line in lines], dtype=float)
     ratio = smoothed(np.maximum(n - links, 0) / tags)
-    strong = np.where(ratio >= threshold(ratio), n, 0)
-    # Text above the threshold in each region and all it contains.
+    least = threshold(ratio)
+    above = ratio >= least
+    if alone:
+        above |= n - links >= least * np.median(tags[above])
+    return np.where(above, n, 0)
+
+
+def held_by_region(page: Lines, lines: list[tuple[str, int, int, int, bool]], weights: np.ndarray) -> np.ndarray:
+    """Text above the threshold in each region and all it contains."""
     held = np.zeros(len(page.parents))
-    for (_, _, _, region), weight in zip(page.lines, strong):
-        while region >= 0:
-            held[region] += weight
-            region = page.parents[region]
+    for (_, _, _, region, _), weight in zip(lines, weights):
+        held[region] += weight
+    for region in range(len(held) - 1, 0, -1):
+        held[page.parents[region]] += held[region]
+    return held
+
+
+def content(page: Lines) -> str:
+    lines = page.lines
+    if not lines:
+        return ""
+    held = held_by_region(page, lines, strong(lines))
     wanted = [r for r, e in enumerate(page.elements) if e == "article" or e == "main"]
     outer = [r for r in wanted if not any(up in wanted for up in ancestors(page.parents, r))]
+    around: set[int] = set()
     if not wanted or held[outer].sum() < SHARE * held[0] or held[0] == 0:
-        # The smallest region that still holds the share, walking down from the page.
+        # The smallest region that holds all of it, walking down from the page; regions are numbered from the outside in.
+        held = held_by_region(page, lines, strong(lines, alone=True))
         chosen = 0
-        while True:
-            inner = [r for r in range(len(page.parents)) if page.parents[r] == chosen]
-            best = max(inner, key=lambda r: held[r], default=None)
-            if best is None or held[best] <= SHARE * held[0]:
-                break
-            chosen = best
+        for r in range(1, len(page.parents)):
+            if page.parents[r] == chosen and held[r] == held[0] > 0:
+                chosen = r
         outer = [chosen]
+        around = set(ancestors(page.parents, chosen))
     kept = set(outer)
     return "\n".join(
-        text for text, _, _, region in page.lines if region in kept or any(up in kept for up in ancestors(page.parents, region))
+        text
+        for text, _, linked, region, title in lines
+        if region in kept
+        or any(up in kept for up in ancestors(page.parents, region))
+        or title and region in around and linked < len(text)
     )
 
 

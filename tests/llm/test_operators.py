@@ -352,6 +352,22 @@ def test_extract_keeps_columns(spark):
     assert html_text.extract(df).count() == 3 and html_text.extract(df.limit(0)).count() == 0
 
 
+def paragraphs(word, n):
+    return "".join(f"<p>The {word} sentence number {i} is long enough to count as content here.</p>" for i in range(n))
+
+
+def test_divided_pages_without_article_stay_whole():
+    links = "<div><a href=x>l</a> <a href=y>m</a></div>"
+    for first, second in ((6, 4), (9, 1), (4, 6)):
+        page = f"<body>{links}<div id=wrap><h1>Title</h1><div>{paragraphs('first', first)}</div><section>{paragraphs('second', second)}</section></div>{links}</body>"
+        text = html_text.main_text(page)
+        assert text.startswith("Title\n") and (text.count("first"), text.count("second")) == (first, second) and "l m" not in text
+    # Loose lines of a region count as well, and the h1 beside the only one stays.
+    text = html_text.main_text(f"<body>{links}<div>{paragraphs('loose', 3)}<div>{paragraphs('inner', 9)}</div></div>{links}</body>")
+    assert (text.count("loose"), text.count("inner")) == (3, 9)
+    assert html_text.main_text(f"<body><h1>Title</h1><div>{paragraphs('only', 5)}</div>{links}</body>").startswith("Title\nThe only")
+
+
 # --- 2 and 4: classifiers --------------------------------------------------------------------------
 
 

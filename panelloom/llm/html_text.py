@@ -12,6 +12,11 @@ Every line of the chosen regions is kept, short ones too, except what lies in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments, which are told by their element, role, class or id.
 
+A class or id counts where it names the element: as a whole word of it or as its last part, before words
+such as -list or -box.  Names of layouts (has-sidebar, right-sidebar) and ids of headings, or of
+sections of an article, do not count.  Whether an element so told is dropped is decided
+at the end of the page (``dropped``): not if it wraps the article or most of the text.
+
 Each page is worked on for itself, so the job is one pass without a shuffle.
 
 Edge cases: null and empty pages, and pages of tags only, give an empty text;
@@ -41,55 +46,98 @@ SHARE = 0.5  # a region must hold this share of the text above the threshold
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
-    "tfoot th thead title tr ul".split()
+    "text tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that end when another block begins, so an open one does not swallow what follows.
 IMPLIED = frozenset("p li dt dd tr td th option".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video datalist".split())
+HIDDEN = frozenset("script style noscript template head title iframe object canvas audio video datalist annotation annotation-xml desc metadata".split())
 ASIDE = frozenset("nav header footer aside form menu button select textarea dialog search".split())
 REGIONS = frozenset("article main section div td body".split())
+ARTICLES = frozenset(("article", "main"))
+WHOLE = ARTICLES | {"html", "body"}  # never told as no content
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog".split())
+COMMENTS = re.compile(r"comments?|commentlist|disqus|replies|respond")
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|masthead|toolbar|pagination|pager|share|sharing|social|related|"
-    r"recommend\w*|comments?|commentlist|disqus|replies|respond|login|signup|widget|skip|copyright|legal)(?=$|[\s_-])"
+    rf"recommend\w*|login|signup|widget|skip|copyright|legal|{COMMENTS.pattern}"
 )
+LAYOUT = frozenset("has with without no left right".split())  # begin the name of a layout, not of what it lays out
+# End the name of an element whose kind stands before them.
+HOLDERS = frozenset("area bar block body box button buttons container form icons inner item items link links list posts section thread".split())
+PARTS = re.compile(r"[-_]+")
 SPACE = re.compile(r"\s+")
 
 
+def named(value: str) -> str:
+    """The mark among the names of a class or id, or nothing."""
+    for name in value.lower().split():
+        parts = [x for x in PARTS.split(name) if x]
+        if not parts or parts[0] in LAYOUT:
+            continue
+        while len(parts) > 1 and parts[-1] in HOLDERS:
+            parts.pop()
+        if MARKS.fullmatch(parts[-1]):
+            return parts[-1]
+    return ""
+
+
+class Mark:
+    """An element told as no content."""
+
+    def __init__(self, parent: int, kind: str, inside: bool):
+        self.parent = parent  # the mark around it, or -1
+        self.kind = kind  # "name" (also forms), "element" or "comments"
+        self.inside = inside  # in an article or main
+        self.article = self.main = False  # whether it holds one
+
+
 class Lines(HTMLParser):
     """Collects lines from events; state is the stack of open elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int]] = []  # element, region, 1 if it is not content
+        self.stack: list[tuple[str, int, int, int]] = []  # element, region, 1 if it is hidden, mark
         self.region = 0
         self.off = 0
+        self.mark = -1
+        self.marks: list[Mark] = []
         self.parents = [-1]
         self.elements = [""]
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, int, bool]] = []  # text, mark, in a link
         self.tags = 0
-        self.linked = 0
         self.anchors = 0
+        self.articles = 0
         self.titles = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, characters in links, region, in an h1
+        self.raw: list[tuple[list[tuple[str, int, bool]], int, int, bool]] = []  # parts, tags, region, in an h1
 
     def end_line(self) -> None:
         if self.parts:
-            text = SPACE.sub(" ", "".join(self.parts)).strip()
+            self.raw.append((self.parts, self.tags, self.region, self.titles > 0))
+            self.parts, self.tags = [], 0
+
+    def lines(self, gone: list[bool]) -> list[tuple[str, int, int, int, bool]]:
+        """Text, tags, characters in links, region, in an h1 of every line, without the marks that are gone."""
+        out, tags = [], 0
+        for parts, n, region, title in self.raw:
+            tags += n
+            kept = [x for x in parts if x[1] < 0 or not gone[x[1]]]
+            text = SPACE.sub(" ", "".join(x[0] for x in kept)).strip()
             if text:
-                self.lines.append((text, self.tags, self.linked, self.region, self.titles > 0))
-                self.tags = 0
-            self.parts, self.linked = [], 0
+                out.append((text, tags, sum(len(x[0]) for x in kept if x[2]), region, title))
+                tags = 0
+        return out
 
     def leave(self, at: int) -> None:
         """Close the elements from this place of the stack on."""
-        for name, region, off in reversed(self.stack[at:]):
+        for name, region, off, mark in reversed(self.stack[at:]):
             self.off -= off
             self.anchors -= name == "a"
+            self.articles -= name in ARTICLES
             self.titles -= name == "h1"
-            self.region = region
+            self.region, self.mark = region, mark
         del self.stack[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -107,22 +155,39 @@ class Lines(HTMLParser):
                     self.leave(at - 1)
         if tag in VOID:
             return
-        off = tag in HIDDEN or tag in ASIDE
-        for name, value in attrs if not off else ():
-            if value and (name in ("class", "id") and MARKS.search(value.lower()) or name == "role" and value.lower() in ROLES):
-                off = True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                off = True
-        off = off and tag not in ("html", "body", "article", "main")
-        self.stack.append((tag, self.region, int(off)))
+        off = tag in HIDDEN
+        self.stack.append((tag, self.region, int(off), self.mark))
+        if tag not in WHOLE and not off and (kind := self.kind(tag, attrs)):
+            self.marks.append(Mark(self.mark, kind, self.articles > 0))
+            self.mark = len(self.marks) - 1
         self.off += off
         self.anchors += tag == "a"
         self.titles += tag == "h1"
+        if tag in ARTICLES:
+            self.articles += 1
+            at = -1 if self.off else self.mark
+            while at >= 0:
+                self.marks[at].article = True
+                self.marks[at].main |= tag == "main"
+                at = self.marks[at].parent
         if tag in REGIONS:
             self.parents.append(self.region)
             self.elements.append(tag)
             self.region = len(self.parents) - 1
 
+    def kind(self, tag: str, attrs: list) -> str:
+        """Of the mark this element is, or nothing."""
+        if tag in ASIDE:
+            return "name" if tag == "form" else "element"
+        for name, value in attrs:
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value and value.lower() in ROLES:
+                return "element"
+        for name, value in attrs:
+            if name == "class" or name == "id" and tag not in HEADINGS and not (tag == "section" and self.articles):
+                if value and (mark := named(value)):
+                    return "comments" if COMMENTS.fullmatch(mark) else "name"
+        return ""
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
@@ -136,9 +201,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.off:
-            self.parts.append(data)
-            if self.anchors:
-                self.linked += len(data)
+            self.parts.append((data, self.mark, self.anchors > 0))
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -182,6 +245,59 @@ def strong(lines: list[tuple[str, int, int, int, bool]], alone: bool = False) ->
     return np.where(above, n, 0)
 
 
+def dropped(page: Lines) -> list[bool]:
+    """Whether each mark's text goes.
+
+    It stays if the mark holds the main element; if it holds an article and no article shows
+    without it, or most of the text above the threshold, unless an article elsewhere is the
+    content.  Menus, headers, footers, sidebars and the like stay only around a main, or around the article with most of
+    that text; comments only around a main.
+    """
+    marks = page.marks
+    if not marks:
+        return []
+
+    def chained(own: list[bool]) -> list[bool]:
+        for i, m in enumerate(marks):
+            own[i] |= m.parent >= 0 and own[m.parent]
+        return own
+
+    gone = chained([not (m.main or m.kind == "name" or m.kind == "element" and m.article) for m in marks])
+    lines = page.lines(gone)
+    if not lines:
+        return gone
+    held, total, weights = [0.0] * len(marks), 0.0, iter(strong(lines))
+    shown = False
+    inner = [False] * len(page.parents)
+    for r, element in enumerate(page.elements):
+        inner[r] = element in ARTICLES or r > 0 and inner[page.parents[r]]
+    for parts, _, region, _ in page.raw:
+        kept = [(len(text.strip()), mark) for text, mark, _ in parts if mark < 0 or not gone[mark]]
+        size = sum(n for n, _ in kept)
+        if not size:
+            continue
+        weight = next(weights) / size
+        total += weight * size
+        for n, mark in kept:
+            if mark >= 0:
+                held[mark] += weight * n
+            elif n and inner[region]:
+                shown = True
+    for i in range(len(marks) - 1, -1, -1):
+        if marks[i].parent >= 0:
+            held[marks[i].parent] += held[i]
+
+    def stays(m: Mark, share: float) -> bool:
+        if m.main:
+            return True
+        most = share > SHARE * total and (not shown or m.inside or m.article)
+        if m.kind == "name":
+            return most or m.article and not shown
+        return m.kind == "element" and m.article and most
+
+    return chained([not stays(m, share) for m, share in zip(marks, held)])
+
+
 def held_by_region(page: Lines, lines: list[tuple[str, int, int, int, bool]], weights: np.ndarray) -> np.ndarray:
     """Text above the threshold in each region and all it contains."""
     held = np.zeros(len(page.parents))
@@ -193,11 +309,11 @@ def held_by_region(page: Lines, lines: list[tuple[str, int, int, int, bool]], we
 
 
 def content(page: Lines) -> str:
-    lines = page.lines
+    lines = page.lines(dropped(page))
     if not lines:
         return ""
     held = held_by_region(page, lines, strong(lines))
-    wanted = [r for r, e in enumerate(page.elements) if e == "article" or e == "main"]
+    wanted = [r for r, e in enumerate(page.elements) if e in ARTICLES]
     outer = [r for r in wanted if not any(up in wanted for up in ancestors(page.parents, r))]
     around: set[int] = set()
     if not wanted or held[outer].sum() < SHARE * held[0] or held[0] == 0:

@@ -368,6 +368,35 @@ def test_divided_pages_without_article_stay_whole():
     assert html_text.main_text(f"<body><h1>Title</h1><div>{paragraphs('only', 5)}</div>{links}</body>").startswith("Title\nThe only")
 
 
+def test_names_of_layouts_and_of_article_parts_drop_nothing():
+    body = paragraphs("main", 5)
+    for wrap in ("class='has-sidebar'", "class='right-sidebar'", "class='page sidebar'", "id='widget'"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+            assert html_text.main_text(f"<body><div {wrap}>{inner}</div></body>").count("main") == 5, (wrap, inner)
+    assert html_text.main_text(f"<body><form><article>{body}</article></form></body>").count("main") == 5
+    page = (
+        "<article><h1>A</h1>" + body + "<section id='related-work'><h2 id='side-effects'>S</h2><p>Older work.</p></section><section id=legal><p>Law.</p></section>"
+        "<h2 id='copyright'>C</h2><p>Area is <math><mi>a</mi><mo>*</mo><mi>b</mi></math></p><svg><title>t</title><text>axis</text><text>label</text></svg></article>"
+    )
+    lines = html_text.main_text(page).split("\n")
+    assert [x for x in lines if "sentence" not in x] == ["A", "S", "Older work.", "Law.", "C", "Area is a*b", "axis", "label"]
+
+
+def test_what_is_named_still_goes():
+    body = paragraphs("main", 5)
+    for gone in ("class='ad'", "class='cookie-notice'", "id='sidebar'", "class='x related-posts'", "class='ad_container'", "id='comments'", "class='comment-list'", "role='navigation'"):
+        for page in (f"<article>{body}<div {gone}><p>Gone.</p></div></article>", f"<div>{body}<div {gone}><p>Gone.</p></div></div>"):
+            assert "Gone" not in html_text.main_text(page), (gone, page)
+    # Teasers and comments marked up as articles do not bring back what holds them.
+    many = "".join(f"<article>{paragraphs('reader', 2)}</article>" for _ in range(6))
+    for around in ("aside", "div class='comments'", "div class='related'"):
+        text = html_text.main_text(f"<main>{body}</main><{around}><article><p>Gone.</p></article></{around.split()[0]}>")
+        assert "Gone" not in text and text.count("main") == 5
+    text = html_text.main_text(f"<article>{body}<div id='comments'>{many}</div></article>")
+    assert "reader" not in text and text.count("main") == 5
+    assert html_text.main_text(f"<article><p>Short.</p></article><footer>{body}</footer>") == "Short."
+
+
 # --- 2 and 4: classifiers --------------------------------------------------------------------------
 
 

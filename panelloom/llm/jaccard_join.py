@@ -16,11 +16,14 @@ difference from below by its bit count, so the overlap from above; what passes
 is decided by intersecting the sorted arrays.
 
 Skew: identical sets are one representative before anything is paired.  A large
-tile of near copies is first joined as a star around its smallest member;
-only members that the verified stars leave in different components are
-paired, so a group of k copies costs about k comparisons.  Tiles are read as
-sorted streams, in bounded blocks.  No link is lost: a pair of
-a tile is either connected already or compared.
+tile of near copies is first joined as a star around its smallest member; while
+verified stars leave a large tile in different components, further stars around
+other members follow, each member compared once a turn.  So a group of k copies costs a few
+times k comparisons, also if the member first chosen links with none.  What is still
+apart is compared pair by pair: a small tile emits pairs, a bounded number; a large one is dealt
+to pairs of bounded blocks, which verify for themselves and emit no more links than join
+their components.  No link is lost: a pair of a tile is either connected already or
+compared.  In a large tile whose members do not link, that work grows with the square of its size, spread over tasks.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing (their component
 is their own id); texts with fewer words than a shingle have their whole word
@@ -46,6 +49,10 @@ from .stages import Stages, read
 
 U = np.uint64
 BLOCK = 2048  # rows of a tile compared with all others at once
+TURNS = 6  # of stars, at most
+SMALL = 64  # members of a tile that emits pairs
+DEALT = 1024  # members of a block of a larger tile, and their hashes
+DEALT_HASHES = 1 << 20
 
 
 def band_edges(percent: int, up_to: int = 1 << 40) -> np.ndarray:
@@ -241,6 +248,63 @@ def bound_pairs(percent: int):
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets link, by their sorted hashes."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    # Both ascend as unsigned numbers.
+    small, large = small.view(U), large.view(U)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum()) if len(large) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def block_links(percent: int):
+    """Arrow function of one pair of blocks of a tile: links that join its components."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side = rows["side"].to_numpy()
+        ids, maps = rows["id"].to_pylist(), rows["bitmap"].to_pylist()
+        sizes = rows["n"].to_numpy()
+        _, labels = np.unique(np.array(rows["component"].to_pylist()), return_inverse=True)
+        hashes = rows["hashes"].chunk(0)
+        ends, values = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+        width = min(len(m) for m in maps)
+        grid = np.stack([folded(np.frombuffer(m, np.uint8), width) for m in maps]).view(np.uint64)
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        within = not len(second)  # a block with itself
+        a, b = [], []
+        for i, lo in enumerate(first):
+            other = first[i + 1 :] if within else second
+            other = other[labels[other] != labels[lo]]
+            near = np.minimum(sizes[other], sizes[lo]) * 100 >= np.maximum(sizes[other], sizes[lo]) * percent
+            other = other[near]
+            apart = np.bitwise_count(grid[other] ^ grid[lo]).sum(axis=1, dtype=np.int64)
+            for j in other[apart * (100 + percent) <= (sizes[other] + sizes[lo]) * (100 - percent)]:
+                if labels[j] != labels[lo] and linked(values[ends[lo] : ends[lo + 1]], values[ends[j] : ends[j + 1]], percent):
+                    a.append(min(ids[lo], ids[j]))
+                    b.append(max(ids[lo], ids[j]))
+                    labels[labels == labels[j]] = labels[lo]
+        kind = rows.schema.field("id").type
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+    return run
+
+
+def dealt(tiles: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Members (key, id, component, size) of large tiles, once for each pair of blocks of their tile they belong to."""
+    whole = tiles.join(arrays.select("id", "n"), "id")
+    blocks = F.greatest(F.ceil(F.first("size") / DEALT), F.ceil(F.sum("n") / DEALT_HASHES)).cast("int")
+    counts = whole.groupBy("key").agg(blocks.alias("blocks"))
+    placed = tiles.join(counts, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "key", "id"), F.col("blocks")).cast("int"))
+    mine = F.col("block")
+    # Side 0 of the pairs (block, later block), side 1 of (earlier block, block), once for itself.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(
+        F.least(t, mine).alias("one"), F.greatest(t, mine).alias("two"), (t < mine).cast("int").alias("side")))
+    return placed.select("key", "id", "component", F.explode(pairs).alias("to")).select("key", "id", "component", "to.*").join(arrays, "id")
+
+
 def exact_links(percent: int):
     """Arrow function: pairs with both sorted arrays -> the pairs that link."""
 
@@ -249,14 +313,7 @@ def exact_links(percent: int):
             left, right = batch.column(2), batch.column(3)
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                # Both ascend as unsigned numbers.
-                small, large = small.view(U), large.view(U)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum()) if len(large) else 0
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = linked(left[i].values.to_numpy(), right[i].values.to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -301,14 +358,38 @@ def jaccard_components(
         full = pairs.join(one, "a").join(two, "b").select("a", "b", "h_a", "h_b")
         return stages.put(full.mapInArrow(exact_links(percent), f"a {id_type}, b {id_type}"), name)
 
+    def placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of the tiles that hold several components, with theirs and the tile's size."""
+        known = rows.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        known = known.select("key", "id", F.coalesce("component", "id").alias("component"))
+        tiles = known.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        return known.join(tiles.where("lo < hi").select("key", "size"), "key")
+
     # First the stars, then what they leave apart.
     stars = members.where("id <> head").groupBy("id").agg(F.min("head").alias("b")).select(F.col("id").alias("a"), "b")
     links = verified(stars, "links-1")
     labels = components(links, stages, "first")
-    placed = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    apart = placed.join(mixed.select("key"), "key", "left_semi").join(arrays.select("id", "n", "bitmap"), "id")
+    # A tile may name a document that visits and lives there twice.
+    mixed = stages.put(placed(members.select("key", "id").distinct(), labels), "mixed-1")
+    quiet = 0
+    for turn in range(2, TURNS + 1):
+        large = mixed.where(F.col("size") > SMALL)
+        if quiet == 2 or large.isEmpty():
+            break
+        # Another head for every tile, in an order that all tiles share.
+        heads = large.groupBy("key").agg(
+            F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(turn), "id")).alias("head")
+        )
+        stars = large.join(heads, "key").where("component <> head.component").groupBy("id").agg(
+            F.min_by("head.id", F.xxhash64(F.lit(turn), "head.id")).alias("b")
+        )
+        more = verified(stars.select(F.col("id").alias("a"), "b"), f"links-{turn}")
+        quiet = quiet + 1 if more.isEmpty() else 0
+        if not quiet:
+            links = links.unionByName(more)
+            labels = components(links, stages, f"turn-{turn}")
+            mixed = stages.put(placed(mixed, labels), f"mixed-{turn}")
+    apart = mixed.where(F.col("size") <= SMALL).join(arrays.select("id", "n", "bitmap"), "id")
     pairs = (
         apart.select("key", "id", "component", "n", "bitmap")
         .repartition("key")
@@ -316,9 +397,13 @@ def jaccard_components(
         .mapInArrow(bound_pairs(percent), f"a {id_type}, b {id_type}")
         .distinct()
     )
-    more = verified(pairs, "links-2")
-    final = stages.put(components(links.unionByName(more), stages, "second"), "components")
-    stages.drop("members", "arrays", "links-1", "links-2")
+    links = links.unionByName(verified(pairs, "links-pairs"))
+    large = mixed.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        blocks = dealt(large, arrays).groupBy("key", "one", "two")
+        links = links.unionByName(stages.put(blocks.applyInArrow(block_links(percent), f"a {id_type}, b {id_type}"), "links-blocks"))
+    final = stages.put(components(links, stages, "second"), "components")
+    stages.drop("members", "arrays", "links-pairs", "links-blocks", *[f"{x}-{t}" for x in ("links", "mixed") for t in range(1, TURNS + 1)])
 
     named = digests.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component")

@@ -155,6 +155,45 @@ def test_stars_leave_pairs_to_the_second_round(spark):
     assert {r.doc_id: r.component_id for r in out} == components_of(sets, links)
 
 
+def outlier_first(k):
+    """k near copies; the smallest id agrees with them on some slices and links with none."""
+    base = [f"b{i}" for i in range(300)]
+    far = [f"z{i}" if i % 30 == 10 else w for i, w in enumerate(base)]
+    return [(0, " ".join(far))] + [(i, " ".join(f"c{i}" if j == 31 + i % 7 else w for j, w in enumerate(base))) for i in range(1, k)]
+
+
+def test_an_outlier_as_head_does_not_bring_pairs_of_all(spark, monkeypatch):
+    paired = spark.sparkContext.accumulator(0)
+    real = jaccard_join.bound_pairs
+
+    def counted(percent):
+        inner = real(percent)
+
+        def run(batches):
+            for batch in inner(batches):
+                paired.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "bound_pairs", counted)
+    k = 150
+    out = jaccard_join.jaccard_components(docs_frame(spark, outlier_first(k))).collect()
+    assert {r.doc_id: r.component_id for r in out} == {0: 0} | {i: 1 for i in range(1, k)}
+    assert paired.value <= 5 * k
+
+
+@pytest.mark.parametrize("turns,percent", [(1, 90), (1, 60), (4, 80)])
+def test_tiles_dealt_to_blocks_lose_no_link(spark, monkeypatch, turns, percent):
+    for name, value in (("SMALL", 2), ("DEALT", 4), ("TURNS", turns)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = [(i, t) for i, (_, t) in enumerate(near_copies() + outlier_first(20))]
+    sets = {i: word_set(t, 3) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    out = jaccard_join.jaccard_components(docs_frame(spark, rows), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in out} == components_of(sets, links)
+
+
 def test_empty_slices_are_rare_and_never_needed():
     edges = jaccard_join.band_edges(90)
     parts, spare = jaccard_join.slice_counts(edges, 90)

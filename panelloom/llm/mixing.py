@@ -129,16 +129,40 @@ def schedule(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Every document as often as it is drawn, all columns.
 
-    Rows that are equal in id, source and text share their drawings evenly, rounded.
+    Rows that are equal in id, source and text share their drawings evenly; what is left over falls on the first ones.
     """
+    stages = Stages(docs.sparkSession, "mixed")
     key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, source_col, text_col)])
     keyed = docs.withColumn("mixing key", key)
     drawn = schedule(keyed, "mixing key", source_col, text_col).groupBy("mixing key").agg(F.count("*").alias("drawings"))
     rows = keyed.groupBy("mixing key").agg(F.count("*").alias("rows"))
-    copies = drawn.join(rows, "mixing key").select("mixing key", F.round(F.col("drawings") / F.col("rows")).cast("int").alias("copies"))
-    return keyed.join(copies, "mixing key").select(
-        *[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("mixing copy")
-    ).drop("mixing copy")
+    shares = drawn.join(rows, "mixing key").select(
+        "mixing key",
+        F.floor(F.col("drawings") / F.col("rows")).cast("int").alias("mixing share"),
+        (F.col("drawings") % F.col("rows")).alias("mixing rest"),
+    )
+    shares = stages.put(shares, "shares")
+
+    def repeated(df: DataFrame, times) -> DataFrame:
+        return df.select(
+            *[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("mixing copy")
+        ).drop("mixing copy")
+
+    out = repeated(keyed.join(shares, "mixing key").where("`mixing rest` = 0"), F.col("mixing share"))
+    uneven = shares.where("`mixing rest` > 0")
+    if uneven.isEmpty():
+        return out
+    # Equal rows are numbered within the parts of a stored table, and the parts by their counts.
+    row = F.monotonically_increasing_id()
+    several = stages.put(keyed.join(uneven, "mixing key").withColumn("mixing row", row), "uneven")
+    several = several.withColumn("mixing part", F.shiftright("mixing row", 33))
+    parts = several.groupBy("mixing key", "mixing part").agg(F.count("*").alias("held"))
+    earlier = Window.partitionBy("mixing key").orderBy("mixing part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("mixing key", "mixing part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("mixing start"))
+    inner = Window.partitionBy("mixing key", "mixing part").orderBy("mixing row")
+    placed = several.withColumn("mixing place", F.row_number().over(inner)).join(parts, ["mixing key", "mixing part"])
+    more = (F.col("mixing start") + F.col("mixing place") <= F.col("mixing rest")).cast("int")
+    return out.unionByName(repeated(placed, F.col("mixing share") + more))
 
 
 def op1_mixing_sources(spark, sf_dir: str) -> DataFrame:

@@ -556,6 +556,14 @@ def test_mixed_documents_keep_columns(spark):
     assert abs(out.count() - drawn) <= 1 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_equal_rows_share_their_drawings_exactly(spark):
+    rows = [(None, "big", invented(1, 40))] * 30 + [(i, "small", invented(i, 100)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(3)
+    drawn = sum(r.source == "big" for r in mixing.schedule(df).collect())
+    out = [r for r in mixing.mixed_documents(df).collect() if r.source == "big"]
+    assert drawn % 30 and len(out) == drawn
+
+
 # --- 3: sharding ---------------------------------------------------------------------------------------------
 
 

@@ -190,3 +190,12 @@ def test_special_functions_against_math():
     x = np.linspace(-8, 8, 3201)
     assert np.allclose(special.erf(x), [math.erf(v) for v in x], rtol=0, atol=1e-14)
     assert np.allclose(special.erfc(x[x >= 0]), [math.erfc(v) for v in x[x >= 0]], rtol=1e-10, atol=0)
+
+
+def test_registered_samples_draw_as_many_as_the_operators():
+    from inspect import signature
+
+    from workload import predictive
+
+    for sample in (distributions.zilnm_sample, distributions.hurdle_t_sample):
+        assert predictive.DRAWS == signature(sample).parameters["n"].default

@@ -54,7 +54,7 @@ def zilnm_cdf(spark, sf):
     return distributions.zilnm_cdf(mixture(spark, sf)).select(*KEYS, "cdf")
 
 
-DRAWS = 100
+DRAWS = 1000
 
 
 def _uniform_sql(salt: str, at: int) -> str:

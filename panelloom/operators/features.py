@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from panelloom.functions import scalar
 
 
+MOST_LABELS = 10_000  # that may become columns
+
+
 def log1p_clip(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """log1p(max(x, 0)) on the listed columns that exist."""
     return df.withColumns({c: scalar.log1p_clipped(F.col(c)) for c in columns if c in df.columns})
@@ -43,10 +46,12 @@ def one_hot_open(df: DataFrame, column: str, prefix: str, labels: Sequence[str]
     """One 0/1 column per label that occurs.
 
     The labels fix the output schema, so without ``labels`` the distinct ones
-    come to the driver.  ``one_hot_long`` needs none of them there.
+    come to the driver; more than ``MOST_LABELS`` are refused.  ``one_hot_long`` needs none of them there.
     """
     if labels is None:
-        found = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
+        found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_LABELS + 1).collect()
+        if len(found) > MOST_LABELS:
+            raise ValueError(f"{column} has more than {MOST_LABELS} labels; use one_hot_long")
         labels = sorted(r[0] for r in found)
     return df.withColumns({f"{prefix}_{v}": scalar.flag(F.col(column) == v) for v in labels})
 

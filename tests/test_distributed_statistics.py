@@ -157,3 +157,13 @@ def test_any_number_of_labels(spark):
     df = spark.range(1500).select(F.concat(F.lit("l"), "id").alias("c"), F.lit("e").alias("entity"), F.lit("p").alias("period"))
     assert len(features.one_hot_open(df, "c", "x").columns) == 1503
     assert features.one_hot_long(df, "c").count() == 1500
+
+
+def test_one_hot_refuses_too_many_labels(spark, monkeypatch):
+    from panelloom.operators import features
+
+    monkeypatch.setattr(features, "MOST_LABELS", 5, raising=False)
+    df = spark.range(6).selectExpr("CAST(id AS STRING) AS c")
+    assert len(features.one_hot_open(df.where("c <> '0'"), "c", "x").columns) == 6
+    with pytest.raises(ValueError, match="one_hot_long"):
+        features.one_hot_open(df, "c", "x")

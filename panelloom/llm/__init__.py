@@ -5,7 +5,20 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_text, jaccard_join, license_scan, line_dedup, mixing, quality, sharding, toxicity
+from . import (
+    decontamination,
+    embedding_dedup,
+    fill_in_middle,
+    html_text,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    mixing,
+    quality,
+    secret_scan,
+    sharding,
+    toxicity,
+)
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
@@ -18,6 +31,8 @@ QUERIES = {
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_html_extraction": html_text.op10_html_extraction,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op13_secret_scans": secret_scan.op13_secret_scans,
 }
 
 ORACLES = {
@@ -27,4 +42,6 @@ ORACLES = {
     "op7_license_scans": license_scan.OP7_SQL,
     "op8_embedding_near_dedup": embedding_dedup.OP8_SQL,
     "op9_ngram_jaccard_join": jaccard_join.OP9_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op13_secret_scans": secret_scan.OP13_SQL,
 }

@@ -62,8 +62,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of texts of about SLICE bytes; null counts as empty."""
+def slices(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of texts of about ``size`` (SLICE) bytes; null counts as empty."""
+    size = size or SLICE
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -75,7 +76,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = int(np.searchsorted(offsets, offsets[lo] + SLICE, side="right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi

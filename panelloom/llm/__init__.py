@@ -6,6 +6,7 @@ Nothing else in the library imports this subpackage.
 from __future__ import annotations
 
 from . import (
+    collocations,
     decontamination,
     embedding_dedup,
     fill_in_middle,
@@ -32,6 +33,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_html_extraction": html_text.op10_html_extraction,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
     "op13_secret_scans": secret_scan.op13_secret_scans,
 }
 
@@ -43,5 +45,6 @@ ORACLES = {
     "op8_embedding_near_dedup": embedding_dedup.OP8_SQL,
     "op9_ngram_jaccard_join": jaccard_join.OP9_SQL,
     "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op12_phrase_collocations": collocations.OP12_SQL,
     "op13_secret_scans": secret_scan.OP13_SQL,
 }

@@ -338,9 +338,10 @@ grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda
 f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
 t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
 c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
-cuts AS (SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
-         FROM c JOIN (VALUES (1), (2), (3)) v(cut) ON cut < words
-         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+parts AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+         FROM c, (VALUES (1), (2), (3)) v(cut) WHERE cut < words),
+cuts AS (SELECT p.lang, p.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+         FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = head JOIN f y ON y.lang = p.lang AND y.phrase = rest),
 weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 held AS (SELECT DISTINCT c.lang, array_to_string(c.w[i:i + size - 1], ' ') AS phrase, c.a AS longer
          FROM c, (VALUES (1), (2), (3)) p(i), (VALUES (2), (3)) q(size) WHERE size < c.words AND i + size - 1 <= c.words),

@@ -10,16 +10,16 @@ fingerprints and counts, never words.
 Equal fingerprints may hide different phrases, so a count by fingerprint is only an upper
 bound.  In a last scan each occurrence of a frequent fingerprint is compared with the
 text at the pointer of the fingerprint's first occurrence in its slice of texts, word by word; what differs is
-grouped anew.  Only phrases that pass are materialised as strings, each with its count and the pointer (row id and word
-number) of an occurrence, and the counts by string, exact, decide.  Pointers are resolved where the text is at
-hand; only those of frequent phrases travel.
+grouped anew.  Only phrases and words that pass are materialised as strings, each with its count
+and the row of an occurrence, and the counts by string, exact, decide.  Pointers are resolved where the text is at
+hand; only the rows of frequent phrases travel.
 
 The bitmap has 16 bits for each frequent fingerprint, 128 MB at most; with more fingerprints it lets more n-grams
 through and the result stays the same.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; texts are
 processed whole, and phrases never cross pieces or texts; rows that repeat count as often as they
-occur; null ids only leave a pointer without id; languages without a phrase give no rows; an
+occur; null ids are nobody's pointer; languages without a phrase give no rows; an
 empty table gives an empty result.
 """
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -45,6 +45,8 @@ BLANKS = b"\x20\x09"
 SLICE = 1 << 21  # bytes of text worked on at once
 MOST_BITS = 30
 SALTS = 64
+# Decimals, as products may pass 64 bits.
+SCORE = "CAST(CAST(a AS DECIMAL(20,0)) * CAST(2000000 AS DECIMAL(7,0)) DIV (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0))) AS BIGINT)"
 
 _OUTSIDE = np.zeros(256, dtype=bool)
 _OUTSIDE[list(BREAKS + BLANKS)] = True
@@ -71,7 +73,7 @@ class Words:
         self.size = last - self.first + 1
         self.per_row = np.diff(np.searchsorted(self.first, offsets))
         self.row = np.repeat(np.arange(len(self.per_row)), self.per_row)
-        self.piece = np.cumsum(_BREAK[raw], dtype=np.int64)[self.first]
+        self.piece = np.cumsum(_BREAK[raw], dtype=np.int32)[self.first]
         self.mask = U(mask)
         self.lang = langs.view(U)[self.row]
         self.hash = (H.Bytes(raw).hashes(self.first, self.size) if len(raw) else np.zeros(0, U)) & self.mask
@@ -91,11 +93,10 @@ class Words:
         return H.mix(poly + self.lang[at] + U(n * H.BASE % (1 << 64))) & self.mask
 
     def frequent(self, n: int, known: "Bits") -> np.ndarray:
-        """First words of the n-grams all of whose words and shorter runs may be frequent."""
+        """First words of the n-grams both of whose longest shorter runs may be frequent."""
         at = self.runs(n)
-        for shorter in range(1, n):
-            for shift in range(n - shorter + 1):
-                at = at[known.has(self.prints(at + shift, shorter))]
+        for shift in (0, 1) if n > 1 else ():
+            at = at[known.has(self.prints(at + shift, n - 1))]
         return at
 
 
@@ -191,11 +192,11 @@ def spelled(w: Words, at: np.ndarray, n: int) -> pa.Array:
 
 
 def materialised(known, mask: int, id_type: pa.DataType):
-    """Arrow function: text, language code, language, id -> language, words, phrase, count, id and word number of an occurrence.
+    """Arrow function: text, language code, language, id -> language, words, phrase, count, id of a row with it.
 
     A row without words and phrase carries the number of words of a language.
     """
-    names = ["lang", "words", "phrase", "n", "id", "word"]
+    names = ["lang", "words", "phrase", "n", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bits(known.value)
@@ -207,25 +208,23 @@ def materialised(known, mask: int, id_type: pa.DataType):
                 total = np.bincount(code, w.per_row, minlength=len(mine.dictionary)).astype(np.int64)
                 k = len(total)
                 yield pa.RecordBatch.from_arrays(
-                    [mine.dictionary, pa.array(np.zeros(k, np.int32)), pa.array([""] * k), pa.array(total), pa.nulls(k, id_type), pa.nulls(k, pa.int64())],
-                    names=names,
+                    [mine.dictionary, pa.array(np.zeros(k, np.int32)), pa.array([""] * k), pa.array(total), pa.nulls(k, id_type)], names=names
                 )
                 ids, of_word = same_words(w), code[w.row]
-                begin = np.cumsum(w.per_row) - w.per_row
                 for n in range(1, LONGEST + 1):
-                    at = w.runs(n)
+                    at = w.runs(1) if n == 1 else at[:-1][at[1:] == at[:-1] + 1]  # only where both shorter runs are frequent
+                    at = at[(w.row[at] == w.row[at + n - 1]) & (w.piece[at] == w.piece[at + n - 1])]
                     prints = w.prints(at, n)
                     held = bits.has(prints)
-                    first, count = distinct_runs(at[held], prints[held], n, ids, of_word)
-                    row = w.row[first]
+                    at, prints = at[held], prints[held]
+                    first, count = distinct_runs(at, prints, n, ids, of_word)
                     yield pa.RecordBatch.from_arrays(
                         [
                             mine.dictionary.take(pa.array(of_word[first])),
                             pa.array(np.full(len(first), n, np.int32)),
                             spelled(w, first, n),
                             pa.array(count),
-                            keys.take(pa.array(row + lo)),
-                            pa.array(first - begin[row]),
+                            keys.take(pa.array(w.row[first] + lo)),
                         ],
                         names=names,
                     )
@@ -236,36 +235,33 @@ def materialised(known, mask: int, id_type: pa.DataType):
 def frequent_phrases(
     docs: DataFrame, stages: Stages, minimum: int, id_col: str, text_col: str, lang_col: str, mask: int = (1 << 64) - 1
 ) -> DataFrame:
-    """(lang, words, phrase, n, at): every phrase of at most LONGEST words that occurs ``minimum`` times, with its exact count
-    and a pointer to an occurrence; and with words = 0 the number of words of each language."""
+    """(lang, words, phrase, n, first_id): every phrase of at most LONGEST words that occurs ``minimum`` times, with its
+    exact count and the smallest id of a row with it; and with words = 0 the number of words of each language."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(id_col).alias("id"))
     coded = rows.select("text", F.xxhash64("lang").alias("code"), "lang", "id")
-    known, levels, total = None, [], 0
+    frequent = None
     for n in range(1, LONGEST + 1):
-        prints = coded.select("text", "code").mapInArrow(counted(n, known, mask), "fp bigint, n bigint")
-        level = stages.put(prints.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= minimum).select("fp"), f"level-{n}")
-        levels.append(level)
-        found = level.count()
-        total += found
-        bits = min(MOST_BITS, max(18, math.ceil(math.log2(16 * max(total, 1)))))
-        all_of = levels[0]
-        for other in levels[1:]:
-            all_of = all_of.unionByName(other)
-        known = spark.sparkContext.broadcast(bits_of(all_of, bits))
-        if not found:
-            break
+        counts = coded.select("text", "code").mapInArrow(counted(n, shared(spark, frequent) if n > 1 else None, mask), "fp bigint, n bigint")
+        level = stages.put(counts.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= minimum).select("fp"), f"level-{n}")
+        frequent = level if frequent is None else frequent.unionByName(level)
     id_type = rows.schema["id"].dataType
     made = coded.mapInArrow(
-        materialised(known, mask, to_arrow_type(id_type)),
-        f"lang string, words int, phrase string, n bigint, id {id_type.simpleString()}, word bigint",
+        materialised(shared(spark, frequent), mask, to_arrow_type(id_type)),
+        f"lang string, words int, phrase string, n bigint, id {id_type.simpleString()}",
     )
-    exact = made.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("id", "word")).alias("at"))
+    exact = made.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("id").alias("first_id"))
     out = stages.put(exact.where((F.col("n") >= minimum) | (F.col("words") == 0)), "phrases")
-    stages.drop(*[f"level-{n + 1}" for n in range(len(levels))])
+    stages.drop(*[f"level-{n}" for n in range(1, LONGEST + 1)])
     return out
 
 
+def shared(spark: SparkSession, prints: DataFrame):
+    """A broadcast bitmap, sized by the number of fingerprints."""
+    bits = min(MOST_BITS, max(18, math.ceil(math.log2(16 * max(prints.count(), 1)))))
+    return spark.sparkContext.broadcast(bits_of(prints, bits))
+
+
 def wide(value: Column) -> Column:
     """For exact arithmetic beyond 64 bits."""
     return value.cast("decimal(20,0)")
@@ -281,7 +277,7 @@ def collocations(
     lang_col: str = "lang",
     mask: int = (1 << 64) - 1,
 ) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score, first_id, first_word): each language's best phrases of two to four words.
+    """(lang, rank, phrase, a, l, r, n, score, first_id): each language's best phrases of two to four words.
 
     ``score`` is 2,000,000 times the count over the summed counts of the two parts at the weakest cut; phrases
     that lie within a longer frequent one with ``inside`` percent of their count are dropped; ``mask`` keeps only some bits
@@ -290,7 +286,7 @@ def collocations(
     stages = Stages(docs.sparkSession, "phrases")
     table = frequent_phrases(docs, stages, minimum, id_col, text_col, lang_col, mask)
     counts = table.where("words > 0").select("lang", "phrase", "n")
-    cands = table.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), "at", F.split("phrase", " ").alias("w"))
+    cands = table.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), "first_id", F.split("phrase", " ").alias("w"))
 
     def joined(first: Column | int, length: Column) -> Column:
         return F.array_join(F.slice("w", first, length), " ")
@@ -300,8 +296,7 @@ def collocations(
     )
     heads = counts.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l"))
     rests = counts.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r"))
-    score = F.expr("CAST(CAST(a AS DECIMAL(20,0)) * CAST(2000000 AS DECIMAL(7,0)) DIV (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0))) AS BIGINT)")
-    scored = cuts.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"]).withColumn("score", score)
+    scored = cuts.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"]).withColumn("score", F.expr(SCORE))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     # Shorter phrases inside each candidate, with the count of the most frequent one around them.
@@ -313,7 +308,7 @@ def collocations(
     kept = cands.join(around, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (wide(F.col("longer")) * F.lit(100) < wide(F.col("a")) * F.lit(inside))
     )
-    full = kept.join(weakest, ["lang", "phrase"]).select("lang", "phrase", "a", "at", "cut.l", "cut.r", "cut.score")
+    full = kept.join(weakest, ["lang", "phrase"]).select("lang", "phrase", "a", "first_id", "cut.l", "cut.r", "cut.score")
 
     # A language may hold all phrases: the best of each salt first, then the best of these.
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
@@ -322,12 +317,12 @@ def collocations(
     best = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     totals = table.where("words = 0").select("lang", "n")  # one row per language
     return best.join(totals, "lang").select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("at.id").alias("first_id"), F.col("at.word").alias("first_word")
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score", "first_id"
     )
 
 
 def op12_phrase_collocations(spark, sf_dir: str) -> DataFrame:
-    return collocations(read(spark, sf_dir, "documents")).drop("first_id", "first_word")
+    return collocations(read(spark, sf_dir, "documents")).drop("first_id")
 
 
 OP12_SQL = f"""WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,

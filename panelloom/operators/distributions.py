@@ -3,14 +3,14 @@
 Two families: a zero-inflated mixture of log-normals (``pi_zero``, arrays
 ``mix_weights``, ``mus``, ``sigmas``) and a hurdle Student t on log1p counts
 (``conflict_logit``, ``mu``, ``sigma``, ``nu``).  Densities that Spark SQL can
-express stay there, the samplers included; erf, log-gamma and the incomplete beta
-function run in Arrow batches.
+express stay there; erf, log-gamma, the incomplete beta function and the samplers run in Arrow
+batches.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.functions import special
+from panelloom.functions import draws, special
 
 EPS = 1e-8
 MIN_POSITIVE = 1e-6
@@ -117,46 +117,90 @@ def hurdle_t_cdf(df: DataFrame, y: str = "y", name: str = "cdf") -> DataFrame:
     return df.withColumn(name, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
-def _uniforms(keys: Sequence[str], seed: int, salt: str, draw: Column) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from one digest of seed, salt, draw number and keys, which any engine can repeat."""
-    digest = F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.lit(salt), draw.cast("string"), *[F.col(k).cast("string") for k in keys]))
+CELLS = 1 << 20  # draws made at once
 
-    def number(at: int) -> Column:
-        return (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
-    return number(1), number(14)
+def keyed(df: DataFrame, keys: Sequence[str], params: Sequence[str], seed: int) -> DataFrame:
+    """(keys..., _key, _counter, params...): two 32-bit numbers from one digest of seed and keys, NULL where a parameter is NULL."""
+    digest = F.md5(F.concat_ws("|", F.lit(f"{seed}"), *[F.col(k).cast("string") for k in keys]))
+    whole = reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in params])
 
+    def word(at: int) -> Column:
+        return F.when(whole, F.conv(F.substring(digest, at, 8), 16, 10).cast("long"))
 
-def _samples(df: DataFrame, keys: Sequence[str], params: Sequence[str], n: int, value) -> DataFrame:
-    """(keys..., samples): n draws per row by an expression of the draw number; NULL where a parameter is NULL.
+    cast = [F.col(p).cast("array<double>" if isinstance(df.schema[p].dataType, T.ArrayType) else "double").alias(f"_{p}") for p in params]
+    return df.select(*keys, word(1).alias("_key"), word(9).alias("_counter"), *cast)
 
-    A retried or moved task draws the same numbers, and rows need no grouping.
+
+def sampled(df: DataFrame, keys: Sequence[str], params: Sequence[str], n: int, seed: int, draw) -> DataFrame:
+    """(keys..., samples): ``draw`` maps parameters and uniform numbers (rows x draws) to values.
+
+    Draw i of a row takes its four numbers from the row's key and the counters 2i and 2i + 1, so a retried or
+    moved task draws the same.  Lists are filled as one flat array, a bounded number of draws at a time.
     """
-    known = [F.col(p).isNotNull() for p in params]
-    whole = reduce(lambda a, b: a & b, known)
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(n)), value)
-    return df.select(*keys, *[p for p in params if p not in keys]).select(*keys, F.when(whole, drawn).alias("samples"))
+    source = keyed(df, keys, params, seed)
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = np.arange(n, dtype=np.uint64) * np.uint64(2)
+        step = max(1, CELLS // max(n, 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                known = np.flatnonzero(part.column(k).is_valid().to_numpy(zero_copy_only=False))
+                held = part.take(pa.array(known))
+                key, row = (held.column(k + i).to_numpy(zero_copy_only=False).astype(np.uint64)[:, None] for i in (0, 1))
+                first, second = draws.uniforms(key, counter, row), draws.uniforms(key, counter + np.uint64(1), row)
+                values = draw([held.column(k + 2 + i) for i in range(len(params))], *first, *second)
+                full = np.full((part.num_rows, n), np.nan)
+                full[known] = values
+                missing = np.isnan(full[:, 0]) if n else np.zeros(part.num_rows, dtype=bool)
+                samples = pa.ListArray.from_arrays(
+                    pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * n), pa.array(full.ravel()), mask=pa.array(missing)
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], samples], names=[*keys, "samples"])
+
+    schema = T.StructType([*[source.schema[c] for c in keys], T.StructField("samples", T.ArrayType(T.DoubleType()))])
+    return source.mapInArrow(run, schema)
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _mixture(params: list[pa.Array], gate, choice, radius, angle) -> np.ndarray:
+    """Values of the zero-inflated mixture; rows whose lists differ in length, hold NULL or have no weight give NaN."""
+    zero, weights = _flat(params[0]), params[1]
+    size = np.stack([pc.list_value_length(p).to_numpy(zero_copy_only=False) for p in params[1:]])
+    out = np.full(gate.shape, np.nan)
+    score = np.sqrt(-2 * np.log(radius)) * np.cos(2 * math.pi * angle)
+    for k in np.unique(size[0]).tolist():
+        rows = np.flatnonzero((size == k).all(axis=0)) if k else []
+        if not len(rows):
+            continue
+        weight, mu, sigma = (_flat(p.take(pa.array(rows)).flatten()).astype(float).reshape(-1, k) for p in (weights, *params[2:]))
+        good = np.isfinite(weight).all(axis=1) & (weight >= 0).all(axis=1) & (weight.sum(axis=1) > 0) & ~np.isnan(mu + sigma).any(axis=1)
+        rows, weight, mu, sigma = rows[good], weight[good], mu[good], sigma[good]
+        part = draws.alias_draw(*draws.alias_table(weight), choice[rows])
+        level = np.exp(np.take_along_axis(mu, part, 1) + np.take_along_axis(sigma, part, 1) * score[rows])
+        out[rows] = np.where(gate[rows] >= zero[rows, None], np.maximum(np.rint(level), 0.0), 0.0)
+    return out
 
 
 def zilnm_sample(df: DataFrame, keys: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys..., samples): rounded draws from the zero-inflated log-normal mixture (normal scores by Box and Muller)."""
-    total = F.aggregate("mix_weights", F.lit(0.0), lambda acc, w: acc + w)
-
-    def value(i: Column) -> Column:
-        gate, choice = _uniforms(keys, seed, "part", i)
-        radius, angle = _uniforms(keys, seed, "normal", i)
-        # The part whose stretch of the cumulative weights holds the choice.
-        walked = F.aggregate(
-            "mix_weights",
-            F.struct(F.lit(0.0).alias("upto"), F.lit(0).alias("part")),
-            lambda acc, w: F.struct((acc["upto"] + w).alias("upto"), (acc["part"] + (choice * total >= acc["upto"] + w).cast("int")).alias("part")),
-        )
-        part = F.least(walked["part"], F.size("mix_weights") - 1)
-        score = F.sqrt(-2 * F.log(radius)) * F.cos(2 * math.pi * angle)
-        level = F.exp(F.get("mus", part) + F.get("sigmas", part) * score)
-        return F.when(gate >= F.col("pi_zero"), F.greatest(F.bround(level), F.lit(0.0))).otherwise(0.0)
+    """(keys..., samples): rounded draws from the zero-inflated log-normal mixture.
+
+    The part comes from an alias table, the normal score from Box and Muller; any number of parts, also by row.
+    NULL where a parameter is NULL, the lists differ in length or no part has weight.
+    """
+    return sampled(df, keys, ["pi_zero", "mix_weights", "mus", "sigmas"], n, seed, _mixture)
+
 
-    return _samples(df, keys, ["pi_zero", "mix_weights", "mus", "sigmas"], n, value)
+def _hurdle(params: list[pa.Array], gate, _, radius, angle) -> np.ndarray:
+    logit, mu, sigma, nu = (_flat(p).astype(float)[:, None] for p in params)
+    score = np.sqrt(nu * (np.power(radius, -2 / nu) - 1)) * np.cos(2 * math.pi * angle)
+    log_y = np.minimum(mu + sigma * score, MAX_LOG)
+    return np.where(gate < 1 / (1 + np.exp(-logit)), np.rint(np.maximum(np.expm1(log_y), 0.0)), 0.0)
 
 
 def hurdle_t_sample(df: DataFrame, keys: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
@@ -164,17 +208,7 @@ def hurdle_t_sample(df: DataFrame, keys: Sequence[str], n: int = 1000, seed: int
 
     The t score is Bailey's polar form, for any degrees of freedom.
     """
-
-    def value(i: Column) -> Column:
-        gate, _ = _uniforms(keys, seed, "gate", i)
-        radius, angle = _uniforms(keys, seed, "student", i)
-        nu = F.col("nu")
-        score = F.sqrt(nu * (F.pow(radius, -2 / nu) - 1)) * F.cos(2 * math.pi * angle)
-        log_y = F.least(F.col("mu") + F.col("sigma") * score, F.lit(MAX_LOG))
-        open_gate = gate < 1 / (1 + F.exp(-F.col("conflict_logit")))
-        return F.when(open_gate, F.bround(F.greatest(F.expm1(log_y), F.lit(0.0)))).otherwise(0.0)
-
-    return _samples(df, keys, ["conflict_logit", "mu", "sigma", "nu"], n, value)
+    return sampled(df, keys, ["conflict_logit", "mu", "sigma", "nu"], n, seed, _hurdle)
 
 
 def _spike_weight(y: str, threshold: float, factor: float) -> Column:

@@ -458,3 +458,20 @@ def chi2_tail_9_sql(x: str) -> str:
     """Upper tail of chi-squared with nine degrees of freedom."""
     return f"""(1 - ({erf_sql(f'sqrt({x} / 2)')}) + sqrt(2 * {x} / pi()) * exp(-{x} / 2) *
       (1 + {x} / 3 + pow({x}, 2) / 15 + pow({x}, 3) / 105))"""
+
+
+def philox_sql(source: str, key: str, first: str, second: str, names: tuple[str, str], step: str) -> str:
+    """CTEs from ``source`` to ``{step}``: two columns of numbers in (0, 1) by ten rounds of Philox 2x32."""
+    rounds = [f"{step}_0 AS (SELECT *, ({first})::UBIGINT AS _x, ({second})::UBIGINT AS _y, ({key})::UBIGINT AS _k FROM {source})"]
+    for r in range(10):
+        rounds.append(
+            f"""{step}_{r + 1} AS (SELECT * REPLACE (xor(xor((_x * {0xD256D193}::UBIGINT) >> 32::UBIGINT, (_k + {r * 0x9E3779B9 % (1 << 32)}::UBIGINT) & 4294967295::UBIGINT), _y) AS _x,
+            (_x * {0xD256D193}::UBIGINT) & 4294967295::UBIGINT AS _y) FROM {step}_{r})"""
+        )
+    rounds.append(f"{step} AS (SELECT * EXCLUDE (_x, _y, _k), (_x + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS {names[0]}, (_y + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS {names[1]} FROM {step}_10)")
+    return ",\n".join(rounds)
+
+
+def keyed_sql(at: int, text: str) -> str:
+    """Eight hexadecimal digits of a digest as a number."""
+    return f"CAST('0x' || substr(md5({text}), {at}, 8) AS UBIGINT)"

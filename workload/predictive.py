@@ -57,9 +57,15 @@ def zilnm_cdf(spark, sf):
 DRAWS = 1000
 
 
-def _uniform_sql(salt: str, at: int) -> str:
-    digest = f"md5('42|{salt}|' || i || '|' || entity || '|' || period)"
-    return f"((CAST('0x' || substr({digest}, {at}, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+ROW = "'42|' || entity || '|' || period"
+
+
+def _draws_sql(source: str) -> str:
+    """Four numbers in (0, 1) for every draw of every row."""
+    return f"""d0 AS (SELECT *, {base.keyed_sql(1, ROW)} AS key, {base.keyed_sql(9, ROW)} AS counter FROM {source}),
+    d AS (SELECT *, unnest(range(0, {DRAWS})) AS i FROM d0),
+    {base.philox_sql('d', 'key', '2 * i', 'counter', ('gate', 'choice'), 'one')},
+    {base.philox_sql('one', 'key', '2 * i + 1', 'counter', ('radius', 'angle'), 'u')}"""
 
 
 def _digest_sql(draws: str) -> str:
@@ -67,11 +73,22 @@ def _digest_sql(draws: str) -> str:
       FROM ({draws}) GROUP BY entity, period"""
 
 
+# The alias table of three parts: the smallest column, the largest other one, then the smaller of what is left.
+ALIAS = """a0 AS (SELECT *, list_transform(w, lambda v: v * 3 / (w[1] + w[2] + w[3])) AS q FROM mix),
+    a1 AS (SELECT *, list_position(q, list_min(q)) AS s FROM a0),
+    a2 AS (SELECT *, list_transform(q, lambda v, i: CASE WHEN i = s THEN -1.0 ELSE v END) AS rest FROM a1),
+    a3 AS (SELECT *, list_position(rest, list_max(rest)) AS l FROM a2),
+    a4 AS (SELECT *, 6 - s - l AS m, q[l] + q[s] - 1 AS ql FROM a3),
+    a5 AS (SELECT *, CASE WHEN ql < q[m] OR (ql = q[m] AND l < m) THEN l ELSE m END AS s2, least(ql, q[m]) AS q2 FROM a4),
+    alias AS (SELECT entity, period, pi_zero, mus, sigmas,
+      list_transform([1, 2, 3], lambda c: CASE c WHEN s THEN q[s] WHEN s2 THEN q2 ELSE 1.0 END) AS share,
+      list_transform([1, 2, 3], lambda c: CASE c WHEN s THEN l WHEN s2 THEN l + m - s2 ELSE c END) AS other FROM a5)"""
+
+
 @query(
-    f"""WITH {MIX}, d AS (SELECT *, unnest(range(1, {DRAWS + 1})) AS i FROM mix),
-    u AS (SELECT *, {_uniform_sql('part', 1)} AS gate, {_uniform_sql('part', 14)} * (w[1] + w[2] + w[3]) AS choice,
-      sqrt(-2 * ln({_uniform_sql('normal', 1)})) * cos(2 * pi() * {_uniform_sql('normal', 14)}) AS score FROM d),
-    k AS (SELECT *, CASE WHEN choice < w[1] THEN 1 WHEN choice < w[1] + w[2] THEN 2 ELSE 3 END AS part FROM u)
+    f"""WITH {MIX}, {ALIAS}, {_draws_sql('alias')},
+    c AS (SELECT *, least(floor(choice * 3)::INTEGER, 2) + 1 AS col, sqrt(-2 * ln(radius)) * cos(2 * pi() * angle) AS score FROM u),
+    k AS (SELECT *, CASE WHEN choice * 3 - (col - 1) < share[col] THEN col ELSE other[col] END AS part FROM c)
     {_digest_sql("SELECT entity, period, CASE WHEN gate >= pi_zero THEN round_even(exp(mus[part] + sigmas[part] * score), 0) ELSE 0.0 END AS v FROM k")}""",
     doubles="max mean",
 )
@@ -124,9 +141,9 @@ def hurdle_t_cdf(spark, sf):
 
 
 @query(
-    f"""WITH {HURDLE}, d AS (SELECT *, unnest(range(1, {DRAWS + 1})) AS i FROM h0),
-    s AS (SELECT *, sqrt(nu * (pow({_uniform_sql('student', 1)}, -2 / nu) - 1)) * cos(2 * pi() * {_uniform_sql('student', 14)}) AS score FROM d)
-    {_digest_sql(f"SELECT entity, period, CASE WHEN {_uniform_sql('gate', 1)} < 1 / (1 + exp(-g)) THEN round_even(greatest(exp(least(mu + sigma * score, 15.0)) - 1, 0), 0) ELSE 0.0 END AS v FROM s")}""",
+    f"""WITH {HURDLE}, {_draws_sql('h0')},
+    s AS (SELECT *, sqrt(nu * (pow(radius, -2 / nu) - 1)) * cos(2 * pi() * angle) AS score FROM u)
+    {_digest_sql("SELECT entity, period, CASE WHEN gate < 1 / (1 + exp(-g)) THEN round_even(greatest(exp(least(mu + sigma * score, 15.0)) - 1, 0), 0) ELSE 0.0 END AS v FROM s")}""",
     doubles="max mean",
 )
 def hurdle_t_sample(spark, sf):

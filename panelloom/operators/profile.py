@@ -155,16 +155,19 @@ def classify(profile: DataFrame) -> DataFrame:
 
 def outliers(df: DataFrame, columns: Sequence[str], p: float = 0.995) -> DataFrame:
     """(feature, threshold, n_outliers, max) above the p quantile."""
-    counts = quantiles.value_counts(df, columns)
-    cumulative = quantiles.cumulative_counts(counts)
-    cut = quantiles._quantiles_of(cumulative, {"threshold": p})
-    # One row per feature: broadcast is bounded by the schema.
-    above = counts.join(F.broadcast(cut), "feature")
+    cut = quantiles.quantiles(df, columns, {"threshold": p})
     over = F.col("value") > F.col("threshold")
-    return above.groupBy("feature", "threshold").agg(
-        F.sum(F.when(over, F.col("n")).otherwise(0)).alias("n_outliers"),
-        F.max(F.when(over, F.col("value"))).alias("max"),
-    ).filter(F.col("n_outliers") > 0)
+    # One row per feature is broadcast; counts combine on the map side.
+    above = _with_cuts(df, columns, cut).groupBy("feature", "threshold").agg(
+        F.count_if(over).alias("n_outliers"), F.max(F.when(over, F.col("value"))).alias("max")
+    )
+    return above.filter(F.col("n_outliers") > 0)
+
+
+def _with_cuts(df: DataFrame, columns: Sequence[str], cuts: DataFrame) -> DataFrame:
+    """Every non-null value with the row of its feature."""
+    long = df.select(F.inline(quantiles.long_values(df, columns))).where(F.col("value").isNotNull())
+    return long.join(F.broadcast(cuts), "feature")
 
 
 def zero_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -172,17 +175,18 @@ def zero_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return per_column(df, columns, {"pct_zero": lambda c: F.avg((F.coalesce(c, F.lit(0)) == 0).cast("double")) * 100})
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def pearson_pairs(df: DataFrame, columns: Sequence[str], centre: Sequence[float] | None = None) -> DataFrame:
     """(feature_a, feature_b, r) for each pair a < b over rows where both are known; NULL without spread.
 
     Every task folds its Arrow batches into matrices of sums over the common rows,
-    centred by the column means, and emits one row per pair; these are added up.
+    centred by the column means, which may be given, and emits one row per pair; these are added up.
     """
     names = list(columns)
     values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    means = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()  # one row
-    centre = np.array([0.0 if m is None else m for m in means])
-    folded = values.mapInArrow(_pair_sums(centre), "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+    if centre is None:
+        centre = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()  # one row
+    middle = np.array([0.0 if m is None else m for m in centre])
+    folded = values.mapInArrow(_pair_sums(middle), "a int, b int, n double, x double, y double, xx double, yy double, xy double")
     total = folded.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
 
     def spread(square: str, first: str) -> Column:
@@ -239,8 +243,8 @@ def spearman_pairs(
 
     Ranks are taken over each column's own values and aligned by key.
     """
-    ranks = quantiles.average_ranks(df, keys, columns)
-    pairs = pearson_pairs(ranks, columns).filter(F.col("r").isNotNull())
+    ranks, centre = quantiles.centred_ranks(df, keys, columns)
+    pairs = pearson_pairs(ranks, columns, centre).filter(F.col("r").isNotNull())
     if report is not None:
         pairs = pairs.filter(F.abs("r") > report)
     return pairs.withColumn("redundant", F.abs("r") > 0.9)
@@ -318,16 +322,13 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50, log: bool =
 
 def box_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, and the number beyond."""
-    counts = quantiles.value_counts(df, columns)
-    cuts = quantiles._quantiles_of(
-        quantiles.cumulative_counts(counts), {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    )
+    cuts = quantiles.quantiles(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    return counts.join(F.broadcast(cuts), "feature").groupBy("feature", "q1", "median", "q3").agg(
+    return _with_cuts(df, columns, cuts).groupBy("feature", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_fliers"),
+        F.count_if(~inside).alias("n_fliers"),
     )
 
 

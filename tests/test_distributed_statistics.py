@@ -26,24 +26,87 @@ def frame(spark, data):
     return df.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
 
 
-@pytest.mark.parametrize("limit", [quantiles.DIRECT_LIMIT, 5])
-def test_quantiles_on_both_routes(frame, data, limit):
-    probs = {"p0": 0.0, "p01": 0.01, "p50": 0.5, "p995": 0.995, "p100": 1.0}
-    got = quantiles.quantiles(frame, ["x", "y", "z"], probs, direct_limit=limit, per_bucket=50)
-    for r in got.collect():
+PROBS = {"p0": 0.0, "p01": 0.01, "p50": 0.5, "p995": 0.995, "p100": 1.0}
+
+
+def check_quantiles(got, data):
+    rows = got.collect()
+    assert {r["feature"] for r in rows} == {"x", "y", "z"}
+    for r in rows:
         values = data[r["feature"]].dropna()
-        for name, p in probs.items():
+        for name, p in PROBS.items():
             assert r[name] == pytest.approx(values.quantile(p), abs=1e-12), (r["feature"], name)
 
 
-@pytest.mark.parametrize("limit", [quantiles.DIRECT_LIMIT, 5])
-def test_average_ranks_on_both_routes(frame, data, limit):
-    got = quantiles.average_ranks(frame, ["k"], ["x", "y", "z"], direct_limit=limit, per_bucket=50, hot_share=0.05)
+# Direct, bracketed, bracketed with values of many buckets, and brackets so narrow that ranks are missed.
+@pytest.mark.parametrize("limit,bucket,accuracy", [(10**6, 10**6, 10**4), (5, 10**6, 10**3), (5, 20, 200), (5, 20, 10), (5, 10**6, 10**9)])
+def test_quantiles_on_all_routes(frame, data, limit, bucket, accuracy):
+    check_quantiles(quantiles.quantiles(frame, ["x", "y", "z"], PROBS, direct_limit=limit, per_bucket=bucket, accuracy=accuracy), data)
+
+
+def test_missed_ranks_are_counted_in_full(frame, data, monkeypatch):
+    real = quantiles.brackets
+
+    def beside(*args):
+        return {c: (n, [(v[0][0], v[0][0])] if c == "z" else v) for c, (n, v) in real(*args).items()}
+
+    monkeypatch.setattr(quantiles, "brackets", beside)
+    check_quantiles(quantiles.quantiles(frame, ["x", "y", "z"], PROBS, direct_limit=5), data)
+
+
+def test_only_bracketed_values_are_shuffled(spark):
+    """A hundred thousand different values: the exchange carries those near the wanted ranks and one row a gap and task."""
+    df = spark.range(100_000, numPartitions=4).select((F.xxhash64("id") / 1e9).alias("v"), F.lit(None).cast("double").alias("none"))
+    found = quantiles.brackets(df, ["v", "none"], [0.25, 0.5], 1000)
+    counts = quantiles.bracketed_counts(df, found)
+    assert counts.where("gap").count() == 3
+    assert 400 <= counts.where("NOT gap").count() <= 2000 and counts.agg(F.sum("n")).first()[0] == 100_000
+    got = quantiles.quantiles(df, ["v", "none"], {"a": 0.25, "b": 0.5}, direct_limit=0, accuracy=1000).collect()
+    values = np.array([r[0] for r in df.select("v").collect()])
+    assert len(got) == 1 and got[0]["a"] == np.quantile(values, 0.25) and got[0]["b"] == np.quantile(values, 0.5)
+
+
+def test_quantiles_of_no_rows(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    assert quantiles.quantiles(df, ["a", "b"], {"m": 0.5}).collect() == []
+    assert quantiles.quantiles(df, ["a", "b"], {"m": 0.5}, direct_limit=-1).collect() == []
+
+
+@pytest.mark.parametrize("partitions", [None, 1, 7, 40])
+def test_average_ranks_with_ties_across_partitions(frame, data, partitions):
+    # 40 % of x are one value, so it fills many of 40 partitions; y has 12 values.
+    got = quantiles.average_ranks(frame.repartition(5), ["k"], ["x", "y", "z"], partitions)
     mine = got.toPandas().set_index("k").sort_index()
     expected = data.set_index("k")[["x", "y", "z"]].rank()
     pd.testing.assert_frame_equal(mine[["x", "y", "z"]].astype(float), expected, check_index_type=False)
 
 
+def test_tie_runs_do_not_depend_on_batches(spark, frame, data):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "100"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            mine = quantiles.average_ranks(frame.limit(500), ["k"], ["x", "y", "z"], 6).toPandas().set_index("k").sort_index()
+            expected = data.head(500).set_index("k")[["x", "y", "z"]].rank()
+            pd.testing.assert_frame_equal(mine.astype(float), expected, check_index_type=False)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_ranks_of_zeros_constants_and_columns_without_values(spark):
+    rows = [(1, 0.0, 5.0, None), (2, -0.0, 5.0, None), (3, -1.0, 5.0, None), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    got = {r["k"]: tuple(r)[1:] for r in quantiles.average_ranks(df, ["k"], ["a", "b", "c"], 3).collect()}
+    assert got == {1: (2.5, 2.0, None), 2: (2.5, 2.0, None), 3: (1.0, 2.0, None)}
+
+
+def test_ranks_travel_through_one_exchange_and_one_pivot(frame):
+    ranks, _ = quantiles.ranked_rows(frame, ["k"], ["x", "y", "z"], 7)
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    # What reads the stored rows joins border values by broadcast only.
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_spearman(frame, data):
     got = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.spearman_pairs(frame, ["x", "y", "z"], ["k"], None).collect()}
     # Ranks are over each column's own values, then aligned by key.

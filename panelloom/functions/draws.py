@@ -33,6 +33,30 @@ def uniforms(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np
     return tuple((n.astype(np.float64) + 0.5) / 4294967296.0 for n in philox(key, first, second))
 
 
+def stream(key: int, second: int, counters: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) with 53 bits for the counters of a stream, which its two 32-bit words name."""
+    counters = np.asarray(counters, dtype=U)
+    x, y = philox(np.array(key, dtype=U), counters & U(LOW), (U(second) + (counters >> U(32))) & U(LOW))
+    return (x.astype(np.float64) * 2097152.0 + (y >> U(11)).astype(np.float64) + 0.5) / 9007199254740992.0
+
+
+def split_draws(draws: int, weights: np.ndarray, key: int, second: int, first: int = 0, direct: int = 1 << 20) -> np.ndarray:
+    """How many of ``draws`` independent draws fall on each weight (multinomial counts).
+
+    Up to ``direct`` draws are made one by one, from counter ``first`` on; more are split by conditional
+    binomials, one a weight, seeded by the same words.
+    """
+    if not draws or not weights.sum() > 0:
+        return np.zeros(len(weights), dtype=np.int64)
+    if draws > direct:
+        rng = np.random.Generator(np.random.Philox(key=[key, second]))
+        return rng.multinomial(draws, weights / weights.sum())
+    upto = np.cumsum(weights)
+    place = np.searchsorted(upto, stream(key, second, np.arange(first, first + draws)) * upto[-1], side="right")
+    # A product may round up to the total, which belongs to the last positive weight.
+    return np.bincount(np.minimum(place, np.flatnonzero(weights > 0)[-1]), minlength=len(weights))
+
+
 def alias_table(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of positive total weight the share a part keeps of its column, and the part that has the rest.
 

@@ -7,16 +7,21 @@ row-local projection with those numbers as literals.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelloom.functions import moments, scalar
+from panelloom.functions import draws, moments, scalar
 from panelloom.operators import keys as key_ops
 from panelloom.operators import profile
 
@@ -204,43 +209,77 @@ def strata_weight(y: Column, strata: Sequence[tuple[float, float]] = STRATA) ->
     return weight.otherwise(1.0)
 
 
+DIRECT_DRAWS = 1 << 20
+
+
 def weighted_resample(
-    df: DataFrame, weight: str, keys: Sequence[str], n: int | None = None, seed: int = 42
+    df: DataFrame, weight: str, keys: Sequence[str], n: int | None = None, seed: int = 42, direct: int = DIRECT_DRAWS
 ) -> DataFrame:
-    """Exactly n rows (by default as many as there are) drawn with replacement, in proportion to a weight.
-
-    Systematic resampling: the rows stand in a keyed random order, the cumulative
-    weight is cut at n equally spaced points from a random start, and a row is
-    repeated as often as points fall on it: its expected number of times, rounded up or
-    down.  Cumulative sums are taken within about sqrt(rows) buckets of the key's
-    digest and over the buckets, so no row order is global.
+    """Exactly n rows (by default as many as there are) drawn independently with replacement, in proportion to a weight.
+
+    Multinomial splitting down a tree of two levels, about sqrt(rows) buckets by the key's digest and the rows of
+    each: the n draws are split over the buckets by weight, each bucket's draws over its rows.  So a row's
+    copies are a multinomial count, no draw is shuffled, and no order of rows is global.  Counters name
+    the draws: a retried task draws the same.  Beyond ``direct`` draws a node is split by conditional binomials
+    instead, so a heavy row costs no more than a light one.  ``keys`` identify a row; NULL and negative weights count as 0; without
+    any weight nothing is drawn.
     """
-    total = df.agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).first()  # one row
-    size = total["n"] if n is None else n
+    spark = df.sparkSession
+    safe = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = df.count()
+    size = rows if n is None else n
+    digits = max(1, math.ceil(math.log(max(rows, 1), 16) / 2))
     digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in keys]))
-    digits = max(1, math.ceil(math.log(max(total["n"], 1), 16) / 2))
-    placed = df.withColumns({"_order": digest, "_bucket": F.substring(digest, 1, digits)})
-    inner = W.partitionBy("_bucket").orderBy("_order", *keys).rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("_inside", F.coalesce(F.sum(weight).over(inner), F.lit(0.0)))
-    # About sqrt(rows) buckets: one window task.
-    outer = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = placed.groupBy("_bucket").agg(F.sum(weight).alias("_held")).select(
-        "_bucket", F.coalesce(F.sum("_held").over(outer), F.lit(0.0)).alias("_start")
-    )
-    step = float(size) / float(total["w"] or 1.0)
-    begin = (F.col("_start") + F.col("_inside")) * F.lit(step)
-    end = (F.col("_start") + F.col("_inside") + F.col(weight)) * F.lit(step)
-    start = uniform_of([F.lit("start")], F.lit(seed))
-    # The last point may round up to the total itself, which belongs to the last row.
-    first = F.least(F.ceil(begin - start), F.lit(size))
-    last = F.when(F.col("_start") + F.col("_inside") + F.col(weight) >= F.lit(float(total["w"] or 0.0)), F.lit(size)).otherwise(
-        F.least(F.ceil(end - start), F.lit(size))
-    )
-    drawn = placed.join(starts, "_bucket").withColumn("_copies", (last - first).cast("int")).filter(F.col("_copies") > 0)
-    out = drawn.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    placed = df.withColumns({"_order": digest, "_bucket": F.substring(digest, 1, digits), "_w": safe})
+    # At most 16 * sqrt(rows) buckets go through the driver.
+    held = sorted(placed.groupBy("_bucket").agg(F.sum("_w").alias("w")).collect())
+    weights = np.array([r["w"] for r in held], dtype=float)
+    copies = _bucket_draws(spark, size, weights, seed, direct)
+    shared = spark.sparkContext.broadcast({r["_bucket"]: int(c) for r, c in zip(held, copies) if c})
+    schema = T.StructType([*placed.schema.fields, T.StructField("_copies", T.LongType())])
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        table = table.take(pc.sort_indices(table, sort_keys=[("_order", "ascending"), *[(k, "ascending") for k in keys]]))
+        bucket = table.column("_bucket")[0].as_py()
+        drawn = draws.split_draws(shared.value.get(bucket, 0), table.column("_w").to_numpy(), *words_of(f"{seed}|{bucket}"), direct=direct)
+        return table.append_column("_copies", pa.array(drawn.astype(np.int64))).filter(pa.array(drawn > 0))
+
+    out = placed.groupBy("_bucket").applyInArrow(draw, schema)
+    out = out.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select(*df.columns, "draw")
 
 
+def words_of(text: str) -> tuple[int, int]:
+    """Two 32-bit words that name a stream of random numbers."""
+    digest = hashlib.md5(text.encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:16], 16)
+
+
+def _bucket_draws(spark: SparkSession, size: int, weights: np.ndarray, seed: int, direct: int) -> np.ndarray:
+    """The first level of the tree: up to a number the draws are made in tasks, beyond it the split is one pass over the buckets."""
+    key = words_of(f"{seed}|buckets")
+    if not size or not weights.sum() > 0:
+        return np.zeros(len(weights), dtype=np.int64)
+    if size > 100 * direct:
+        return draws.split_draws(size, weights, *key, direct=0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(weights), dtype=np.int64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            if len(ids):  # consecutive numbers
+                total += draws.split_draws(len(ids), weights, *key, first=int(ids[0]), direct=len(ids))
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
+
+    counted = spark.range(size).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(weights), dtype=np.int64)
+    for r in counted.collect():  # at most one row a bucket
+        out[r["bucket"]] = r["n"]
+    return out
+
+
 def uniform_of(keys: Sequence[Column], *salt: Column) -> Column:
     """A number in (0, 1) from the MD5 digest of the keys.
 

@@ -180,10 +180,60 @@ def test_correlation_with_a_constant_is_null(spark):
 
 def test_resample_of_a_heavy_row_has_the_exact_size(spark):
     df = spark.range(1000).withColumn("w", F.when(F.col("id") == 7, 5000.0).otherwise(1.0))
-    drawn = preprocess.weighted_resample(df, "w", ["id"], n=6000)
-    copies = {r["id"]: r["count"] for r in drawn.groupBy("id").count().collect()}
-    assert sum(copies.values()) == 6000 and abs(copies[7] - 6000 * 5000 / 5999) <= 1
-    assert max(v for k, v in copies.items() if k != 7) <= 2
+    for direct in (1 << 20, 5):  # draws one by one, and by conditional binomials
+        drawn = preprocess.weighted_resample(df, "w", ["id"], n=6000, direct=direct)
+        copies = {r["id"]: r["count"] for r in drawn.groupBy("id").count().collect()}
+        assert sum(copies.values()) == 6000
+        assert abs(copies[7] - 6000 * 5000 / 5999) < 5 * (6000 * 5000 / 5999 * 999 / 5999) ** 0.5
+
+
+@pytest.mark.parametrize("direct", [1 << 20, 20])
+def test_resample_counts_vary_like_independent_draws(spark, direct):
+    """Counts over many seeds have the multinomial mean, variance and covariance; equally spaced draws have almost none."""
+    weights = np.array([1.0, 2.0, 3.0, 4.0, 0.0, 10.0, 1.0, 1.0, 5.0, 3.0] * 4)
+    df = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "id int, w double").coalesce(1).persist()
+    n, seeds = 400, 16
+    tables = [preprocess.weighted_resample(df, "w", ["id"], n=n, seed=s, direct=direct).select(F.lit(s).alias("s"), "id") for s in range(seeds)]
+    from functools import reduce
+
+    rows = reduce(lambda a, b: a.unionByName(b), tables).groupBy("s", "id").count().collect()
+    df.unpersist()
+    counts = np.zeros((seeds, len(weights)))
+    for r in rows:
+        counts[r["s"], r["id"]] = r["count"]
+    p = weights / weights.sum()
+    assert (counts.sum(axis=1) == n).all() and not counts[:, weights == 0].any()
+    held = p > 0
+    chi = ((counts[:, held] - n * p[held]) ** 2 / (n * p[held])).sum(axis=1)
+    free = held.sum() - 1
+    # The mean of 16 statistics with `free` degrees of freedom; systematic draws stay near 0.
+    assert abs(chi.mean() - free) < 4 * (2 * free / seeds) ** 0.5
+    total = counts.sum(axis=0)
+    assert ((total[held] - n * seeds * p[held]) ** 2 / (n * seeds * p[held])).sum() < free + 5 * (2 * free) ** 0.5
+    halves = counts[:, :20].sum(axis=1)
+    q = p[:20].sum()
+    assert 0.2 < halves.var() / (n * q * (1 - q)) < 3
+
+
+def test_resample_of_odd_weights(spark):
+    df = spark.createDataFrame([(1, None), (2, -3.0), (3, 0.0), (4, 2.0), (5, float(1))], "id int, w double").withColumns({"draws": F.lit(1), "n": F.lit(2)})
+    got = [tuple(r) for r in preprocess.weighted_resample(df, "w", ["id"], n=50).collect()]
+    assert len(got) == 50 and {g[0] for g in got} == {4, 5}
+    assert preprocess.weighted_resample(df.where("id < 4"), "w", ["id"]).count() == 0
+    assert preprocess.weighted_resample(df.where("id > 9"), "w", ["id"]).count() == 0
+
+
+def test_split_draws_in_pieces_equals_the_whole():
+    from panelloom.functions import draws
+
+    weights = np.array([0.0, 1.0, 2.5, 0.0, 4.0, 0.0])
+    whole = draws.split_draws(1000, weights, 11, 12)
+    pieces = sum(draws.split_draws(250, weights, 11, 12, first=at) for at in range(0, 1000, 250))
+    assert (whole == pieces).all() and whole.sum() == 1000 and not whole[[0, 3, 5]].any()
+    u = draws.stream(11, 12, np.arange(100_000))
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.005 and len(np.unique(u)) == 100_000
+    # Counters beyond 32 bits continue in the second word.
+    assert draws.stream(11, 12, np.array([1 << 32]))[0] == draws.stream(11, 13, np.array([0]))[0]
 
 
 def test_pair_correlation_at_panel_width(spark):

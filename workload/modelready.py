@@ -192,14 +192,30 @@ def strata_weights(spark, sf):
     return base.conflict_panel(spark, sf).select("entity", "period", weight.alias("weight"))
 
 
+def _stream_sql(source: str, text: str, counter: str, step: str) -> str:
+    """Numbers u in (0, 1) with 53 bits, from counter-named pairs of 32 bits."""
+    key = base.philox_sql(source, base.keyed_sql(1, text), counter, base.keyed_sql(9, text), ("_a", "_b"), f"{step}_pair")
+    return f"{key}, {step} AS (SELECT *, (floor(_a * 4294967296.0) * 2097152.0 + floor(_b * 2097152.0) + 0.5) / 9007199254740992.0 AS u FROM {step}_pair)"
+
+
 @query(
-    f"""WITH {PANEL}, w AS (SELECT entity, period, fatalities_best, CASE WHEN fatalities_best > 500 THEN 10.0 WHEN fatalities_best > 50 THEN 5.0
-      WHEN fatalities_best > 0 THEN 3.0 ELSE 1.0 END AS weight FROM panel),
-    t AS (SELECT sum(weight) AS total, count(*) AS n, (CAST('0x' || substr(md5('42|start'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM w),
-    c AS (SELECT *, sum(weight) OVER (ORDER BY md5('42|' || entity || '|' || period), entity, period) AS upto FROM w),
-    d AS (SELECT entity, period, fatalities_best, weight,
-      CASE WHEN upto >= total THEN n ELSE ceil(upto * (n / total) - u) END - ceil((upto - weight) * (n / total) - u) AS copies FROM c, t)
-    SELECT entity, period, fatalities_best, CAST(weight AS DOUBLE) AS weight, CAST(unnest(range(1, copies::BIGINT + 1)) AS INTEGER) AS draw FROM d""",
+    f"""WITH {PANEL}, w AS (SELECT entity, period, fatalities_best, CASE WHEN fatalities_best > 500 THEN 10.0::DOUBLE WHEN fatalities_best > 50 THEN 5.0
+      WHEN fatalities_best > 0 THEN 3.0 ELSE 1.0 END AS weight, md5('42|' || entity || '|' || period) AS digest FROM panel),
+    t AS (SELECT count(*) AS n, greatest(1, ceil(log2(count(*)) / 8))::INTEGER AS digits FROM w),
+    r AS (SELECT *, digest[1:digits] AS bucket FROM w, t),
+    b AS (SELECT bucket, sum(weight) AS held FROM r GROUP BY bucket),
+    bs AS (SELECT *, coalesce(sum(held) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(held) OVER () AS total FROM b),
+    first0 AS (SELECT unnest(range(0, n)) AS i FROM t),
+    {_stream_sql('first0', "'42|buckets'", 'i', 'first1')},
+    first2 AS (SELECT u * (SELECT max(total) FROM bs) AS place FROM first1),
+    c AS (SELECT bucket, count(*) AS draws FROM first2 ASOF JOIN bs ON place >= start GROUP BY bucket),
+    second0 AS (SELECT bucket, held, unnest(range(0, draws)) AS j FROM c JOIN b USING (bucket)),
+    {_stream_sql('second0', "'42|' || bucket", 'j', 'second1')},
+    second2 AS (SELECT bucket, u * held AS place FROM second1),
+    rs AS (SELECT *, coalesce(sum(weight) OVER (PARTITION BY bucket ORDER BY digest, entity, period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r),
+    d AS (SELECT entity, period, fatalities_best, weight, count(*) AS copies
+          FROM second2 ASOF JOIN rs ON second2.bucket = rs.bucket AND place >= start GROUP BY entity, period, fatalities_best, weight)
+    SELECT entity, period, fatalities_best, weight, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS draw FROM d""",
     doubles="fatalities_best",
 )
 def weighted_resample(spark, sf):

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelloom.functions import scalar
@@ -60,6 +61,7 @@ def complete_grid(
     activity: str | None = None,
     entity: str = "entity",
     period: str = "period",
+    outside: bool = False,
 ) -> DataFrame:
     """The rows of a panel and, for its entities, a NULL row for every other month of [start, end].
 
@@ -67,17 +69,25 @@ def complete_grid(
     those before it.  That takes one shuffle by entity and one pass, where a
     skeleton join would read the panel twice and shuffle both sides; windows by
     entity reuse the partitioning.  ``activity`` names a 0/1 column that says
-    whether the month had a row.  Keys must be unique.
+    whether the month had a row.  Keys must be unique.  With ``outside``, entities
+    all of whose rows lie before or after the range get NULL rows too: the first of these rows
+    stands for the start, without its values.
     """
     w = windows.history(entity, period)
-    inside = df.filter(F.col(period).between(start, end))
+    within = F.coalesce(F.col(period).between(start, end), F.lit(False))
+    if outside:
+        flags = {"_in": within, "_any": F.max(within).over(W.partitionBy(entity)), "_nth": F.row_number().over(w)}
+        seen = df.withColumns(flags).filter(F.col("_in") | (~F.col("_any") & (F.col("_nth") == 1)))
+        inside = seen.withColumn(period, F.when(F.col("_in"), F.col(period)).otherwise(F.lit(start)))
+    else:
+        inside = df.filter(within).withColumn("_in", F.lit(True))
     first = F.when(F.lag(period).over(w).isNull(), F.lit(start)).otherwise(F.col(period))
     following = F.add_months(scalar.period_start(F.lead(period).over(w)), -1)
     last = F.coalesce(following, scalar.period_start(F.lit(end)))
     spans = inside.withColumns({"_from": scalar.period_start(first), "_to": last})
     months = F.explode(F.sequence("_from", "_to", F.expr("interval 1 month"))).alias("_month")
     rows = spans.select("*", months).withColumn("_month", F.date_format("_month", "yyyy-MM"))
-    own = F.col("_month") == F.col(period)
+    own = (F.col("_month") == F.col(period)) & F.col("_in")
     values = [F.when(own, F.col(c)).alias(c) for c in df.columns if c not in (entity, period)]
     if activity:
         values.append(own.cast("int").alias(activity))

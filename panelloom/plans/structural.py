@@ -223,10 +223,11 @@ def assemble(
 
     The sources are merged by entity in one shuffle; the grid and every window
     after it, including the one by entity and year, reuse that partitioning.
-    Entities without a row in [start, end] are left out.
+    A source without an upper bound may bring entities all of whose rows lie outside [start, end]; they are
+    on the grid as well.
     """
     everything = [*sources.values(), *([coup_months] if coup_months is not None else [])]
-    panel = joins.complete_grid(joins.merge_panels(everything, partitions=partitions), start, end)
+    panel = joins.complete_grid(joins.merge_panels(everything, partitions=partitions), start, end, outside=True)
     if coup_months is not None:
         panel = panel.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in COUP_COLUMNS})
         panel = windows.cumulative_events(panel, "pt_coup_event", "pt_cumulative_coups")

@@ -182,3 +182,55 @@ def test_conflict_panel_shuffles_once_beyond_the_sources(spark):
     run = load_all()["conflict_lifecycle"].run
     plan = run(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 6 and "SortMergeJoin" not in plan and "FullOuter" not in plan
+
+
+def test_entities_after_the_range_stay_on_the_structural_grid(spark):
+    rows = [("USA", y, float(y % 4)) for y in range(1996, 2002)] + [("LATE", y, 1.0 * y) for y in range(2005, 2009)]
+    gdp = structural.growth(spark.createDataFrame(rows, "iso3 STRING, year INT, gdp_growth DOUBLE"), start="2000-01", end="2001-12")
+    out = structural.assemble({"gdp": gdp}, None, "2000-01", "2001-12")
+    late = out.filter("entity = 'LATE'").collect()
+    assert sorted(r["period"] for r in late) == sorted(r["period"] for r in out.filter("entity = 'USA'").collect())
+    assert len(late) == 24 and all(r["gdp_growth"] is None and r["gdp_available"] == 0 for r in late)
+    assert out.filter("entity = 'USA' AND gdp_growth IS NOT NULL").count() == 23
+
+
+def test_complete_grid_outside_rows_leave_no_values(spark):
+    from panelloom.operators import joins
+
+    df = spark.createDataFrame([("a", "2019-05", 1.0), ("a", "2020-02", 2.0), ("b", "2018-01", 3.0), ("b", "2021-01", 4.0)], "entity STRING, period STRING, v DOUBLE")
+    got = sorted(tuple(r) for r in joins.complete_grid(df, "2020-01", "2020-03", activity="seen", outside=True).collect())
+    assert got == [("a", "2020-01", None, 0), ("a", "2020-02", 2.0, 1), ("a", "2020-03", None, 0)] + [("b", f"2020-0{m}", None, 0) for m in (1, 2, 3)]
+    assert {r["entity"] for r in joins.complete_grid(df, "2020-01", "2020-03").collect()} == {"a"}
+
+
+def test_yearly_stage_resumes_and_rebuilds_what_changed(spark, tmp_path):
+    from panelloom.sources import sinks
+
+    source, path = f"{tmp_path}/in.parquet", f"{tmp_path}/stage"
+    months = [(f"{y}-{m:02d}", float(y)) for y in range(2001, 2008) for m in range(1, 13)]
+    spark.createDataFrame(months, "period STRING, v DOUBLE").write.parquet(source)
+    built = []
+
+    def build(fail_at=None):
+        def run(year):
+            if year == fail_at:
+                raise RuntimeError("killed")
+            built.append(year)
+            return spark.read.parquet(source)
+
+        return run
+
+    run = lambda fail_at=None, **kw: sinks.run_yearly_stage(spark, path, build(fail_at), "2001-03", "2007-12", {"p": 1} | kw, [source])
+    with pytest.raises(RuntimeError):
+        run(2003)
+    assert built == [2001, 2002]
+    df = run()
+    assert built == list(range(2001, 2008)) and df.count() == 7 * 12 - 2 and df.columns == ["period", "v"]
+    run()
+    assert built == list(range(2001, 2008))
+    run(p=2)  # another parameter
+    assert built[7:] == list(range(2001, 2008))
+    part = sinks.run_yearly_stage(spark, path, build(), "2003-01", "2004-06", {"p": 2}, [source])
+    assert built[14:] == [2004] and part.agg({"period": "max"}).first()[0] == "2004-06"  # 2003 is whole, 2004 asks for half
+    spark.createDataFrame(months[:1], "period STRING, v DOUBLE").write.mode("append").parquet(source)
+    assert run(p=2).count() == 7 * 12 - 2 and built[15:] == list(range(2001, 2008))  # another input

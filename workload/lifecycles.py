@@ -139,6 +139,8 @@ def structural_final(spark, sf):
         F.substring("period", 6, 2).cast("int").alias("month"), F.col("returned_quantity").alias("food_cpi"),
     )
     gdp = a.select(F.col("entity").alias("iso3"), "year", F.col("growth").alias("gdp_growth"))
+    # Entities known to one source only, and after the end of the range.
+    gdp = gdp.unionByName(gdp.select(F.concat(F.lit("LATE "), "iso3").alias("iso3"), (F.col("year") + 20).alias("year"), "gdp_growth"))
     sources = {
         "vdem": structural.governance(vdem, start=START, end=END),
         "fx": structural.exchange_rates(fx, start=START, end=END),
@@ -181,7 +183,7 @@ food1 AS (SELECT *, CASE WHEN count(l) OVER w >= 6 THEN l / avg(l) OVER w END AS
   FROM food0 WINDOW w AS (PARTITION BY entity ORDER BY period ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
 food AS (SELECT entity, period, an AS food_price_anomaly, CASE WHEN an IS NOT NULL THEN ln(greatest(an, 1e-6)) END AS food_price_anomaly_log,
   acc AS food_cpi_acceleration, CASE WHEN an > 1.15 THEN 1 ELSE 0 END AS food_price_spike FROM food1),
-sents AS (SELECT entity FROM annual UNION SELECT entity FROM rate UNION SELECT entity FROM returns UNION SELECT entity FROM coups),
+sents AS (SELECT entity FROM annual UNION SELECT 'LATE ' || entity FROM annual UNION SELECT entity FROM rate UNION SELECT entity FROM returns UNION SELECT entity FROM coups),
 sj AS (SELECT e.entity, m.period, gov.* EXCLUDE (entity, period), fx.* EXCLUDE (entity, period), gdp.* EXCLUDE (entity, period), food.* EXCLUDE (entity, period),
   {', '.join(f'coalesce(k.{c}, 0) AS {c}' for c in structural.COUP_COLUMNS)}, row_number() OVER (PARTITION BY e.entity ORDER BY m.period) AS rn
   FROM sents e CROSS JOIN months m LEFT JOIN gov ON gov.entity = e.entity AND gov.period = m.period LEFT JOIN fx ON fx.entity = e.entity AND fx.period = m.period
@@ -298,11 +300,11 @@ def merged_final(spark, sf):
     regions = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(
         F.col("n_name").alias("entity"), F.col("r_name").alias("region")
     )
+    # Read twice, as a panel and as the tone of the backfill.
+    b = base.stored(spark, returns_panel(spark, sf).select("entity", "period", "returned_value", "mean_tone"), "returns")
     tone = agg.aggregate(
-        returns_panel(spark, sf).withColumn("rate", F.col("returned_value") / 10), ["entity", "period"],
-        [agg.Measure("rate", "mean", F.col("rate"))],
-    )
-    b = returns_panel(spark, sf).select("entity", "period", "returned_value", "mean_tone")
+        b.withColumn("rate", F.col("returned_value") / 10), ["entity", "period"], [agg.Measure("rate", "mean", F.col("rate"))]
+    )
     return merged.build(
         a, b, c, regions, tone, ["index_mean", "index_vol"], ["rate"], store=lambda df: base.stored(spark, df, "merged")
     )
@@ -356,9 +358,8 @@ ready AS (SELECT entity, period, {', '.join(f'CASE WHEN {c} IS NULL THEN 0.0 ELS
 
 @query(f"WITH {MERGED_FINAL}, {AR_SQL} SELECT * FROM ready", doubles=" ".join([*_READY, "ucdp_fatalities_best"]))
 def model_ready_lifecycle(spark, sf):
-    """Merged stage, autoregressive features, preprocessing.  The stage is stored, as it is read twice."""
-    stage = sinks.run_stage(spark, fresh_path(spark, "merged"), lambda: merged_final(spark, sf))
-    history = model_ready.autoregressive(stage, spike=SPIKE_FATALITIES)
+    """Merged panel, autoregressive features, preprocessing.  The stage after the windows is stored, as it is read twice."""
+    history = model_ready.autoregressive(merged_final(spark, sf), spike=SPIKE_FATALITIES)
     stored = sinks.run_stage(spark, fresh_path(spark, "history"), lambda: history)
     done = preprocess.preprocess_panel(
         stored, conflict.TARGET, TRAIN_END, exclude=model_ready.NOT_FEATURES, already_log1p=_READY, redundant=model_ready.REDUNDANT

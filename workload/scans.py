@@ -275,10 +275,10 @@ def scan_scores(spark, sf):
 
 @query(f"WITH {PANEL} SELECT entity, period, event_count, fatalities_best FROM panel WHERE period >= '1998-01'", doubles="fatalities_best")
 def sink_stage(spark, sf):
-    """A stage written once by year; the second call reads it and prunes years."""
-    path = fresh_path(spark, "stage")
-    for _ in range(2):
-        df = sinks.run_stage(spark, path, lambda: conflict_panel(spark, sf), start="1998-01")
+    """A stage published year by year: one run reaches part of the years, the next adds the others, a last one only reads."""
+    path, inputs = fresh_path(spark, "stage"), [f"{sf}/{name}.parquet" for name in ("orders", "customer", "nation")]
+    for start, end in (("1998-01", "1999-12"), ("1998-01", END), ("1998-01", END)):
+        df = sinks.run_yearly_stage(spark, path, lambda year: conflict_panel(spark, sf), start, end, {"grid": START}, inputs)
     return df.select("entity", "period", "event_count", "fatalities_best")
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .bitmaps import split, without
+from .bitmaps import bitmap, within, without
 from .graph import components
 from .stages import Stages, read
 
@@ -144,11 +144,16 @@ def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
     return bitmap
 
 
-def array_rows(size: int, kind: str):
-    """Arrow function: id, text -> id, set size, bitmap, sorted hashes."""
+def array_rows(size: int, kind: str, members):
+    """Arrow function: id, text, hash of the id -> id, set size, bitmap, sorted hashes, where the id's bit is set.
+
+    The bit is tested here, as a second Arrow function would cost a second Python worker per task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = members.value
         for batch in batches:
+            batch = batch.filter(pa.array(within(packed, batch.column(2).to_numpy(zero_copy_only=False).view(U))))
             for lo, hi, raw, offsets in H.slices(batch.column(1)):
                 sets, counts = H.sorted_sets(*H.shingles(*H.words(raw, offsets, kind), size))
                 ends = np.cumsum(counts)
@@ -345,10 +350,10 @@ def jaccard_components(
 
     # Whole sets of the documents in such tiles.
     stages.drop("keys")
-    playing, _ = split(rows, "id", members.select("id"))
+    playing = spark.sparkContext.broadcast(bitmap(members.select(F.xxhash64("id").alias("hash"))))
     arrays = stages.put(
-        playing.mapInArrow(
-            array_rows(size, kind), f"id {id_type}, n bigint, bitmap binary, hashes array<bigint>"
+        rows.withColumn("hash", F.xxhash64("id")).mapInArrow(
+            array_rows(size, kind, playing), f"id {id_type}, n bigint, bitmap binary, hashes array<bigint>"
         ),
         "arrays",
     )

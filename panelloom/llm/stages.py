@@ -8,11 +8,13 @@ from panelloom.session import fresh_path
 
 
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows are whole texts, so Arrow batches hold few of them; a Python worker and its executor keep several."""
+    """Rows are whole texts or their hashes, so Arrow batches hold few of them; a Python worker and its executor keep several."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Stages:

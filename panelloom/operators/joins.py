@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelloom.functions import scalar
-from panelloom.operators import windows
+from panelloom.operators import monthsets, windows
 
 
 def skeleton(
@@ -264,22 +264,13 @@ def key_overlap(panels: Mapping[str, DataFrame], entity: str = "entity", period:
     """(metric, n): shared entities of each pair and of all, entities only in one
     panel, and duplicate keys per panel.
 
-    Each panel is reduced to its keys first; one pass per panel.
+    Keys meet as bits, 64 months in a word; duplicates are rows beyond the bits.
     """
     names = list(panels)
-    key_counts = reduce(
-        DataFrame.unionByName,
-        (
-            panels[n].groupBy(entity, period).agg(F.count(F.lit(1)).alias("copies")).withColumn("panel", F.lit(n))
-            for n in names
-        ),
-    )
-    per_entity = key_counts.groupBy(entity).agg(
-        *[F.bool_or(F.col("panel") == n).alias(f"in_{n}") for n in names],
-        *[
-            F.sum(F.when(F.col("panel") == n, F.col("copies") - 1).otherwise(0)).alias(f"dup_{n}")
-            for n in names
-        ],
+    words = monthsets.words(panels, entity, period)
+    per_entity = words.groupBy(entity).agg(
+        *[F.bool_or(F.col(f"n_{n}") > 0).alias(f"in_{n}") for n in names],
+        *[F.sum(F.col(f"n_{n}") - F.bit_count(n)).alias(f"dup_{n}") for n in names],
     )
     metrics = {}
     for i, a in enumerate(names):
@@ -328,12 +319,8 @@ def merge_validation(
     row = merged.agg(*[v.cast("double").alias(k) for k, v in aggs.items()])
     row = row.withColumn("max_rows", F.col("entities") * F.col("periods"))
     long = row.unpivot([], row.columns, "metric", "value")
-    counts = [
-        p.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(f"rows_{n}").alias("metric"), "value")
-        for n, p in panels.items()
-    ]
-    union = reduce(DataFrame.union, (p.select(*keys) for p in panels.values())).distinct()
-    counts.append(
-        union.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("union_keys").alias("metric"), "value")
-    )
-    return reduce(DataFrame.unionByName, counts, long)
+    # Keys meet as bits; one pass over all panels counts their rows and the union.
+    union = reduce(lambda a, b: a.bitwiseOR(b), [F.col(n) for n in panels])
+    sums = {f"rows_{n}": F.sum(f"n_{n}") for n in panels} | {"union_keys": F.sum(F.bit_count(union))}
+    sizes = monthsets.words(panels, entity, period).agg(*[F.coalesce(v, F.lit(0)).cast("double").alias(k) for k, v in sums.items()])
+    return long.unionByName(sizes.unpivot([], sizes.columns, "metric", "value"))

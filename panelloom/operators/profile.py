@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelloom.functions import moments, scalar
-from panelloom.operators import joins, quantiles, windows
+from panelloom.operators import monthsets, quantiles, windows
 
 MISSING_LIMIT_PCT = 40.0
 
@@ -66,19 +66,21 @@ def top_missing(df: DataFrame, columns: Sequence[str], k: int = 20) -> DataFrame
 def presence(
     df: DataFrame, value: str, start: str, end: str, entity: str = "entity", period: str = "period"
 ) -> DataFrame:
-    """(entity, period, present) over the full month range, 1 where a value is known."""
-    counted = df.groupBy(entity, period).agg(F.count(value).alias("_n"))
-    full = joins.complete_grid(counted, start, end, entity=entity, period=period)
-    return full.select(entity, period, scalar.flag(F.col("_n") > 0).alias("present"))
+    """(entity, period, present) over the full month range, 1 where a value is known, for entities with a row in it."""
+    rows, _, has = monthsets.range_words(df, F.col(value).isNotNull(), start, end, entity, period)
+    months = F.sequence(F.lit(monthsets.number_of(start)), F.lit(monthsets.number_of(end)))
+    spread = rows.select("*", F.explode(months).alias("_month"))
+    return spread.select(entity, monthsets.month_text(F.col("_month")).alias(period), has(F.col("_month")).cast("int").alias("present"))
 
 
 def missing_by_entity(
     df: DataFrame, value: str, start: str, end: str, k: int | None = 10, entity: str = "entity", period: str = "period"
 ) -> DataFrame:
     """(entity, missing_pct) of entities with gaps, the k worst (all for None)."""
-    share = presence(df, value, start, end, entity, period).groupBy(entity).agg(
-        ((1 - F.avg("present")) * 100).alias("missing_pct")
-    )
+    rows, names, _ = monthsets.range_words(df, F.col(value).isNotNull(), start, end, entity, period)
+    months = monthsets.number_of(end) - monthsets.number_of(start) + 1
+    known = sum((F.bit_count(n) for n in names), F.lit(0))
+    share = rows.select(entity, ((1 - known / F.lit(months)) * 100).alias("missing_pct"))
     gaps = share.filter(F.col("missing_pct") > 0)
     return gaps if k is None else gaps.orderBy(F.desc("missing_pct"), entity).limit(k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom.operators import aggregates as agg
-from panelloom.operators import keys, registry, sets
+from panelloom.operators import keys, registry, monthsets, sets
 from panelloom.operators.aggregates import Measure
 from workload import base
 from workload.base import (
@@ -231,7 +231,7 @@ def benchmark_means(spark, sf):
 
 @query(f"WITH {CAGG}, {RETURNS} SELECT entity, period FROM cagg UNION SELECT entity, period FROM returns")
 def union_distinct_keys(spark, sf):
-    return sets.distinct_union([conflict_agg(spark, sf), returns_panel(spark, sf)], ["entity", "period"])
+    return monthsets.union_keys([conflict_agg(spark, sf), returns_panel(spark, sf)])
 
 
 @query(
@@ -240,11 +240,7 @@ def union_distinct_keys(spark, sf):
     UNION ALL SELECT 'only_b', * FROM (FROM b EXCEPT FROM a)"""
 )
 def intersect_except_keys(spark, sf):
-    a, b = conflict_agg(spark, sf), returns_panel(spark, sf)
-    k = ["entity", "period"]
-    parts = [("both", sets.shared(a, b, k)), ("only_a", sets.only_in(a, b, k)), ("only_b", sets.only_in(b, a, k))]
-    tagged = [df.select(F.lit(name).alias("side"), *k) for name, df in parts]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return monthsets.compared_keys(conflict_agg(spark, sf), returns_panel(spark, sf))
 
 
 @query(

@@ -9,11 +9,16 @@ gaps must count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelloom.functions import scalar
 
@@ -190,18 +195,91 @@ def target_lags(df: DataFrame, target: str, entity: str = "entity", period: str
     return df.withColumns({**lags, "target_diff1": lags["target_lag1"] - lags["target_lag2"]})
 
 
+# Wider frames are walked once instead of being rebuilt for every row.
+WIDE = 48
+
+
 def rolling_target_stats(
-    df: DataFrame, target: str, widths: Sequence[int] = (3, 6, 12), entity: str = "entity", period: str = "period"
+    df: DataFrame, target: str, widths: Sequence[int] = (3, 6, 12), entity: str = "entity", period: str = "period", wide: int = WIDE
 ) -> DataFrame:
-    """Mean, median, std and max of the ``w`` rows before the current one."""
+    """Mean, median, std and max of the ``w`` rows before the current one.
+
+    Frames of at most ``wide`` rows share the window of the operators around them; a window rebuilds each frame,
+    so wider ones, as of daily series, go through ``rolling_walk``.
+    """
     out: dict[str, Column] = {}
-    for width in widths:
+    for width in [w for w in widths if w <= wide]:
         w = frame(-width, -1, entity, period)
         out[f"target_roll{width}_mean"] = F.avg(target).over(w)
         out[f"target_roll{width}_median"] = F.percentile(F.col(target), 0.5).over(w)
         out[f"target_roll{width}_std"] = F.stddev_samp(target).over(w)
         out[f"target_roll{width}_max"] = F.max(target).over(w)
-    return df.withColumns(out)
+    rows = df.withColumns(out) if out else df
+    wider = [w for w in widths if w > wide]
+    return rolling_walk(rows, target, wider, entity, period) if wider else rows
+
+
+STATS = ("mean", "median", "std", "max")
+
+
+CELLS = 1 << 20
+
+
+def moments_before(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample deviation of the known ones among the ``width`` values before each; NaN where undefined."""
+    padded = np.concatenate([np.full(width, np.nan), values])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(values)]
+    mean, std = np.full(len(values), np.nan), np.full(len(values), np.nan)
+    step = max(1, CELLS // width)
+    for lo in range(0, len(values), step):
+        part = frames[lo : lo + step]
+        known = ~np.isnan(part)
+        n = known.sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            middle = np.where(known, part, 0.0).sum(axis=1) / n
+            apart = np.where(known, part - middle[:, None], 0.0)
+            spread = np.sqrt((apart * apart).sum(axis=1) / (n - 1))
+        mean[lo : lo + step] = middle
+        std[lo : lo + step] = np.where(n > 1, spread, np.nan)
+    return mean, std
+
+
+def rolling_walk(df: DataFrame, target: str, widths: Sequence[int], entity: str = "entity", period: str = "period") -> DataFrame:
+    """The columns of ``rolling_target_stats`` for any widths, in one pass over the sorted rows.
+
+    All widths share the walk.  From row to row a value enters and one leaves an order statistic, so a median costs the
+    logarithm of the width.  Means and deviations are summed anew for each row, many rows at once: running sums would keep
+    the rounding errors of large values that have left.  A task holds one batch and the last ``max(widths)`` values
+    of the current entity, however long its history.
+    """
+    names = [f"target_roll{w}_{s}" for w in widths for s in STATS]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    at, where, reach = df.columns.index(entity), df.columns.index(target), max(widths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, owner = np.zeros(0), None
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            ids = batch.column(at)
+            values = batch.column(where).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            new = pc.not_equal(ids.slice(1), ids.slice(0, m - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+            new |= ids.slice(1).is_null().to_numpy(zero_copy_only=False) != ids.slice(0, m - 1).is_null().to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            out = np.full((len(names), m), np.nan)
+            for a, b in zip(starts, [*starts[1:], m]):
+                head = before if a == 0 and owner is not None and ids[0].as_py() == owner[0] else np.zeros(0)
+                series = pd.Series(np.concatenate([head, values[a:b]]))
+                for i, width in enumerate(widths):
+                    rolled = series.rolling(width, min_periods=1, closed="left")
+                    found = *moments_before(series.to_numpy(), width), rolled.median().to_numpy(), rolled.max().to_numpy()
+                    for stat, column in zip(("mean", "std", "median", "max"), found):
+                        out[i * len(STATS) + STATS.index(stat), a:b] = column[len(head) :]
+                before, owner = series.to_numpy()[-reach:], (ids[b - 1].as_py(),)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, mask=np.isnan(c)) for c in out]], names=schema.names)
+
+    return df.repartition(entity).sortWithinPartitions(entity, period).mapInArrow(run, schema)
 
 
 def rolling_target_zscores(df: DataFrame, widths: Sequence[int] = (3, 6, 12)) -> DataFrame:

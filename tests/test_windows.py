@@ -100,3 +100,47 @@ def test_sliding_windows(spark):
 def test_pct_change_by_zero_is_null(spark):
     df = series(spark, [0, 2, 3])
     assert column(df.withColumn("c", w.pct_change("x")), "c") == [None, None, 0.5]
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_rolling_walk_equals_the_windows(spark, batch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(e, f"{d:05d}", rng.choice([None, float(rng.randrange(5)), rng.random() * 1e6])) for e in ["a", "b", None, "c"] for d in range(rng.randrange(1, 90))]
+    df = spark.createDataFrame(rows, "entity STRING, period STRING, y DOUBLE").withColumn("n", F.lit(1))
+    widths = (1, 5, 60)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        walked = w.rolling_target_stats(df, "y", widths, wide=0)
+        got = {(r["entity"], r["period"]): r.asDict() for r in walked.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = w.rolling_target_stats(df, "y", widths, wide=1000).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in want:
+        mine = got[r["entity"], r["period"]]
+        for c, v in r.asDict().items():
+            assert mine[c] == (v if v is None or isinstance(v, (str, int)) else pytest.approx(v, rel=1e-9, abs=1e-6)), (c, r)
+
+
+def test_wide_frames_cost_little_more_than_narrow_ones(spark):
+    """A daily series of one entity: thirty times the width is far from thirty times the time."""
+    import time
+
+    df = spark.range(60_000, numPartitions=1).select(F.lit("a").alias("entity"), F.format_string("%08d", "id").alias("period"), (F.xxhash64("id") % 1000).cast("double").alias("y"))
+
+    def seconds(width):
+        run = lambda: w.rolling_walk(df, "y", [width]).write.format("noop").mode("overwrite").save()
+        run()
+        start = time.perf_counter()
+        run()
+        return time.perf_counter() - start
+
+    assert seconds(365) < 4 * seconds(12) + 1
+
+
+def test_rolling_walk_of_no_rows(spark):
+    df = spark.createDataFrame([], "entity STRING, period STRING, y DOUBLE")
+    assert w.rolling_walk(df, "y", [50]).count() == 0

@@ -306,6 +306,55 @@ def periods_since_spike(
     return periods_since(lagged, F.col("_lag1") > threshold, name, entity, period).drop("_lag1")
 
 
+def _windows(
+    df: DataFrame, features: Sequence[str], y: Column, size: int, entity: str, period: str, short: bool, keep: Column | None = None
+) -> DataFrame:
+    """(entity, period, x, y): for each row the ``size`` rows of its entity before it as a list of feature structs, oldest first.
+
+    Rows with fewer predecessors give none, or with ``short`` a list padded in front with zeros; ``keep`` selects rows.
+    Sorted rows stream through with the last ``size`` of the current entity carried along, and lists are index
+    ranges taken from flat columns, a bounded number at a time: a task holds a batch and its carry, however long a history is.
+    """
+    cells = F.struct(*features)
+    rows = df.select(entity, period, y.alias("y"), cells.alias("_cell"), (F.lit(True) if keep is None else keep).alias("_keep"))
+    kind = rows.schema["_cell"].dataType
+    schema = T.StructType([rows.schema[entity], rows.schema[period], T.StructField("x", T.ArrayType(kind)), rows.schema["y"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None  # the last rows of the current entity
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            head = carry.num_rows if carry is not None else 0
+            joint = batch if not head else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            n = joint.num_rows
+            ids = joint.column(0)
+            new = np.ones(n, dtype=bool)
+            new[1:] = pc.not_equal(ids.slice(1), ids.slice(0, n - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+            new[1:] |= ids.slice(1).is_null().to_numpy(zero_copy_only=False) != ids.slice(0, n - 1).is_null().to_numpy(zero_copy_only=False)
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            past = np.arange(n) - start
+            wanted = joint.column(4).fill_null(False).to_numpy(zero_copy_only=False) & (np.arange(n) >= head)
+            at = np.flatnonzero(wanted if short else wanted & (past >= size))
+            flat, none = joint.column(3), None
+            if short:  # a row of zeros after the last one stands for what is missing
+                none = n
+                zero = pa.StructArray.from_arrays([pa.array([0], flat.type.field(i).type) for i in range(flat.type.num_fields)], fields=list(flat.type))
+                flat = pa.concat_arrays([flat, zero])
+            for lo in range(0, len(at), max(1, CELLS // (8 * size))):
+                some = at[lo : lo + max(1, CELLS // (8 * size))]
+                index = some[:, None] + np.arange(-size, 0)
+                if none is not None:
+                    index = np.where(index >= start[some][:, None], index, none)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * size), flat.take(pa.array(index.ravel())))
+                taken = pa.array(some)
+                yield pa.RecordBatch.from_arrays([ids.take(taken), joint.column(1).take(taken), lists, joint.column(2).take(taken)], names=[entity, period, "x", "y"])
+            carry = joint.slice(max(int(start[-1]), n - size))
+
+    return rows.repartition(entity).sortWithinPartitions(entity, period).mapInArrow(run, schema)
+
+
 def sliding_windows(
     df: DataFrame,
     features: Sequence[str],
@@ -320,12 +369,8 @@ def sliding_windows(
     Rows with fewer predecessors or a NULL target give none.  Feature rows are
     structs, so NULL cells keep their place.
     """
-    w = frame(-size, -1, entity, period)
     y = F.expm1(target) if target_is_log else F.col(target)
-    windows = df.select(
-        entity, period, F.collect_list(F.struct(*features)).over(w).alias("x"), y.alias("y")
-    )
-    return windows.filter((F.size("x") == size) & F.col("y").isNotNull())
+    return _windows(df, features, y, size, entity, period, False, y.isNotNull())
 
 
 def sliding_windows_padded(
@@ -345,17 +390,9 @@ def sliding_windows_padded(
     ``size``; a window needs a row after that, so such a series gives none
     unless ``emit_short`` asks for padded windows of every row.
     """
-    w = frame(-size, -1, entity, period)
-    y = F.expm1(F.coalesce(F.col(target), F.lit(0.0)))
-    rows = df.select(
-        entity, period, F.collect_list(F.struct(*features)).over(w).alias("_x"), y.alias("y")
-    )
-    zero = F.struct(*[F.lit(0).cast(df.schema[f].dataType).alias(f) for f in features])
-    padded = F.concat(F.array_repeat(zero, F.lit(size) - F.size("_x")), F.col("_x"))
-    if not emit_short:
-        rows = rows.filter(F.size("_x") == size)
+    keep = F.lit(True)
     if start:
-        rows = rows.filter(F.col(period) >= start)
+        keep = keep & (F.col(period) >= start)
     if end:
-        rows = rows.filter(F.col(period) <= end)
-    return rows.select(entity, period, padded.alias("x"), "y")
+        keep = keep & (F.col(period) <= end)
+    return _windows(df, features, F.expm1(F.coalesce(F.col(target), F.lit(0.0))), size, entity, period, emit_short, keep)

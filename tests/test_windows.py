@@ -144,3 +144,32 @@ def test_wide_frames_cost_little_more_than_narrow_ones(spark):
 def test_rolling_walk_of_no_rows(spark):
     df = spark.createDataFrame([], "entity STRING, period STRING, y DOUBLE")
     assert w.rolling_walk(df, "y", [50]).count() == 0
+
+
+@pytest.mark.parametrize("batch", ["10000", "3"])
+@pytest.mark.parametrize("short", [False, True])
+def test_sliding_windows_equal_slices(spark, batch, short):
+    import random
+
+    rng = random.Random(6)
+    rows = [(e, f"{d:03d}", rng.choice([None, 1.5, 2.5]), rng.randrange(9), rng.choice([None, 0.0, 1.0])) for e in ["a", "b", None, "c"] for d in range(rng.randrange(1, 25))]
+    df = spark.createDataFrame(rows, "entity STRING, period STRING, f DOUBLE, g INT, y DOUBLE")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        plain = w.sliding_windows(df, ["f", "g"], "y", 4).collect()
+        padded = w.sliding_windows_padded(df, ["f", "g"], "y", 4, start="002", end="015", emit_short=short).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want, want_padded = {}, {}
+    for e in ["a", "b", None, "c"]:
+        own = [x[1:] for x in rows if x[0] == e]
+        for i, (period, _, _, y) in enumerate(own):
+            x = [(f, g) for _, f, g, _ in own[max(0, i - 4) : i]]
+            if i >= 4 and y is not None:
+                want[e, period] = (x, math.expm1(y))
+            if "002" <= period <= "015" and (i >= 4 or short):
+                want_padded[e, period] = ([(0.0, 0)] * (4 - len(x)) + x, math.expm1(y or 0.0))
+    for got, expected in ((plain, want), (padded, want_padded)):
+        mine = {(r["entity"], r["period"]): ([tuple(c) for c in r["x"]], r["y"]) for r in got}
+        assert len(got) == len(mine) and mine == expected

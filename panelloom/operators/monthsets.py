@@ -2,8 +2,8 @@
 
 Words are built by ``bit_or``, which combines on the map side, so an exchange carries at most one word per task, entity and 64
 months, whatever the number of rows or copies of a key; set operations are bit operations on
-words side by side.  Periods are 'yyyy-MM'; other text is an error.  A NULL period is a key like any other and has a
-word of its own; a NULL entity is an entity.
+words side by side.  Periods are 'yyyy-MM'; NULL and any other text are keys like the others, each with a word of
+its own, so reports on faulty panels stay right; a NULL entity is an entity.
 """
 
 from __future__ import annotations
@@ -18,12 +18,9 @@ WORD = 64
 
 
 def month_number(period: Column) -> Column:
-    """Months since year 0; NULL for NULL."""
+    """Months since year 0; NULL for what is no month."""
     year, month = F.substring(period, 1, 4).try_cast("int"), F.substring(period, 6, 2).try_cast("int")
-    valid = period.rlike(r"^\d{4}-(0[1-9]|1[0-2])$")
-    number = F.when(valid, year * 12 + month - 1)
-    fault = F.raise_error(F.concat(F.lit("not a month: "), period)).cast("int")
-    return F.when(period.isNotNull(), F.when(valid, number).otherwise(fault))
+    return F.when(period.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), year * 12 + month - 1)
 
 
 def number_of(period: str) -> int:
@@ -40,14 +37,19 @@ def bit_of(number: Column) -> Column:
 
 
 def words(panels: Mapping[str, DataFrame], entity: str = "entity", period: str = "period") -> DataFrame:
-    """(entity, word, <name>..., n_<name>...): each panel's months, as bits, and its rows, in one exchange for all panels."""
+    """(entity, word, other, <name>..., n_<name>...): each panel's months, as bits, and its rows, in one exchange for all panels.
+
+    ``other`` is the text of a period that is no month.
+    """
     parts = []
     for place, df in enumerate(panels.values()):
-        number = month_number(F.col(period))
-        parts.append(df.select(F.col(entity).alias(entity), F.floor(number / WORD).cast("int").alias("word"), bit_of(number).alias("_bit"), F.lit(place).alias("_from")))
+        text = F.col(period).cast("string")
+        number = month_number(text)
+        word = F.floor(number / WORD).cast("int").alias("word")
+        parts.append(df.select(F.col(entity).alias(entity), word, F.when(number.isNull(), text).alias("other"), bit_of(number).alias("_bit"), F.lit(place).alias("_from")))
     stacked = reduce(DataFrame.union, parts)
     mine = [F.col("_from") == i for i in range(len(parts))]
-    return stacked.groupBy(entity, "word").agg(
+    return stacked.groupBy(entity, "word", "other").agg(
         *[F.coalesce(F.bit_or(F.when(m, F.col("_bit"))), F.lit(0).cast("long")).alias(n) for m, n in zip(mine, panels)],
         *[F.count_if(m).alias(f"n_{n}") for m, n in zip(mine, panels)],
     )
@@ -55,10 +57,14 @@ def words(panels: Mapping[str, DataFrame], entity: str = "entity", period: str =
 
 def keys_of(bits: DataFrame, column: Column, entity: str = "entity", period: str = "period") -> DataFrame:
     """(entity, period) of the bits set in an expression over words."""
-    held = bits.select(entity, "word", column.alias("_bits")).where(F.col("_bits") != 0)
+    held = bits.select(entity, "word", "other", column.alias("_bits")).where(F.col("_bits") != 0)
     places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.bit_get("_bits", i) == 1)
-    # A word without number holds the NULL period.
-    return held.select(entity, "word", F.explode(places).alias("_i")).select(entity, month_text(F.col("word") * WORD + F.col("_i")).alias(period))
+    # A word without number holds one other text or the NULL period.
+    return held.select(entity, "word", "other", F.explode(places).alias("_i")).select(entity, _period().alias(period))
+
+
+def _period() -> Column:
+    return F.coalesce("other", month_text(F.col("word") * WORD + F.col("_i")))
 
 
 def union_keys(panels: Sequence[DataFrame], entity: str = "entity", period: str = "period") -> DataFrame:
@@ -71,10 +77,10 @@ def compared_keys(a: DataFrame, b: DataFrame, entity: str = "entity", period: st
     """(side, entity, period): keys in both panels, only in the first, only in the second; all from one pass."""
     bits = words({"a": a, "b": b}, entity, period)
     sides = {"both": F.col("a").bitwiseAND(F.col("b")), "only_a": F.col("a").bitwiseAND(F.bitwise_not("b")), "only_b": F.col("b").bitwiseAND(F.bitwise_not("a"))}
-    sided = bits.select(entity, "word", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), v.alias("_bits")) for s, v in sides.items()])).alias("_s"))
-    sided = sided.select("_s.side", entity, "word", "_s._bits").where(F.col("_bits") != 0)
+    sided = bits.select(entity, "word", "other", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), v.alias("_bits")) for s, v in sides.items()])).alias("_s"))
+    sided = sided.select("_s.side", entity, "word", "other", "_s._bits").where(F.col("_bits") != 0)
     places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.bit_get("_bits", i) == 1)
-    return sided.select("side", entity, "word", F.explode(places).alias("_i")).select("side", entity, month_text(F.col("word") * WORD + F.col("_i")).alias(period))
+    return sided.select("side", entity, "word", "other", F.explode(places).alias("_i")).select("side", entity, _period().alias(period))
 
 
 def range_words(

@@ -1,21 +1,23 @@
 """N-gram Jaccard join: size-banded tiles, bitmap bounds, exact intersections.
 
-A document's set is its distinct word shingles.  Two sets x, y with
-Jaccard >= p/100 have sizes within that ratio, so they lie in the same or in
-adjacent *bands* (band b holds sizes around (100/p)**b), and their symmetric
-difference is at most (|x|+|y|) * (100-p)/(100+p).  Cut the space of shingle hashes into more
-slices than that number: the two sets agree entirely on at least one
-slice (on one that is not empty: see ``slice_counts``).  A *tile* is (band, slice, content of the slice): documents of the band
-and visitors from the band below that agree there.  Every linked pair meets in a
-tile, and a tile holds little else, because a slice of ten or so scattered
-shingles only agrees when nearly the whole texts do; a common passage alone
-brings nobody together.
+A document's set is its distinct word shingles.  A set that links at p/100 or more lacks at most
+d = (100-p) % of its shingles in its partner.  Take the shingles whose hash lies in a fixed
+*region* of hash space, some 2 (100-p) % of them: if a set has r there, r-d or more of
+these are shared.  Put the region's shingles in one order for all sets, rare ones first: the first shared one is among the
+first d+1 of both sets.  A shingle that no other set has brings nobody together, so a
+set with more than d of those in its region has no partner and leaves, and what is left of the d+1 are its tile keys: a common passage is
+at the end of the order and is no key of a text that has words of its own.  A set with d or fewer
+shingles in the region enters all its shingles once more, as a region of its own that such
+sets share.  No linked pair is lost.
+
+A *tile* is (shingle, size band): sets of the band (band b holds sizes around (100/p)**b) and visitors from the
+band below, as linked sets lie in the same or in adjacent bands.
 
 Within tiles a parity bitmap of the shingles bounds the symmetric
 difference from below by its bit count, so the overlap from above; what passes
 is decided by intersecting the sorted arrays.
 
-Skew: identical sets are one representative before anything is paired.  A large
+Skew: identical sets are one node before anything is paired.  A large
 tile of near copies is first joined as a star around its smallest member; while
 verified stars leave a large tile in different components, further stars around
 other members follow, each member compared once a turn.  So a group of k copies costs a few
@@ -25,12 +27,14 @@ to pairs of bounded blocks, which verify for themselves and emit no more links t
 their components.  No link is lost: a pair of a tile is either connected already or
 compared.  In a large tile whose members do not link, that work grows with the square of its size, spread over tasks.
 
+Nodes are texts, not ids, so links through rows that share an id or have none count like any other.
+
 Edge cases: null, empty and blank texts have an empty set and link with nothing (their component
 is their own id); texts with fewer words than a shingle have their whole word
-sequence as the only one; repeated rows come back once per row; rows with a null id
-get a null component unless a copy has an id; an empty table gives an empty
-result.  Only the two named columns are read.  An id stands for one text: rows that share an id
-belong to one component.
+sequence as the only one; repeated rows come back once per row; rows with a null id link as others do and
+get the smallest id of their component, null if it has none; an empty table gives an empty
+result.  Only the two named columns are read.  An id stands for one document: rows that share an id
+belong to one component, also if their texts do not link.
 """
 
 from __future__ import annotations
@@ -39,11 +43,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .bitmaps import bitmap, within, without
+from .bitmaps import bitmap, split, within, without
 from .graph import components
 from .stages import Stages, read
 
@@ -62,70 +66,60 @@ def band_edges(percent: int, up_to: int = 1 << 40) -> np.ndarray:
     return np.floor(ratio ** np.arange(1, n + 1)).astype(np.int64)
 
 
-def slice_counts(edges: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slices of each band, and how many of them a set may have empty without using those as tiles.
-
-    Two linked sets differ in at most ``most`` slices, so with ``most + 1 + spare`` slices they
-    agree on ``spare + 1`` or more.  A set with at most ``spare`` empty slices
-    agrees with every partner on one that is not empty.  ``spare`` is a few standard deviations above
-    the expected number, so hardly any set needs its empty slices, which many sets share.
-    """
-    most = 2 * edges * (100 - percent) // (100 + percent)
-    smallest = np.maximum(edges * percent // 100 * percent // 100, 1)  # of the visitors from the band below
-    expected = (most + 1) * np.exp(-smallest / (most + 1.0))
-    spare = np.where(most > 0, np.ceil(expected + 4 * np.sqrt(expected)), 0).astype(np.int64)
-    return most + 1 + spare, spare
+def region(percent: int) -> int:
+    """End of the region of hash space from which tile keys come."""
+    return min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100 + (1 << 58))
 
 
 def set_rows(size: int, percent: int, kind: str):
-    """Arrow function: id, text -> id, set size, digest, tile keys."""
+    """Arrow function: columns, text -> columns, set size, band, shingles in the region, digest, sorted hashes."""
     edges = band_edges(percent)
-    parts, spare = slice_counts(edges, percent)
-
-    def keys_of(sets, counts, band, owner):
-        n_parts = np.where(counts > 0, parts[band], 0)
-        piece = ((sets >> U(32)) * n_parts.astype(U)[owner] >> U(32)).astype(np.int64)
-        first = np.cumsum(n_parts) - n_parts
-        per_piece = np.bincount(first[owner] + piece, minlength=int(n_parts.sum()))
-        content = H.sums_by_segment(H.mix(sets ^ U(0xA5A5A5A5A5A5A5A5)), per_piece)
-        place = np.arange(len(content)) - np.repeat(first, n_parts)
-        label = np.repeat(band, n_parts).astype(U) * U(1 << 40) + place.astype(U)
-        keys = H.mix(content + H.mix(label * U(H.BASE)))
-        text = np.repeat(np.arange(len(n_parts)), n_parts)
-        empty = per_piece == 0
-        many = np.bincount(text[empty], minlength=len(n_parts)) > spare[band]
-        kept = ~empty | many[text]
-        return keys[kept], np.bincount(text[kept], minlength=len(n_parts))
+    end = U(region(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, raw, offsets in H.slices(batch.column(1)):
+            names = batch.schema.names[:-1]
+            for lo, hi, raw, offsets in H.slices(batch.column(batch.num_columns - 1)):
                 sets, counts = H.sorted_sets(*H.shingles(*H.words(raw, offsets, kind), size))
                 owner = np.repeat(np.arange(len(counts)), counts)
-                band = np.searchsorted(edges, counts)
-                home, n_home = keys_of(sets, counts, band, owner)
-                visit, n_visit = keys_of(sets, counts, band + 1, owner)
-                # Both key lists of a text side by side.
-                order = np.argsort(
-                    np.concatenate([np.repeat(np.arange(len(counts)), n_home), np.repeat(np.arange(len(counts)), n_visit)]), kind="stable"
-                )
-                keys = np.concatenate([home, visit])[order]
                 digest = [H.sums_by_segment(H.mix(sets * U(k)), counts) for k in (3, 5)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, hi - lo),
+                        *(batch.column(i).slice(lo, hi - lo) for i in range(len(names))),
                         pa.array(counts),
+                        pa.array(np.searchsorted(edges, counts).astype(np.int32)),
+                        pa.array(np.bincount(owner[sets < end], minlength=len(counts)).astype(np.int32)),
                         pa.array(H.signed(digest[0])),
                         pa.array(H.signed(digest[1])),
-                        H.list_array(H.signed(keys), n_home + n_visit, pa.int64()),
+                        H.list_array(H.signed(sets), counts, pa.int64()),
                     ],
-                    names=["id", "n", "d1", "d2", "keys"],
+                    names=[*names, "n", "band", "near", "d1", "d2", "hashes"],
                 )
 
     return run
 
 
+def tile_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id): the tiles of each set, from id, n, band, near and the sorted hashes."""
+    lost = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
+    few = F.col("near") <= lost  # such sets enter all their shingles, as negated hashes
+    inside = F.slice("hashes", 1, F.col("near"))
+    listed = F.when(few, F.concat(inside, F.transform("hashes", F.bitwise_not))).otherwise(inside)
+    # One number for all that a row needs later: how many keys stay beyond the repeated ones, the band, which region.
+    spare = lost + 1 - F.when(F.col("pos") < F.col("near"), F.col("near")).otherwise(F.col("n")).cast("int")
+    note = spare.cast("bigint") * 65536 + F.col("band") * 2 + (F.col("pos") >= F.col("near")).cast("int")
+    spread = sets.select("id", "n", "band", "near", F.posexplode(listed).alias("pos", "key")).select("key", "id", note.alias("note"))
+    often = spread.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1")
+    ordered = often.groupBy("id", "note").agg(F.array_sort(F.collect_list(F.struct("many", "key"))).alias("found"))
+    stay = F.size("found") + F.shiftright("note", 16)
+    first = ordered.where(stay > 0).select("id", "note", F.slice("found", 1, F.least(stay, F.size("found")).cast("int")).alias("found"))
+    band = F.shiftright(F.col("note"), 1).bitwiseAND(32767)
+    keys = first.select("id", band.alias("band"), F.explode("found.key").alias("key"))
+    return keys.select("id", "key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).select(
+        F.xxhash64("key", "band").alias("key"), "id"
+    )
+
+
 def bitmap_bits(n: np.ndarray) -> np.ndarray:
     """Bits of a set's bitmap: a power of two not below its size, 64 at least."""
     return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
@@ -144,8 +138,8 @@ def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
     return bitmap
 
 
-def array_rows(size: int, kind: str, members):
-    """Arrow function: id, text, hash of the id -> id, set size, bitmap, sorted hashes, where the id's bit is set.
+def array_rows(members):
+    """Arrow function: id, set size, sorted hashes, hash of the id -> id, set size, bitmap, hashes, where the id's bit is set.
 
     The bit is tested here, as a second Arrow function would cost a second Python worker per task.
     """
@@ -153,21 +147,14 @@ def array_rows(size: int, kind: str, members):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = members.value
         for batch in batches:
-            batch = batch.filter(pa.array(within(packed, batch.column(2).to_numpy(zero_copy_only=False).view(U))))
-            for lo, hi, raw, offsets in H.slices(batch.column(1)):
-                sets, counts = H.sorted_sets(*H.shingles(*H.words(raw, offsets, kind), size))
-                ends = np.cumsum(counts)
-                bits = bitmap_bits(counts)
-                maps = [parity_bitmap(sets[e - c : e], int(b)).tobytes() for e, c, b in zip(ends, counts, bits)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(counts),
-                        pa.array(maps, pa.binary()),
-                        H.list_array(H.signed(sets), counts, pa.int64()),
-                    ],
-                    names=["id", "n", "bitmap", "hashes"],
-                )
+            batch = batch.filter(pa.array(within(packed, batch.column(3).to_numpy(zero_copy_only=False).view(U))))
+            counts, lists = batch.column(1).to_numpy(), batch.column(2)
+            sets, ends = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
+            bits = bitmap_bits(counts)
+            maps = [parity_bitmap(sets[a:b], int(width)).tobytes() for a, b, width in zip(ends[:-1], ends[1:], bits)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(maps, pa.binary()), lists], names=["id", "n", "bitmap", "hashes"]
+            )
 
     return run
 
@@ -324,44 +311,45 @@ def exact_links(percent: int):
     return run
 
 
-def jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, kind: str = "blank"
-) -> DataFrame:
-    """Per row: the id, n_shingles and component_id (smallest id reachable by links).
+def linked_texts(rows: DataFrame, stages: Stages, size: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (columns of ``rows`` without its last, the text) with n and node, null without words; and (node, component) of linked nodes.
 
-    Links: 100 * |intersection| >= percent * |union| of the sets of ``size``-word shingles.
+    A node is a text's set, named by the row number of one of its rows; a component is its smallest node.
     """
-    spark = df.sparkSession
-    stages = Stages(spark, "jaccard")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-
-    keyed = stages.put(
-        rows.mapInArrow(set_rows(size, percent, kind), f"id {id_type}, n bigint, d1 bigint, d2 bigint, keys array<bigint>"), "keys"
+    spark = rows.sparkSession
+    kept = rows.columns[:-1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    sets = stages.put(
+        rows.mapInArrow(
+            set_rows(size, percent, kind), f"{schema}, n bigint, band int, near int, d1 bigint, d2 bigint, hashes array<bigint>"
+        ).withColumn("row", F.monotonically_increasing_id()),
+        "sets",
+    )
+    some = sets.where("n > 0")
+    digests = some.groupBy("d1", "d2", "n").agg(F.min("row").alias("node"))
+    named = stages.put(
+        sets.select(*kept, "row", "n", "d1", "d2").join(digests, ["d1", "d2", "n"], "left").select(*kept, "row", "n", "node"), "rows"
     )
-    sets = stages.put(keyed.drop("keys"), "sets")
-    digests = stages.put(sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "digests")
 
-    # Tiles of two or more representatives.
-    copies = sets.where("n > 0").select("id", "d1", "d2", "n").join(digests, ["d1", "d2", "n"]).where("id <> rep").select("id").distinct()
-    reps = without(keyed.where("n > 0 AND id IS NOT NULL").select("id", "keys"), "id", copies)
-    tiles = reps.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
-    members = stages.put(tiles.mapInArrow(tile_members, f"key bigint, id {id_type}, head {id_type}"), "members")
+    # Tiles of two or more nodes.
+    nodes = without(some.select("row", "n", "band", "near", "hashes"), "row", named.where("row <> node").select("row"))
+    tiles = tile_keys(nodes.withColumnRenamed("row", "id"), percent).repartition("key").sortWithinPartitions("key", "id")
+    members = stages.put(tiles.mapInArrow(tile_members, "key bigint, id bigint, head bigint"), "members")
 
     # Whole sets of the documents in such tiles.
-    stages.drop("keys")
     playing = spark.sparkContext.broadcast(bitmap(members.select(F.xxhash64("id").alias("hash"))))
     arrays = stages.put(
-        rows.withColumn("hash", F.xxhash64("id")).mapInArrow(
-            array_rows(size, kind, playing), f"id {id_type}, n bigint, bitmap binary, hashes array<bigint>"
+        some.select(F.col("row").alias("id"), "n", "hashes", F.xxhash64("row").alias("hash")).mapInArrow(
+            array_rows(playing), "id bigint, n bigint, bitmap binary, hashes array<bigint>"
         ),
         "arrays",
     )
+    stages.drop("sets")
     one, two = (arrays.select(F.col("id").alias(c), F.col("hashes").alias(f"h_{c}")) for c in "ab")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         full = pairs.join(one, "a").join(two, "b").select("a", "b", "h_a", "h_b")
-        return stages.put(full.mapInArrow(exact_links(percent), f"a {id_type}, b {id_type}"), name)
+        return stages.put(full.mapInArrow(exact_links(percent), "a bigint, b bigint"), name)
 
     def placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of the tiles that hold several components, with theirs and the tile's size."""
@@ -399,22 +387,42 @@ def jaccard_components(
         apart.select("key", "id", "component", "n", "bitmap")
         .repartition("key")
         .sortWithinPartitions("key", "id")
-        .mapInArrow(bound_pairs(percent), f"a {id_type}, b {id_type}")
+        .mapInArrow(bound_pairs(percent), "a bigint, b bigint")
         .distinct()
     )
     links = links.unionByName(verified(pairs, "links-pairs"))
     large = mixed.where(F.col("size") > SMALL)
     if not large.isEmpty():
         blocks = dealt(large, arrays).groupBy("key", "one", "two")
-        links = links.unionByName(stages.put(blocks.applyInArrow(block_links(percent), f"a {id_type}, b {id_type}"), "links-blocks"))
+        links = links.unionByName(stages.put(blocks.applyInArrow(block_links(percent), "a bigint, b bigint"), "links-blocks"))
     final = stages.put(components(links, stages, "second"), "components")
     stages.drop("members", "arrays", "links-pairs", "links-blocks", *[f"{x}-{t}" for x in ("links", "mixed") for t in range(1, TURNS + 1)])
+    return named, final
+
 
-    named = digests.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "d1", "d2", "n", F.coalesce("component", "rep").alias("component")
+def jaccard_components(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, kind: str = "blank"
+) -> DataFrame:
+    """Per row: the id, n_shingles and component_id (smallest id reachable by links).
+
+    Links: 100 * |intersection| >= percent * |union| of the sets of ``size``-word shingles.
+    """
+    stages = Stages(df.sparkSession, "jaccard")
+    rows, found = linked_texts(
+        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), stages, size, percent, kind
     )
-    out = sets.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # Rows with one id are one document: their nodes belong together.  Rows without words have their own node here.
+    rows = rows.withColumn("node", F.coalesce("node", "row"))
+    several = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
+    several = stages.put(several.select("id", "b"), "several")
+    if not several.isEmpty():
+        same = rows.join(several, "id").select(F.col("node").alias("a"), "b")
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same)
+        found = stages.put(components(links, stages, "third"), "joined")
+    placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = placed.groupBy("component").agg(F.min("id").alias("name"))
+    out = placed.join(names, "component")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -437,16 +445,36 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.node) AS component_id
 FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
 
 
+ROW_KEY = "key of the row"
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of id and text, null as a value: what names a row where ids are shared or missing."""
+    ident = F.coalesce(F.concat(F.lit("1"), F.col(id_col).cast("string")), F.lit("0"))
+    text = F.coalesce(F.concat(F.lit("1"), F.col(text_col)), F.lit("0"))
+    return F.md5(F.concat(F.length(ident).cast("string"), F.lit(":"), ident, text))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest id, all columns.
+    """The documents without near copies: of each group of linked texts the row with the smallest id, all columns.
 
-    Rows without an id stay; of rows with one id a single one stays.
+    Rows without an id come last in that order, so they stay only where no row with an id is linked to them.  Rows that
+    share an id but not the text are different documents; of rows equal in id and text one stays.  Rows without words stay.
     """
-    found = jaccard_components(docs, id_col, text_col, size, percent, "alnum")
-    copies = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = without(docs, id_col, copies)
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    several = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(several.select(docs.columns))
+    stages = Stages(docs.sparkSession, "near-copies")
+    keyed = docs.withColumn(ROW_KEY, row_key(id_col, text_col))
+    rows, found = linked_texts(
+        keyed.select(F.col(id_col).alias("id"), F.col(ROW_KEY).alias("key"), F.col(text_col).alias("text")), stages, size, percent, "alnum"
+    )
+    placed = rows.where("node IS NOT NULL").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.select("component", F.struct(F.col("id").isNull().alias("last"), "id", "key").alias("rank"))
+    first = placed.groupBy("component").agg(F.min("rank").alias("first"))
+    ranked = stages.put(placed.join(first, "component").select(F.col("rank.key").alias(ROW_KEY), (F.col("rank.key") != F.col("first.key")).alias("out")), "ranked")
+    left = without(keyed, ROW_KEY, ranked.where("out").select(ROW_KEY).distinct())
+    # Rows equal in id and text that were not dropped: a single one of them stays.
+    equal = stages.put(ranked.where("NOT out").groupBy(ROW_KEY).count().where("count > 1").select(ROW_KEY), "equal")
+    if equal.isEmpty():
+        return left.select(docs.columns)
+    maybe, never = split(left, ROW_KEY, equal)
+    once = maybe.join(equal, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY])
+    return never.unionByName(maybe.join(equal, ROW_KEY, "left_anti")).unionByName(once).select(docs.columns)

@@ -194,10 +194,42 @@ def test_tiles_dealt_to_blocks_lose_no_link(spark, monkeypatch, turns, percent):
     assert {r.doc_id: r.component_id for r in out} == components_of(sets, links)
 
 
-def test_empty_slices_are_rare_and_never_needed():
-    edges = jaccard_join.band_edges(90)
-    parts, spare = jaccard_join.slice_counts(edges, 90)
-    assert (parts > 2 * edges * 10 // 190).all() and (spare[edges > 10] >= 1).all()
+def test_shared_and_missing_ids_lose_no_link(spark):
+    one, two = invented(1, 200), invented(2, 200)
+    rows = [(5, one), (1, one), (5, two), (6, two + " aa bb")]
+    # 10 and 11 link only through the row without an id.
+    base = invented(3, 200).split()
+    steps = [" ".join(f"q{i}" if i < k else w for i, w in enumerate(base)) for k in (0, 9, 16)]
+    rows += [(10, steps[0]), (None, steps[1]), (11, steps[2]), (20, invented(4, 50)), (None, invented(5, 50)), (20, "")]
+    out = jaccard_join.jaccard_components(docs_frame(spark, rows)).collect()
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in out)
+    want = [(-1, 48, -1), (-1, 198, 10), (1, 198, 1), (5, 198, 1), (5, 198, 1), (6, 200, 1), (10, 198, 10), (11, 198, 10), (20, 0, 20), (20, 48, 20)]
+    assert got == want
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_common_passages_bring_no_texts_into_tiles(spark, percent):
+    passage = invented(7, 100)
+    rows = [(i, f"{invented(100 + i, 120)} {passage} {invented(900 + i, 80)}") for i in range(60)]
+    rows += [(100, rows[0][1] + " yy"), (101, passage), (102, passage + " zz")]
+    sets = docs_frame(spark, rows).select("doc_id", "text").mapInArrow(
+        jaccard_join.set_rows(3, percent, "blank"),
+        "id bigint, n bigint, band int, near int, d1 bigint, d2 bigint, hashes array<bigint>",
+    )
+    tiles = [tuple(r) for r in jaccard_join.tile_keys(sets.select("id", "n", "band", "near", "hashes"), percent).collect()]
+    assert {i for _, i in tiles} == {0, 100, 101, 102}
+    together = {k for k, i in tiles if i == 0} & {k for k, i in tiles if i == 100}
+    assert together and len(tiles) < 2 * sum((100 - percent) * n // 100 + 1 for n in (299, 300, 98, 99))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 97])
+def test_short_texts_link_whatever_the_region(spark, percent):
+    rng = random.Random(percent)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14)))) for i in range(150)]
+    sets = {i: word_set(t, 2) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    out = jaccard_join.jaccard_components(docs_frame(spark, rows), size=2, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in out} == components_of(sets, links)
 
 
 def test_one_of_each_keeps_a_single_copy(spark):
@@ -207,7 +239,16 @@ def test_one_of_each_keeps_a_single_copy(spark):
     sets = {i: word_set(t, 5) for i, t in rows if i is not None}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert sorted(i for i in ids if i is not None) == sorted(set(components_of(sets, links).values()))
-    assert ids.count(None) == 2 and kept.columns == docs_frame(spark, rows).columns
+    # Rows without an id are documents like others: one of two copies stays.
+    assert ids.count(None) == 1 and kept.columns == docs_frame(spark, rows).columns
+
+
+def test_one_of_each_names_rows_by_id_and_text(spark):
+    one, two = invented(1, 100), invented(2, 100)
+    rows = [(1, one), (1, two), (None, one + " aa"), (3, two + " bb"), (None, invented(3, 80)), (4, ""), (4, None), (5, two), (1, two)]
+    kept = jaccard_join.one_of_each(docs_frame(spark, rows)).collect()
+    want = [(1, one), (1, two), (None, invented(3, 80)), (4, ""), (4, None)]
+    assert sorted(((r.doc_id or -1, r.text or "") for r in kept)) == sorted((i or -1, t or "") for i, t in want)
 
 
 # --- 5: decontamination -------------------------------------------------------------

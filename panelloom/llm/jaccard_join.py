@@ -355,8 +355,16 @@ def linked_texts(rows: DataFrame, stages: Stages, size: int, percent: int, kind:
         """Members of the tiles that hold several components, with theirs and the tile's size."""
         known = rows.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
         known = known.select("key", "id", F.coalesce("component", "id").alias("component"))
-        tiles = known.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        return known.join(tiles.where("lo < hi").select("key", "size"), "key")
+        tiles = known.groupBy("key").agg(
+            F.count("*").alias("size"),
+            F.min("component").alias("lo"),
+            F.max("component").alias("hi"),
+            F.bit_xor(F.xxhash64("id")).alias("mark"),
+            F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("mark2"),
+        )
+        # Near copies share many keys: of tiles with the same members one is enough.
+        tiles = tiles.where("lo < hi").groupBy("size", "lo", "hi", "mark", "mark2").agg(F.min("key").alias("key"))
+        return known.join(tiles.select("key", "size"), "key")
 
     # First the stars, then what they leave apart.
     stars = members.where("id <> head").groupBy("id").agg(F.min("head").alias("b")).select(F.col("id").alias("a"), "b")

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .bitmaps import bitmap, split, within, without
+from .bitmaps import ROW_KEY, bitmap, row_key, split, within, without
 from .graph import components
 from .stages import Stages, read
 
@@ -453,16 +453,6 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.node) AS component_id
 FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
 
 
-ROW_KEY = "key of the row"
-
-
-def row_key(id_col: str, text_col: str) -> Column:
-    """128 bits of id and text, null as a value: what names a row where ids are shared or missing."""
-    ident = F.coalesce(F.concat(F.lit("1"), F.col(id_col).cast("string")), F.lit("0"))
-    text = F.coalesce(F.concat(F.lit("1"), F.col(text_col)), F.lit("0"))
-    return F.md5(F.concat(F.length(ident).cast("string"), F.lit(":"), ident, text))
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each group of linked texts the row with the smallest id, all columns.
 

@@ -276,7 +276,7 @@ def test_leaks_equal_brute_force(spark):
     for d, t in rows:
         for i, q in items:
             s = clean(q)
-            if i is not None and s and 100 * len(s & clean(t)) >= 80 * len(s):
+            if s and 100 * len(s & clean(t)) >= 80 * len(s):
                 want.add((d, i, len(s & clean(t)), len(s)))
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("hash", F.lit(0))
     got = decontamination.leaks(docs_frame(spark, rows), bench).collect()
@@ -287,6 +287,18 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.leaks(docs_frame(spark, rows).limit(0), bench).count() == 0
 
 
+def test_leaks_of_rows_with_shared_or_missing_ids(spark):
+    item, other, clean = invented(1, 30), invented(2, 30), invented(3, 90)
+    rows = [(None, clean + " " + item), (None, clean), (None, item), (None, item), (1, clean), (1, other + " end"), (2, clean), (None, None)]
+    bench = spark.createDataFrame([(7, item), (7, other), (None, other), (None, None)], "item_id bigint, text string")
+    got = sorted((r.doc_id or -1, r.item_id or -1, r.n_shared, r.n_item) for r in decontamination.leaks(docs_frame(spark, rows), bench).collect())
+    n, m = len(word_set(item, 5)), len(word_set(other, 5))
+    assert got == sorted([(-1, 7, n, n), (-1, 7, n, n), (1, 7, m, m), (1, -1, m, m)])
+    left = decontamination.without_leaks(docs_frame(spark, rows), bench)
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([(-1, clean), (1, clean), (2, clean), (-1, "")])
+    assert left.columns == docs_frame(spark, rows).columns
+
+
 # --- 8: embeddings ---------------------------------------------------------------------
 
 

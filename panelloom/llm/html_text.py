@@ -15,7 +15,8 @@ styles or reader comments, which are told by their element, role, class or id.
 A class or id counts where it names the element: as a whole word of it or as its last part, before words
 such as -list or -box.  Names of layouts (has-sidebar, right-sidebar) and ids of headings, or of
 sections of an article, do not count.  Whether an element so told is dropped is decided
-at the end of the page (``dropped``): not if it wraps the article or most of the text.
+at the end of the page (``dropped``), whatever its size: it stays only if it wraps the article, or if the page has no
+prose without it.
 
 Each page is worked on for itself, so the job is one pass without a shuffle.
 
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,9 +44,11 @@ from .stages import read
 
 SIGMA = 1.0  # of the Gaussian, in lines
 SHARE = 0.5  # a region must hold this share of the text above the threshold
+PROSE = 20  # characters outside links a tag: a line of sentences, not a date, a name or a label
 
-BLOCKS = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer "
+OTHER = "article of others"  # on the stack, an article that is not the page's own
+BLOCKS = {OTHER} | frozenset(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
     "text tfoot th thead title tr ul".split()
 )
@@ -58,12 +62,16 @@ ARTICLES = frozenset(("article", "main"))
 WHOLE = ARTICLES | {"html", "body"}  # never told as no content
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog".split())
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+ADVERTS = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr")  # no wrapper of content has these names
 COMMENTS = re.compile(r"comments?|commentlist|disqus|replies|respond")
 MARKS = re.compile(
-    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|"
+    rf"{ADVERTS.pattern}|banner|notice|alert|popup|modal|overlay|newsletter|subscri\w+|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|masthead|toolbar|pagination|pager|share|sharing|social|related|"
     rf"recommend\w*|login|signup|widget|skip|copyright|legal|{COMMENTS.pattern}"
 )
+# Articles that are not the page's own.
+OTHERS = re.compile(rf"{ADVERTS.pattern}|related|recommend\w*|{COMMENTS.pattern}")
 LAYOUT = frozenset("has with without no left right".split())  # begin the name of a layout, not of what it lays out
 # End the name of an element whose kind stands before them.
 HOLDERS = frozenset("area bar block body box button buttons container form icons inner item items link links list posts section thread".split())
@@ -77,7 +85,7 @@ def named(value: str) -> str:
         parts = [x for x in PARTS.split(name) if x]
         if not parts or parts[0] in LAYOUT:
             continue
-        while len(parts) > 1 and parts[-1] in HOLDERS:
+        while len(parts) > 1 and (parts[-1] in HOLDERS or parts[-1].isdigit()):
             parts.pop()
         if MARKS.fullmatch(parts[-1]):
             return parts[-1]
@@ -89,7 +97,7 @@ class Mark:
 
     def __init__(self, parent: int, kind: str, inside: bool):
         self.parent = parent  # the mark around it, or -1
-        self.kind = kind  # "name" (also forms), "element" or "comments"
+        self.kind = kind  # "name" (also forms), "element", "advert" or "comments"
         self.inside = inside  # in an article or main
         self.article = self.main = False  # whether it holds one
 
@@ -100,6 +108,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int, int]] = []  # element, region, 1 if it is hidden, mark
+        self.open: Counter[str] = Counter()  # elements on the stack
         self.region = 0
         self.off = 0
         self.mark = -1
@@ -134,6 +143,7 @@ class Lines(HTMLParser):
         """Close the elements from this place of the stack on."""
         for name, region, off, mark in reversed(self.stack[at:]):
             self.off -= off
+            self.open[name] -= 1
             self.anchors -= name == "a"
             self.articles -= name in ARTICLES
             self.titles -= name == "h1"
@@ -153,26 +163,33 @@ class Lines(HTMLParser):
                     at -= 1
                 if at and self.stack[at - 1][0] == "p":
                     self.leave(at - 1)
+        if tag == "br":
+            self.handle_data("\n")
         if tag in VOID:
             return
         off = tag in HIDDEN
-        self.stack.append((tag, self.region, int(off), self.mark))
-        if tag not in WHOLE and not off and (kind := self.kind(tag, attrs)):
+        kind = "" if off or tag in WHOLE and tag != "article" else self.kind(tag, attrs)
+        own = not kind and tag in ARTICLES
+        # An article that is not the page's own is a region like others.
+        name = "div" if tag in ARTICLES and not own else tag
+        self.stack.append((name if name == tag else OTHER, self.region, int(off), self.mark))
+        self.open[self.stack[-1][0]] += 1
+        if kind:
             self.marks.append(Mark(self.mark, kind, self.articles > 0))
             self.mark = len(self.marks) - 1
         self.off += off
         self.anchors += tag == "a"
         self.titles += tag == "h1"
-        if tag in ARTICLES:
+        if own:
             self.articles += 1
             at = -1 if self.off else self.mark
-            while at >= 0:
+            while at >= 0 and not (self.marks[at].article and (self.marks[at].main or tag != "main")):
                 self.marks[at].article = True
                 self.marks[at].main |= tag == "main"
                 at = self.marks[at].parent
         if tag in REGIONS:
             self.parents.append(self.region)
-            self.elements.append(tag)
+            self.elements.append(name)
             self.region = len(self.parents) - 1
 
     def kind(self, tag: str, attrs: list) -> str:
@@ -180,20 +197,28 @@ class Lines(HTMLParser):
         if tag in ASIDE:
             return "name" if tag == "form" else "element"
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value and value.lower() in ROLES:
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and UNSEEN.search(value):
+                return "element"
+            if name == "role" and tag != "article" and value and value.lower() in ROLES:
                 return "element"
         for name, value in attrs:
             if name == "class" or name == "id" and tag not in HEADINGS and not (tag == "section" and self.articles):
                 if value and (mark := named(value)):
-                    return "comments" if COMMENTS.fullmatch(mark) else "name"
+                    if COMMENTS.fullmatch(mark):
+                        return "comments"
+                    if tag == "article":
+                        return "name" if OTHERS.fullmatch(mark) else ""
+                    return "advert" if ADVERTS.fullmatch(mark) else "name"
         return ""
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+        if not self.open[tag] and not (tag == "article" and self.open[OTHER]):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
+            if self.stack[at][0] == tag or tag == "article" and self.stack[at][0] == OTHER:
                 self.leave(at)
                 return
             if tag not in BLOCKS and self.stack[at][0] in BLOCKS:
@@ -249,9 +274,10 @@ def dropped(page: Lines) -> list[bool]:
     """Whether each mark's text goes.
 
     It stays if the mark holds the main element; if it holds an article and no article shows
-    without it, or most of the text above the threshold, unless an article elsewhere is the
-    content.  Menus, headers, footers, sidebars and the like stay only around a main, or around the article with most of
-    that text; comments only around a main.
+    without it; or if it holds most of the text above the threshold of a page (a mark in an article: of an article)
+    that has no prose outside all marks.  How long it is does not matter as long as there is other prose.  Adverts stay
+    only around an article, menus, headers, footers, sidebars and the like only around the one with most of
+    that text, comments only around a main.
     """
     marks = page.marks
     if not marks:
@@ -262,16 +288,13 @@ def dropped(page: Lines) -> list[bool]:
             own[i] |= m.parent >= 0 and own[m.parent]
         return own
 
-    gone = chained([not (m.main or m.kind == "name" or m.kind == "element" and m.article) for m in marks])
+    gone = chained([not (m.main or m.kind == "name" or m.article and m.kind in ("element", "advert")) for m in marks])
     lines = page.lines(gone)
     if not lines:
         return gone
     held, total, weights = [0.0] * len(marks), 0.0, iter(strong(lines))
-    shown = False
-    inner = [False] * len(page.parents)
-    for r, element in enumerate(page.elements):
-        inner[r] = element in ARTICLES or r > 0 and inner[page.parents[r]]
-    for parts, _, region, _ in page.raw:
+    inner = in_articles(page)
+    for parts, _, _, _ in page.raw:
         kept = [(len(text.strip()), mark) for text, mark, _ in parts if mark < 0 or not gone[mark]]
         size = sum(n for n, _ in kept)
         if not size:
@@ -281,23 +304,33 @@ def dropped(page: Lines) -> list[bool]:
         for n, mark in kept:
             if mark >= 0:
                 held[mark] += weight * n
-            elif n and inner[region]:
-                shown = True
     for i in range(len(marks) - 1, -1, -1):
         if marks[i].parent >= 0:
             held[marks[i].parent] += held[i]
+    rest = page.lines([True] * len(marks))
+    shown = any(inner[region] for _, _, _, region, _ in rest)
+    prose = [region for text, tags, linked, region, title in rest if not title and len(text) - linked >= PROSE * max(tags, 1)]
+    left = {True: any(inner[r] for r in prose), False: shown or bool(prose)}
 
     def stays(m: Mark, share: float) -> bool:
         if m.main:
             return True
-        most = share > SHARE * total and (not shown or m.inside or m.article)
-        if m.kind == "name":
-            return most or m.article and not shown
-        return m.kind == "element" and m.article and most
+        if m.kind in ("name", "advert") and m.article and not shown:
+            return True
+        most = share > SHARE * total and not left[m.inside]
+        return most and (m.kind == "name" or m.kind == "element" and m.article)
 
     return chained([not stays(m, share) for m, share in zip(marks, held)])
 
 
+def in_articles(page: Lines) -> list[bool]:
+    """Whether each region is, or lies in, an article or main; regions are numbered from the outside in."""
+    inner = [False] * len(page.parents)
+    for r, element in enumerate(page.elements):
+        inner[r] = element in ARTICLES or r > 0 and inner[page.parents[r]]
+    return inner
+
+
 def held_by_region(page: Lines, lines: list[tuple[str, int, int, int, bool]], weights: np.ndarray) -> np.ndarray:
     """Text above the threshold in each region and all it contains."""
     held = np.zeros(len(page.parents))
@@ -313,35 +346,29 @@ def content(page: Lines) -> str:
     if not lines:
         return ""
     held = held_by_region(page, lines, strong(lines))
-    wanted = [r for r, e in enumerate(page.elements) if e in ARTICLES]
-    outer = [r for r in wanted if not any(up in wanted for up in ancestors(page.parents, r))]
+    inner = in_articles(page)
+    outer = [r for r, e in enumerate(page.elements) if e in ARTICLES and not inner[page.parents[r]]]
     around: set[int] = set()
-    if not wanted or held[outer].sum() < SHARE * held[0] or held[0] == 0:
-        # The smallest region that holds all of it, walking down from the page; regions are numbered from the outside in.
+    if not outer or held[outer].sum() < SHARE * held[0] or held[0] == 0:
+        # The smallest region that holds all of it, walking down from the page.
         held = held_by_region(page, lines, strong(lines, alone=True))
         chosen = 0
         for r in range(1, len(page.parents)):
             if page.parents[r] == chosen and held[r] == held[0] > 0:
                 chosen = r
         outer = [chosen]
-        around = set(ancestors(page.parents, chosen))
-    kept = set(outer)
+        while (chosen := page.parents[chosen]) >= 0:
+            around.add(chosen)
+    kept = [False] * len(page.parents)
+    for r in outer:
+        kept[r] = True
+    for r in range(1, len(kept)):
+        kept[r] |= kept[page.parents[r]]
     return "\n".join(
-        text
-        for text, _, linked, region, title in lines
-        if region in kept
-        or any(up in kept for up in ancestors(page.parents, region))
-        or title and region in around and linked < len(text)
+        text for text, _, linked, region, title in lines if kept[region] or title and region in around and linked < len(text)
     )
 
 
-def ancestors(parents: list[int], region: int) -> Iterator[int]:
-    region = parents[region]
-    while region >= 0:
-        yield region
-        region = parents[region]
-
-
 def main_text(html: str | None) -> str:
     if not html:
         return ""

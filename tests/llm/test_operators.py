@@ -474,6 +474,37 @@ def test_names_of_layouts_and_of_article_parts_drop_nothing():
     assert [x for x in lines if "sentence" not in x] == ["A", "S", "Older work.", "Law.", "C", "Area is a*b", "axis", "label"]
 
 
+def test_long_adverts_sidebars_and_comments_go_at_any_size():
+    body, links = paragraphs("main", 3), "<div><a href=x>l</a> <a href=y>m</a></div>"
+    for n in (1, 3, 40):
+        other = paragraphs("gone", n)
+        for name in ("class='sponsored'", "class='sidebar'", "class='ad'", "id='comment-12'", "style='color:red; display: none'", "class='cookie-notice'"):
+            for page in (f"<body>{links}<div>{body}</div><div {name}>{other}</div>", f"<div {name}>{other}</div><div><h1>T</h1>{body}</div>", f"<article>{body}</article><div {name}>{other}</div>"):
+                text = html_text.main_text(page)
+                assert (text.count("main"), text.count("gone")) == (3, 0), (name, n, page[:80])
+        for name in ("comment", "related", "sponsored", "related-posts"):
+            text = html_text.main_text(f"<article><h1>T</h1>{body}</article><article class='{name}'>{other}</article>")
+            assert (text.count("main"), text.count("gone")) == (3, 0), (name, n)
+    # The only prose of a page stays, also beside dates and names.
+    text = html_text.main_text(f"<body><h1>Title</h1><div>3 May, by Ann</div><div class='widget'>{body}</div>{links}</body>")
+    assert text.count("main") == 3
+
+
+def test_breaks_and_buttons_do_not_end_a_block():
+    assert html_text.main_text("<article><p>one<br>two <button>push</button>three<br/> four</p><p>five</p></article>") == "one two three four\nfive"
+
+
+def test_deep_and_many_elements_take_linear_time():
+    import time
+
+    n = 40_000
+    start = time.monotonic()
+    assert html_text.main_text("<div>" * n + "<p>Deep text of the page.</p>" + "</section>" * n).endswith("page.")
+    assert html_text.main_text("<div class='widget'>" * 2000 + "<article><p>a b</p></article>" * 2000).count("a b") == 2000
+    assert html_text.main_text("<article><p>Text of one article.</p></article>" * n).count("\n") == n - 1
+    assert time.monotonic() - start < 30
+
+
 def test_what_is_named_still_goes():
     body = paragraphs("main", 5)
     for gone in ("class='ad'", "class='cookie-notice'", "id='sidebar'", "class='x related-posts'", "class='ad_container'", "id='comments'", "class='comment-list'", "role='navigation'"):

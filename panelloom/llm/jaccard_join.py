@@ -17,10 +17,13 @@ Within tiles a parity bitmap of the shingles bounds the symmetric
 difference from below by its bit count, so the overlap from above; what passes
 is decided by intersecting the sorted arrays.
 
+Only the hashes tile keys come from are stored of every text; whole sets are made again, from the
+texts, of those in tiles, so the input is read twice and must be the same both times.
+
 Skew: identical sets are one node before anything is paired.  A large
 tile of near copies is first joined as a star around its smallest member; while
 verified stars leave a large tile in different components, further stars around
-other members follow, each member compared once a turn.  So a group of k copies costs a few
+other members follow, each member compared once a turn, in one of its tiles, until two turns in a row join next to nothing.  So a group of k copies costs a few
 times k comparisons, also if the member first chosen links with none.  What is still
 apart is compared pair by pair: a small tile emits pairs, a bounded number; a large one is dealt
 to pairs of bounded blocks, which verify for themselves and emit no more links than join
@@ -71,8 +74,16 @@ def region(percent: int) -> int:
     return min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100 + (1 << 58))
 
 
+def digests(sets: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set's hashes, which name it."""
+    return [H.sums_by_segment(H.mix(sets * U(k)), counts) for k in (3, 5)]
+
+
 def set_rows(size: int, percent: int, kind: str):
-    """Arrow function: columns, text -> columns, set size, band, shingles in the region, digest, sorted hashes."""
+    """Arrow function: columns, text -> columns, set size, band, shingles in the region, digest, the sorted hashes tile keys come from.
+
+    Those are the region's, the first of the sorted ones; all of them where a set has few there.
+    """
     edges = band_edges(percent)
     end = U(region(percent))
 
@@ -82,16 +93,19 @@ def set_rows(size: int, percent: int, kind: str):
             for lo, hi, raw, offsets in H.slices(batch.column(batch.num_columns - 1)):
                 sets, counts = H.sorted_sets(*H.shingles(*H.words(raw, offsets, kind), size))
                 owner = np.repeat(np.arange(len(counts)), counts)
-                digest = [H.sums_by_segment(H.mix(sets * U(k)), counts) for k in (3, 5)]
+                near = np.bincount(owner[sets < end], minlength=len(counts)).astype(np.int32)
+                listed = np.where(near <= counts * (100 - percent) // 100, counts, near)
+                place = np.arange(len(sets)) - (np.cumsum(counts) - counts)[owner]
+                digest = digests(sets, counts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).slice(lo, hi - lo) for i in range(len(names))),
                         pa.array(counts),
                         pa.array(np.searchsorted(edges, counts).astype(np.int32)),
-                        pa.array(np.bincount(owner[sets < end], minlength=len(counts)).astype(np.int32)),
+                        pa.array(near),
                         pa.array(H.signed(digest[0])),
                         pa.array(H.signed(digest[1])),
-                        H.list_array(H.signed(sets), counts, pa.int64()),
+                        H.list_array(H.signed(sets[place < listed[owner]]), listed, pa.int64()),
                     ],
                     names=[*names, "n", "band", "near", "d1", "d2", "hashes"],
                 )
@@ -100,7 +114,7 @@ def set_rows(size: int, percent: int, kind: str):
 
 
 def tile_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id): the tiles of each set, from id, n, band, near and the sorted hashes."""
+    """(key, id): the tiles of each set, from id, n, band, near and the sorted hashes as ``set_rows`` gives them."""
     lost = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
     few = F.col("near") <= lost  # such sets enter all their shingles, as negated hashes
     inside = F.slice("hashes", 1, F.col("near"))
@@ -138,23 +152,31 @@ def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
     return bitmap
 
 
-def array_rows(members):
-    """Arrow function: id, set size, sorted hashes, hash of the id -> id, set size, bitmap, hashes, where the id's bit is set.
+def array_rows(members, size: int, kind: str):
+    """Arrow function: mark, text -> mark, digest, set size, bitmap, sorted hashes, of the rows whose mark's bit is set.
 
-    The bit is tested here, as a second Arrow function would cost a second Python worker per task.
+    The bit is tested first, so sets are only made again of texts that are in tiles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = members.value
         for batch in batches:
-            batch = batch.filter(pa.array(within(packed, batch.column(3).to_numpy(zero_copy_only=False).view(U))))
-            counts, lists = batch.column(1).to_numpy(), batch.column(2)
-            sets, ends = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
-            bits = bitmap_bits(counts)
-            maps = [parity_bitmap(sets[a:b], int(width)).tobytes() for a, b, width in zip(ends[:-1], ends[1:], bits)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(maps, pa.binary()), lists], names=["id", "n", "bitmap", "hashes"]
-            )
+            batch = batch.filter(pa.array(within(packed, batch.column(0).to_numpy(zero_copy_only=False).view(U))))
+            for lo, hi, raw, offsets in H.slices(batch.column(1)):
+                sets, counts = H.sorted_sets(*H.shingles(*H.words(raw, offsets, kind), size))
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                bits = bitmap_bits(counts)
+                maps = [parity_bitmap(sets[a:b], int(width)).tobytes() for a, b, width in zip(ends[:-1], ends[1:], bits)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        *(pa.array(H.signed(d)) for d in digests(sets, counts)),
+                        pa.array(counts),
+                        pa.array(maps, pa.binary()),
+                        H.list_array(H.signed(sets), counts, pa.int64()),
+                    ],
+                    names=["mark", "d1", "d2", "n", "bitmap", "hashes"],
+                )
 
     return run
 
@@ -317,10 +339,12 @@ def linked_texts(rows: DataFrame, stages: Stages, size: int, percent: int, kind:
     A node is a text's set, named by the row number of one of its rows; a component is its smallest node.
     """
     spark = rows.sparkSession
-    kept = rows.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kept, text = rows.columns[:-1], rows.columns[-1]
+    # The texts are read twice, and rows found again by their mark: whole sets of all would be twice the input on disk.
+    marked = rows.select(*kept, F.xxhash64(*rows.columns).alias("mark"), text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-1])
     sets = stages.put(
-        rows.mapInArrow(
+        marked.mapInArrow(
             set_rows(size, percent, kind), f"{schema}, n bigint, band int, near int, d1 bigint, d2 bigint, hashes array<bigint>"
         ).withColumn("row", F.monotonically_increasing_id()),
         "sets",
@@ -337,17 +361,25 @@ def linked_texts(rows: DataFrame, stages: Stages, size: int, percent: int, kind:
     members = stages.put(tiles.mapInArrow(tile_members, "key bigint, id bigint, head bigint"), "members")
 
     # Whole sets of the documents in such tiles.
-    playing = spark.sparkContext.broadcast(bitmap(members.select(F.xxhash64("id").alias("hash"))))
-    arrays = stages.put(
-        some.select(F.col("row").alias("id"), "n", "hashes", F.xxhash64("row").alias("hash")).mapInArrow(
-            array_rows(playing), "id bigint, n bigint, bitmap binary, hashes array<bigint>"
-        ),
-        "arrays",
-    )
+    ids = members.select("id").distinct()
+    playing = stages.put(some.select(F.col("row").alias("id"), "mark", "d1", "d2", "n").join(ids, "id"), "playing")
     stages.drop("sets")
-    one, two = (arrays.select(F.col("id").alias(c), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    packed = spark.sparkContext.broadcast(bitmap(playing.select(F.col("mark").alias("hash"))))
+    again = marked.select("mark", text).mapInArrow(
+        array_rows(packed, size, kind), "mark bigint, d1 bigint, d2 bigint, n bigint, bitmap binary, hashes array<bigint>"
+    )
+    same = ["mark", "d1", "d2", "n"]
+    once = again.groupBy(same).agg(F.first("bitmap").alias("bitmap"), F.first("hashes").alias("hashes"))
+    arrays = stages.put(once.join(playing, same).select("id", "n", "bitmap", "hashes"), "arrays")
+    if arrays.count() != playing.count():
+        raise ValueError("the texts changed between two reads of the input; store it first")
+
+    def among(columns: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+        """Few rows besides those whose key is wanted, so that the join shuffles few arrays."""
+        return split(columns, key, wanted.select(key))[0]
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        one, two = (among(arrays.select(F.col("id").alias(c), F.col("hashes").alias(f"h_{c}")), c, pairs) for c in "ab")
         full = pairs.join(one, "a").join(two, "b").select("a", "b", "h_a", "h_b")
         return stages.put(full.mapInArrow(exact_links(percent), "a bigint, b bigint"), name)
 
@@ -368,29 +400,30 @@ def linked_texts(rows: DataFrame, stages: Stages, size: int, percent: int, kind:
 
     # First the stars, then what they leave apart.
     stars = members.where("id <> head").groupBy("id").agg(F.min("head").alias("b")).select(F.col("id").alias("a"), "b")
-    links = verified(stars, "links-1")
+    links = verified(stages.put(stars, "stars-1"), "links-1")
     labels = components(links, stages, "first")
-    # A tile may name a document that visits and lives there twice.
-    mixed = stages.put(placed(members.select("key", "id").distinct(), labels), "mixed-1")
-    quiet = 0
+    mixed = stages.put(placed(members, labels), "mixed-1")
+    large, quiet = mixed.where(F.col("size") > SMALL), 0
     for turn in range(2, TURNS + 1):
-        large = mixed.where(F.col("size") > SMALL)
         if quiet == 2 or large.isEmpty():
             break
-        # Another head for every tile, in an order that all tiles share.
+        # Another head for every tile, and one of its tiles for every member, in orders that all share.
         heads = large.groupBy("key").agg(
             F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(turn), "id")).alias("head")
         )
-        stars = large.join(heads, "key").where("component <> head.component").groupBy("id").agg(
-            F.min_by("head.id", F.xxhash64(F.lit(turn), "head.id")).alias("b")
-        )
-        more = verified(stars.select(F.col("id").alias("a"), "b"), f"links-{turn}")
-        quiet = quiet + 1 if more.isEmpty() else 0
+        chosen = large.groupBy("id", "component").agg(F.min_by("key", F.xxhash64(F.lit(turn), "key")).alias("key"))
+        stars = chosen.join(heads, "key").where("component <> head.component").select(F.col("id").alias("a"), F.col("head.id").alias("b"))
+        stars = stages.put(stars, f"stars-{turn}")
+        more = verified(stars, f"links-{turn}")
+        links = links.unionByName(more)
+        # A turn that joins next to nothing is not worth another look at the tiles.
+        quiet = quiet + 1 if more.count() * 100 <= stars.count() else 0
         if not quiet:
-            links = links.unionByName(more)
             labels = components(links, stages, f"turn-{turn}")
-            mixed = stages.put(placed(mixed, labels), f"mixed-{turn}")
-    apart = mixed.where(F.col("size") <= SMALL).join(arrays.select("id", "n", "bitmap"), "id")
+            large = stages.put(placed(large, labels), f"mixed-{turn}")
+    labels = labels.withColumnRenamed("node", "id")
+    apart = mixed.where(F.col("size") <= SMALL).select("key", "id").join(labels, "id", "left")
+    apart = apart.withColumn("component", F.coalesce("component", "id")).join(arrays.select("id", "n", "bitmap"), "id")
     pairs = (
         apart.select("key", "id", "component", "n", "bitmap")
         .repartition("key")
@@ -398,13 +431,13 @@ def linked_texts(rows: DataFrame, stages: Stages, size: int, percent: int, kind:
         .mapInArrow(bound_pairs(percent), "a bigint, b bigint")
         .distinct()
     )
-    links = links.unionByName(verified(pairs, "links-pairs"))
-    large = mixed.where(F.col("size") > SMALL)
+    links = links.unionByName(verified(stages.put(pairs, "pairs"), "links-pairs"))
     if not large.isEmpty():
-        blocks = dealt(large, arrays).groupBy("key", "one", "two")
+        blocks = dealt(large, among(arrays, "id", large)).groupBy("key", "one", "two")
         links = links.unionByName(stages.put(blocks.applyInArrow(block_links(percent), "a bigint, b bigint"), "links-blocks"))
     final = stages.put(components(links, stages, "second"), "components")
-    stages.drop("members", "arrays", "links-pairs", "links-blocks", *[f"{x}-{t}" for x in ("links", "mixed") for t in range(1, TURNS + 1)])
+    stages.drop("members", "playing", "arrays", "pairs", "links-pairs", "links-blocks")
+    stages.drop(*[f"{x}-{t}" for x in ("stars", "links", "mixed") for t in range(1, TURNS + 1)])
     return named, final
 
 

@@ -232,6 +232,50 @@ def test_short_texts_link_whatever_the_region(spark, percent):
     assert {r.doc_id: r.component_id for r in out} == components_of(sets, links)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_stored_sets_hold_only_what_tile_keys_need(spark, monkeypatch, percent):
+    stored = {}
+    real = Stages.put
+
+    def put(self, df, name):
+        out = real(self, df, name)
+        if name in ("sets", "arrays"):
+            stored[name] = [(r.n, len(r.hashes)) for r in out.select("n", "hashes").collect()]
+        return out
+
+    monkeypatch.setattr(Stages, "put", put)
+    base = invented(1, 3000)
+    rows = [(i, invented(100 + i, 3000)) for i in range(20)] + [(50, base), (51, base + " zz"), (52, base), (53, "a b c d"), (54, "a b c d e f")]
+    out = jaccard_join.jaccard_components(docs_frame(spark, rows), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: 50 if i in (50, 51, 52) else i for i, _ in rows}
+    # The region of long sets; whole sets only of texts in tiles, once for rows that are the same.
+    assert all(k < n * (2 * (100 - percent) + 10) / 100 for n, k in stored["sets"] if n > 1000)
+    assert sum(n > 1000 for n, _ in stored["arrays"]) == 2 and all(n == k for n, k in stored["arrays"])
+
+
+def test_turns_of_stars_read_large_tiles_only(spark, monkeypatch):
+    seen = {}
+    real = Stages.put
+
+    def put(self, df, name):
+        out = real(self, df, name)
+        if name.startswith(("mixed", "stars")):
+            seen[name] = [r.id if "id" in out.columns else r.a for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(Stages, "put", put)
+    rows = outlier_first(150)
+    # Pairs that share tiles and do not link.
+    for i in range(10):
+        words = invented(500 + i, 200).split()
+        rows += [(1000 + i, " ".join(words)), (2000 + i, " ".join(f"q{j}" if j % 12 == 0 else w for j, w in enumerate(words)))]
+    out = jaccard_join.jaccard_components(docs_frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: min(i, 1) if i < 150 else i for i, _ in rows}
+    assert {i for i in seen["mixed-1"] if i >= 1000} and set(seen["mixed-2"]) <= set(range(150))
+    # Each member is compared once a turn.
+    assert len(seen["stars-2"]) == len(set(seen["stars-2"]))
+
+
 def test_one_of_each_keeps_a_single_copy(spark):
     rows = near_copies() + [(0, near_copies()[0][1]), (None, "a b c d e f"), (None, "a b c d e f")]
     kept = jaccard_join.one_of_each(docs_frame(spark, rows))

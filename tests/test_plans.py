@@ -234,3 +234,27 @@ def test_yearly_stage_resumes_and_rebuilds_what_changed(spark, tmp_path):
     assert built[14:] == [2004] and part.agg({"period": "max"}).first()[0] == "2004-06"  # 2003 is whole, 2004 asks for half
     spark.createDataFrame(months[:1], "period STRING, v DOUBLE").write.mode("append").parquet(source)
     assert run(p=2).count() == 7 * 12 - 2 and built[15:] == list(range(2001, 2008))  # another input
+
+
+def test_sink_stage_aggregates_events_once(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from workload import base, load_all
+
+    rows = {
+        "nation": ([(1, "A"), (2, "B")], "n_nationkey INT, n_name STRING"),
+        "customer": ([(1, 1), (2, 2), (3, 1)], "c_custkey BIGINT, c_nationkey INT"),
+        "orders": (
+            [(i, i % 3 + 1, datetime.date(1996 + i % 6, i % 8 + 1, 5), "1-URGENT", "F", 997.0 * i) for i in range(1, 41)],
+            "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate DATE, o_orderpriority STRING, o_orderstatus STRING, o_totalprice DOUBLE",
+        ),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    calls, real = [], base.conflict_agg
+    monkeypatch.setattr(base, "conflict_agg", lambda *a: calls.append(a) or real(*a))
+    out = load_all()["sink_stage"].run(spark, str(tmp_path)).collect()
+    assert len(calls) == 1
+    want = {("A" if i % 3 + 1 != 2 else "B", f"{1996 + i % 6}-{i % 8 + 1:02d}") for i in range(1, 41) if i % 6 >= 2}
+    assert len(out) == 2 * 44 and {(r.entity, r.period) for r in out if r.event_count} == want
+    assert sum(r.fatalities_best for r in out) == sum(i for i in range(1, 41) if i % 6 >= 2)

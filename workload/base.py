@@ -175,9 +175,9 @@ def months_cte(name: str = "months", start: str = START, end: str = END) -> str:
     TIMESTAMP '{start}-01', TIMESTAMP '{end}-01', INTERVAL 1 MONTH)) AS x))"""
 
 
-def conflict_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Complete nation x month grid, zero-filled, with a 0/1 activity flag."""
-    return joins.onto_skeleton(conflict_agg(spark, sf), START, END, CONFLICT_COLUMNS, activity="has_conflict")
+def conflict_panel(spark: SparkSession, sf: str, months: DataFrame | None = None) -> DataFrame:
+    """Complete nation x month grid, zero-filled, with a 0/1 activity flag; from ``months``, a stored ``conflict_agg``, if given."""
+    return joins.onto_skeleton(conflict_agg(spark, sf) if months is None else months, START, END, CONFLICT_COLUMNS, activity="has_conflict")
 
 
 PANEL = (

@@ -6,10 +6,12 @@ work grows with the tables.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from panelloom.operators import profile, scoring
-from panelloom.session import fresh_path
+from panelloom.session import fresh_path, stored
 from panelloom.sources import sinks, tables, wide
 from workload import base
 from workload.base import (
@@ -277,8 +279,10 @@ def scan_scores(spark, sf):
 def sink_stage(spark, sf):
     """A stage published year by year: one run reaches part of the years, the next adds the others, a last one only reads."""
     path, inputs = fresh_path(spark, "stage"), [f"{sf}/{name}.parquet" for name in ("orders", "customer", "nation")]
+    # All years come from the same months: the events are aggregated once, when the first year is built.
+    months = functools.cache(lambda: stored(spark, base.conflict_agg(spark, sf), "conflict-months"))
     for start, end in (("1998-01", "1999-12"), ("1998-01", END), ("1998-01", END)):
-        df = sinks.run_yearly_stage(spark, path, lambda year: conflict_panel(spark, sf), start, end, {"grid": START}, inputs)
+        df = sinks.run_yearly_stage(spark, path, lambda year: conflict_panel(spark, sf, months()), start, end, {"grid": START}, inputs)
     return df.select("entity", "period", "event_count", "fatalities_best")
 
 

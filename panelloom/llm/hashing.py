@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
-SLICE = 1 << 20  # bytes of text worked on at once; a longer text is a slice of its own
+SLICE = 1 << 18  # bytes of text worked on at once; a longer text is a slice of its own
+KEPT = 1 << 21  # powers a worker keeps at most
 
 U = np.uint64
 
@@ -53,13 +54,15 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+    """Powers of the base and of its inverse modulo 2**64; those of a longer text than KEPT are not kept."""
+    made = _POWERS
+    if "up" not in made or len(made["up"]) < n:
+        made = {} if n > KEPT else _POWERS
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(max(n, SLICE), base, dtype=U)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"]
+            made[name] = np.multiply.accumulate(steps)
+    return made["up"][:n], made["down"]
 
 
 def slices(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -7,14 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from panelloom.session import fresh_path
 
 
-BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 2 << 20
+SCAN_ROWS = 512
+ROW_GROUP = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows are whole texts or their hashes, so Arrow batches hold few of them; a Python worker and its executor keep several."""
+    """Rows are whole texts or their hashes, so batches hold few of them.
+
+    A Python worker and its executor keep several Arrow batches each, a scan one of its own on the heap.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
 class Stages:
@@ -32,7 +38,8 @@ class Stages:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        # A task that writes holds one row group.
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

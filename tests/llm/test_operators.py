@@ -99,6 +99,54 @@ def test_texts_do_not_run_into_each_other(monkeypatch):
     assert sum(len(n) for _, n in cut) == 30
 
 
+def test_a_worker_holds_little_besides_its_texts():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    text = invented(1, 40_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([text[i * 2000 : i * 2000 + 20_000] for i in range(100)])], names=["key", "text"])
+    packed = SimpleNamespace(value=np.zeros(1 << 21, dtype=np.uint8))
+    for function in (decontamination.hit_rows(5, "alnum", packed, packed), jaccard_join.set_rows(5, 80, "alnum")):
+        for _ in function(iter([batch])):  # what a worker keeps is made now
+            pass
+        tracemalloc.start()
+        for _ in function(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12 << 20
+
+
+def test_powers_of_a_long_text_are_not_kept(monkeypatch):
+    monkeypatch.setattr(hashing, "_POWERS", {})
+    monkeypatch.setattr(hashing, "SLICE", 50)
+    monkeypatch.setattr(hashing, "KEPT", 200)
+    long, down = hashing._powers(1000)
+    assert len(long) == len(down) == 1000 and hashing._POWERS == {}
+    short, _ = hashing._powers(100)
+    assert np.array_equal(short, long[:100]) and len(hashing._POWERS["up"]) == 100
+
+
+def test_batches_and_row_groups_of_whole_texts_are_small(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    text = F.expr("concat_ws(' ', transform(sequence(1, 100), i -> sha2(concat(id, ' ', i), 512)))")
+    docs = spark.range(5000, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    stored = Stages(spark, "small").put(docs, "docs")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    got = stored.mapInArrow(sizes, "bytes bigint, rows bigint").agg(F.max("bytes"), F.max("rows"), F.sum("rows")).first()
+    assert got[0] < 4 << 20 and got[1] <= 500 and got[2] == 5000
+    (path,) = [f.removeprefix("file://") for f in stored.inputFiles()]
+    assert pq.ParquetFile(path).metadata.num_row_groups > 1
+
+
 # --- components ----------------------------------------------------------------
 
 
